@@ -35,8 +35,7 @@ def weighted_profile(df: DataFrame, keys: list[str], value: str, percentiles: tu
         F.sum("_w").alias("n"), F.sum(F.when(has, F.col("_w")).otherwise(0)).alias("n_values"), F.count("_v").alias("n_distinct"), best.alias("mode"),
         (F.sum(F.abs("_v") * F.col("_w")) / F.sum(F.when(has, F.col("_w")))).alias("_scale"),
     )
-    all_rows = freq.agg(F.sum("_w").alias("_total"))
-    per = key_rows.crossJoin(F.broadcast(all_rows)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")  # one row
+    per = key_rows.withColumn("share", F.col("n") / freq.agg(F.sum("_w")).scalar())
     # monotone ranges of a key's values; equal values share one
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     salted = freq.where(has).withColumn("_x", F.pmod(F.xxhash64("_v"), F.lit(16)).cast("int"))

@@ -93,11 +93,10 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
     ref_words = bitmap(r.where(F.col("_scope").isNotNull() & F.col("_p").isNotNull()), ["_space", "_scope", "_p"], "_num")
     # parent bitmaps hold for a period only what was valid from before its first to after its last moment. A parent's
     # periods are a range, and only ranges that some reference uses can matter: the last used period bounds open ones.
-    span = r.agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    first, last = r.agg(F.min("_p")).scalar(), r.agg(F.max("_p")).scalar()
     whole = (
-        p.crossJoin(F.broadcast(span))  # one row: the span is an aggregate without keys
-        .withColumn("_a", F.greatest(_month(F.col("_from")) + 1, F.col("_lo")))
-        .withColumn("_z", F.least(F.coalesce(_month(F.col("_to")) - 1, F.col("_hi")), F.col("_hi")))
+        p.withColumn("_a", F.greatest(_month(F.col("_from")) + 1, first))
+        .withColumn("_z", F.least(F.coalesce(_month(F.col("_to")) - 1, last), last))
         .where("_a <= _z")
         .withColumn("_p", F.explode(F.sequence("_a", "_z")))
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonlake.plans import problems
+from axonlake.plans import problems, spikes
 
-_MODULES = (problems,)
+_MODULES = (problems, spikes)
 FLAGSHIP = "p7_found"
 
 
