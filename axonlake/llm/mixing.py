@@ -130,5 +130,5 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, budget: floa
     r = t.join(got, "source", "left").select("source", "target_share", "max_repeats", *zero, F.coalesce("expected_tokens", F.lit(0.0)).alias("expected_tokens"))
     r = r.withColumn("available", F.col("n_tokens") * F.col("max_repeats")).withColumn("target_tokens", F.col("target_share") * F.lit(total))
     r = r.withColumn("shortfall", F.greatest(F.col("target_tokens") - F.col("available"), F.lit(0.0)))
-    whole = r.agg(F.sum("actual_tokens").alias("_all"))  # one row
-    return uses, r.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.col("actual_tokens") / F.greatest("_all", F.lit(1))).drop("_all")
+    whole = r.agg(F.sum("actual_tokens")).scalar()
+    return uses, r.withColumn("actual_share", F.col("actual_tokens") / F.greatest(whole, F.lit(1)))
