@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonlake.plans import problems, spikes
+from axonlake.plans import problems, relational, spikes
 
-_MODULES = (problems, spikes)
+_MODULES = (problems, spikes, relational)
 FLAGSHIP = "p7_found"
 
 
