@@ -30,6 +30,13 @@ def _sums(vc: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _with_p(df: DataFrame) -> DataFrame:
+    """``df`` with the two-sided normal p of its column z. The statistic stays a column of its own: repeated inside the long
+    expression it would outgrow what can be compiled."""
+    x = df.withColumn("_z", F.explode(F.array("z")))
+    return x.withColumn("p", F.least(special.norm_two_sided(F.col("_z")), F.lit(1.0))).drop("_z")
+
+
 def auc(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
     """by..., n1, n0, auc, selectivity = 2 auc - 1: P(value of class 1 > value of class 0) + half of the ties; null if a class is empty."""
     s = _sums(value_counts(df, by, value, positive), by)
@@ -52,7 +59,7 @@ def rank_sum(df: DataFrame, by: list[str], value: str, positive: Column) -> Data
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     z = F.try_divide(F.col("_r2") / 2.0 - n1 * (n1 + n0 + 1) / 2, F.nullif(F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12), F.lit(0.0)))
     z = F.when((F.col("_k") == 1) & (n1 > 0) & (n0 > 0), F.lit(0.0)).otherwise(z)
-    return s.select(*by, "n1", "n0", z.alias("z"), special.norm_two_sided(z).alias("p"))
+    return _with_p(s.select(*by, "n1", "n0", z.alias("z")))
 
 
 def mann_whitney(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
@@ -63,7 +70,7 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, positive: Column) ->
     u = F.col("_r2") / 2.0 - n1 * (n1 + 1) / 2
     var = n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1)))
     z = F.try_divide(F.greatest(F.abs(u - n1 * n0 / 2) - 0.5, F.lit(0.0)), F.nullif(F.sqrt(F.greatest(var, F.lit(0.0))), F.lit(0.0)))
-    return s.select(*by, "n1", "n0", u.alias("u"), F.least(special.norm_two_sided(z), F.lit(1.0)).alias("p"))
+    return _with_p(s.select(*by, "n1", "n0", u.alias("u"), z.alias("z"))).drop("z")
 
 
 def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:
@@ -77,7 +84,7 @@ def signed_rank(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     w = F.least(plus, n * (n + 1) / 2 - plus)
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     z = F.try_divide(w - n * (n + 1) / 4, F.nullif(F.sqrt(var), F.lit(0.0)))
-    return s.select(*by, n.cast("long").alias("n"), w.alias("w"), F.least(special.norm_two_sided(z), F.lit(1.0)).alias("p"))
+    return _with_p(s.select(*by, n.cast("long").alias("n"), w.alias("w"), z.alias("z"))).drop("z")
 
 
 def kruskal(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:

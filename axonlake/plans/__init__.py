@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from axonlake.plans import problems, relational, spikes
+from axonlake.plans import problems, relational, spikes, statistics, windows
 
-_MODULES = (problems, spikes, relational)
-FLAGSHIP = "p7_found"
+_MODULES = (problems, spikes, relational, statistics, windows)
+FLAGSHIP = "agg_auc"
 
 
 def queries() -> dict:
