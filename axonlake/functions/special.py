@@ -80,6 +80,15 @@ def _nest(x: str, cs: tuple) -> str:
     return out
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson r over rows where both are known; null for a constant (the built-in divides by zero there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = a.isNotNull() & b.isNotNull()
+    u, v = F.when(both, a).cast("double"), F.when(both, b).cast("double")
+    s, t = F.stddev_pop(u), F.stddev_pop(v)
+    return F.when((s > 1e-9) & (t > 1e-9), F.covar_pop(u, v) / (s * t))
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function by its continued fraction (Lentz)."""
     if x <= 0:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonlake.plans import problems, relational, spikes, statistics, windows
+from axonlake.plans import correlation, problems, relational, spikes, statistics, windows
 
-_MODULES = (problems, spikes, relational, statistics, windows)
+_MODULES = (problems, spikes, relational, statistics, windows, correlation)
 FLAGSHIP = "agg_auc"
 
 

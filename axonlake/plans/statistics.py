@@ -423,7 +423,7 @@ def _(d: Data) -> DataFrame:
 @book("corr_pearson", _NR + "SELECT area, round(corr(x, z_score), 5) AS r FROM n WHERE x IS NOT NULL AND z_score IS NOT NULL GROUP BY 1 HAVING count(*) > 2")
 def _(d: Data) -> DataFrame:
     both = shifts(d).where("x is not null and z_score is not null")
-    return both.groupBy("area").agg(F.round(F.corr("x", "z_score"), 5).alias("r"), F.count("*").alias("n")).where("n > 2").drop("n")
+    return both.groupBy("area").agg(F.round(special.corr("x", "z_score"), 5).alias("r"), F.count("*").alias("n")).where("n > 2").drop("n")
 
 
 _SPEAR = _NR + ", v AS (SELECT area, x, z_score FROM n WHERE x IS NOT NULL AND z_score IS NOT NULL), r AS (SELECT area, rank() OVER (PARTITION BY area ORDER BY x) + (count(*) OVER (PARTITION BY area, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY area ORDER BY z_score) + (count(*) OVER (PARTITION BY area, z_score) - 1) / 2.0 AS rz FROM v) "
@@ -438,7 +438,7 @@ def mid_rank(by: list[str], value: str):
 def _(d: Data) -> DataFrame:
     v = shifts(d).where("x is not null and z_score is not null")
     r = v.select("area", mid_rank(["area"], "x").alias("rx"), mid_rank(["area"], "z_score").alias("rz"))
-    return r.groupBy("area").agg(F.round(F.corr("rx", "rz"), 5).alias("r"), F.count("*").alias("n")).where("n > 2").drop("n")
+    return r.groupBy("area").agg(F.round(special.corr("rx", "rz"), 5).alias("r"), F.count("*").alias("n")).where("n > 2").drop("n")
 
 
 @book("win_rank", _SPEAR + "SELECT area, rx, rz FROM r")
@@ -450,7 +450,7 @@ def _(d: Data) -> DataFrame:
 @book("corr_partial", _NR + ", c AS (SELECT area, corr(x, z_score) AS xy, corr(x, p_value) AS xz, corr(z_score, p_value) AS yz FROM n WHERE x IS NOT NULL AND z_score IS NOT NULL AND p_value IS NOT NULL GROUP BY 1 HAVING count(*) > 3) SELECT area, round(greatest(least((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 1), -1), 5) AS r FROM c")
 def _(d: Data) -> DataFrame:
     v = shifts(d).dropna(subset=["x", "z_score", "p_value"])
-    c = v.groupBy("area").agg(F.corr("x", "z_score").alias("xy"), F.corr("x", "p_value").alias("xz"), F.corr("z_score", "p_value").alias("yz"), F.count("*").alias("n")).where("n > 3")
+    c = v.groupBy("area").agg(special.corr("x", "z_score").alias("xy"), special.corr("x", "p_value").alias("xz"), special.corr("z_score", "p_value").alias("yz"), F.count("*").alias("n")).where("n > 3")
     r = F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.nullif(F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))), F.lit(0.0)))
     return c.select("area", F.round(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)), 5).alias("r"))
 
@@ -459,7 +459,7 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     m = lambda k: F.avg(F.when(F.col("analysis_type") == k, F.col("selectivity")))
     s = d.roc().where("neuron_id is not null").groupBy("session_id", "neuron_id", F.col(AREA).alias("area")).agg(m("whisker_active").alias("a"), m("auditory_active").alias("b")).dropna(subset=["a", "b"])
-    return s.groupBy("area").agg(F.count("*").alias("n"), F.round(F.corr("a", "b"), 5).alias("r")).where("n > 2")
+    return s.groupBy("area").agg(F.count("*").alias("n"), F.round(special.corr("a", "b"), 5).alias("r")).where("n > 2")
 
 
 @book("fit_ols", _NR + "SELECT area, count(*) AS n, round(regr_slope(x, z_score), 5) AS slope, round(regr_intercept(x, z_score), 5) AS intercept, round(regr_r2(x, z_score), 5) AS r2 FROM n WHERE x IS NOT NULL AND z_score IS NOT NULL GROUP BY 1 HAVING count(*) > 2")
@@ -471,7 +471,7 @@ def _(d: Data) -> DataFrame:
 
 @book("cmp_glm_resid", _GLM + ", c AS (SELECT mouse_id, neuron_id, round(corr(test_score, test_corr), 9) AS r FROM g WHERE test_corr IS NOT NULL AND test_score IS NOT NULL AND mouse_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 2) SELECT mouse_id, count(r) AS n, round(avg(r), 5) AS mean FROM c WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1")
 def _(d: Data) -> DataFrame:
-    c = glm(d).where("test_corr is not null and test_score is not null and mouse_id is not null").groupBy("mouse_id", "neuron_id").agg(F.corr("test_score", "test_corr").alias("r"), F.count("*").alias("k")).where("k > 2 and r is not null and not isnan(r)")
+    c = glm(d).where("test_corr is not null and test_score is not null and mouse_id is not null").groupBy("mouse_id", "neuron_id").agg(special.corr("test_score", "test_corr").alias("r"), F.count("*").alias("k")).where("k > 2 and r is not null and not isnan(r)")
     return c.groupBy("mouse_id").agg(F.count("r").alias("n"), F.round(F.avg("r"), 5).alias("mean"))
 
 
