@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonlake.plans import correlation, problems, relational, spikes, statistics, windows
+from axonlake.plans import correlation, models, problems, relational, scalars, spikes, statistics, windows
 
-_MODULES = (problems, spikes, relational, statistics, windows, correlation)
+_MODULES = (problems, spikes, relational, statistics, windows, correlation, models, scalars)
 FLAGSHIP = "agg_auc"
 
 

@@ -1 +1,59 @@
+"""Incremental forms of the stateful pieces: refractory filtering, block rates, session windows, late data."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+
+def windowed_rates(events: DataFrame, ts: str, by: list[str], value: str, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Count and sum per tumbling or sliding window; rows later than ``late`` are dropped, state is bounded by it."""
+    w = F.window(ts, length, slide) if slide else F.window(ts, length)
+    g = events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return g.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "total")
+
+
+def bouts(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
+    """Bouts: events of a key less than ``gap`` apart; kind single, short_cluster (up to 3) or bout."""
+    g = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n"))
+    kind = F.when(F.col("n") == 1, "single").when(F.col("n") <= 3, "short_cluster").otherwise("bout")
+    return g.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", kind.alias("kind"))
+
+
+def deduplicate(events: DataFrame, ts: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """Each key once within the watermark's reach."""
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def refractory_stream(events: DataFrame, ts: str, key: str, seconds: float) -> DataFrame:
+    """The greedy refractory filter with the last kept time of each key as state: key, ts of kept events, batch by batch in order of time."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    schema = f"{key} {dict(events.dtypes)[key]}, {ts} timestamp"
+
+    def keep(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        times = pd.concat([b[ts] for b in batches]).dropna().sort_values()
+        kept = []
+        for t in times:
+            us = int(pd.Timestamp(t).value // 1000)
+            if last is None or us - last > seconds * 1e6:
+                kept.append(t)
+                last = us
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({key: [k[0]] * len(kept), ts: kept})
+
+    return events.groupBy(key).applyInPandasWithState(keep, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a streaming frame over what is there now, into a table of this session, and return it."""
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return df.sparkSession.table(name)
