@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from axonlake.session import materialise
+
 TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
 
 
@@ -270,3 +272,44 @@ def schema_changes(exports: DataFrame, least: float = 0.5) -> DataFrame:
             yield pd.DataFrame(out, columns=["file_id", "change", "field_from", "field_to"])
 
     return slim.mapInPandas(compare, "file_id long, change string, field_from string, field_to string")
+
+
+def canonical_names(changes: DataFrame, profiles: DataFrame, kind_of: DataFrame, rounds: int = 12) -> DataFrame:
+    """(kind, field, canonical): one name per chain of renames, the one found in most files (the first by name on a tie).
+
+    Renames are distinct pairs of names, a table of the schema's size; labels spread along them in a few rounds, each
+    written to the shared folder.
+    """
+    pairs = changes.where("change = 'renamed'").join(kind_of, "file_id").select("kind", F.col("field_from").alias("a"), F.col("field_to").alias("b")).distinct()
+    both = pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    names = profiles.groupBy("kind", "field").agg(F.count("*").alias("n")).withColumn("best", F.struct((-F.col("n")).alias("n"), F.col("field").alias("name"))).drop("n")
+    both, state = materialise(both, "renames"), materialise(names, "names")
+    for _ in range(rounds):
+        heard = both.join(state.select("kind", F.col("field").alias("b"), "best"), ["kind", "b"]).groupBy("kind", F.col("a").alias("field")).agg(F.min("best").alias("heard"))
+        new = materialise(state.join(heard, ["kind", "field"], "left").withColumn("new", F.least("best", F.coalesce("heard", "best"))), "names")
+        moved = new.where("new <> best").take(1)
+        state = new.select("kind", "field", F.col("new").alias("best"))
+        if not moved:
+            break
+    return state.select("kind", "field", F.col("best.name").alias("canonical"))
+
+
+def unify(exports: DataFrame) -> DataFrame:
+    """All exports as one consistent long table: source_id, kind, file_id, written_at, row_no, field (canonical), name (as exported), value (text).
+
+    Renamed fields share the canonical name, whatever their JSON type; values are the JSON text without outer quotes, null
+    stays null, so that no record is lost whatever its type was. Repeated rows count once.
+    """
+    kind_of = exports.select("file_id", "kind").distinct()
+    names = canonical_names(schema_changes(exports), profile_fields(exports), kind_of)
+    rows = exports.select("source_id", "kind", "file_id", "written_at", "row_no", "payload").distinct()
+    v = F.explode(F.from_json("payload", "map<string,string>"))
+    cells = rows.select("source_id", "kind", "file_id", "written_at", "row_no", v.alias("name", "value")).withColumn("_x", F.pmod(F.xxhash64("file_id", "row_no"), F.lit(16)).cast("int"))
+    salted = names.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumnRenamed("field", "name")
+    return cells.join(salted, ["kind", "name", "_x"], "left").select("source_id", "kind", "file_id", "written_at", "row_no", F.coalesce("canonical", "name").alias("field"), "name", "value")
+
+
+def wide(unified: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """One row per exported row of a kind with the given canonical fields as columns (text; null if absent)."""
+    u = unified.where(F.col("kind") == kind)
+    return u.groupBy("source_id", "file_id", "written_at", "row_no").pivot("field", fields).agg(F.max("value"))

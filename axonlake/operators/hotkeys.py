@@ -40,7 +40,7 @@ def weighted_profile(df: DataFrame, keys: list[str], value: str, percentiles: tu
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     salted = freq.where(has).withColumn("_x", F.pmod(F.xxhash64("_v"), F.lit(16)).cast("int"))
     scales = per.select(*ks, "_scale").withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    ranged = salted.alias("f").join(scales.alias("p"), same("f", "p", [*ks, "_x"])).select(*[F.col(f"f.{k}") for k in ks], "_v", "_w", F.coalesce(F.floor(F.asinh(F.col("_v") / F.col("_scale")) * ranges), F.lit(0)).alias("_g"))
+    ranged = salted.alias("f").join(scales.alias("p"), same("f", "p", [*ks, "_x"])).select(*[F.col(f"f.{k}") for k in ks], "_v", "_w", F.coalesce(F.floor(F.asinh(F.try_divide(F.col("_v").cast("double"), F.col("_scale").cast("double"))) * ranges), F.lit(0)).alias("_g"))
     sizes = ranged.groupBy(*ks, "_g").agg(F.sum("_w").alias("_n"))
     upto = W.partitionBy(*ks).orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_all", F.sum("_n").over(W.partitionBy(*ks)))

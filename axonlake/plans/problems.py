@@ -12,6 +12,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(read_table(spark, d, "raw_exports"))
 
 
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table's fields: how many files and values each canonical field has, and under how many names."""
+    u = drift.unify(read_table(spark, d, "raw_exports"))
+    return u.groupBy("kind", "field").agg(F.count_distinct("file_id").alias("n_files"), F.count("value").alias("n_values"), F.count_distinct("name").alias("n_names"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return con.consolidate(read_table(spark, d, "model_files")).where("repeat").select("file_id", "line_no")
 
@@ -92,7 +98,7 @@ WITH data AS (
   UNION SELECT session_id, 'imec' || CAST(imec_id AS VARCHAR), CAST(floor(s) AS BIGINT) FROM (SELECT session_id, imec_id, unnest(spike_times) AS s FROM units) WHERE s IS NOT NULL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_manifest, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p3_found, p3_manifest, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p7_found, p7_profile)}
 
 _RECORDS = r"""
 WITH line AS (
