@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def gaps(cells: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 4096) -> DataFrame:
-    """The cells between the first and last of each stream that are not in ``cells`` (distinct rows keys..., cell).
+def gap_spans(cells: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 4096) -> DataFrame:
+    """keys..., _a, _z: the first and last cell of every gap between occupied cells of a stream (distinct rows keys..., cell).
 
     Within a piece of ``chunk`` cells the next occupied cell is a window over at most ``chunk`` rows; between pieces it
     comes from the pieces' own first and last cells, 1/``chunk`` of the rows at most.
@@ -23,12 +23,20 @@ def gaps(cells: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 409
     pieces = c.groupBy(*keys, "_k").agg(F.min(cell).alias("_lo"), F.max(cell).alias("_hi"))
     outer = W.partitionBy(*keys).orderBy("_k")
     far = pieces.withColumn("_next", F.lead("_lo").over(outer)).where(F.col("_next") > F.col("_hi") + 1).select(*keys, (F.col("_hi") + 1).alias("_a"), (F.col("_next") - 1).alias("_z"))
-    spans = near.unionByName(far)
-    # a long interruption is cut into pieces before its cells are made, so that no row holds a long array
+    return near.unionByName(far)
+
+
+def span_cells(spans: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 4096) -> DataFrame:
+    """Every cell of every span. A long span is cut into pieces first, so that no row holds a long array."""
     cut = spans.withColumn("_s", F.explode(F.sequence("_a", "_z", F.lit(chunk)))).withColumn("_e", F.least(F.col("_s") + (chunk - 1), F.col("_z")))
     return cut.select(*keys, F.explode(F.sequence("_s", "_e")).alias(cell))
 
 
+def gaps(cells: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 4096) -> DataFrame:
+    """The cells between the first and last of each stream that are not in ``cells``."""
+    return span_cells(gap_spans(cells, keys, cell, chunk), keys, cell, chunk)
+
+
 def regular_grid(
     readings: DataFrame,
     keys: list[str],
@@ -76,10 +84,16 @@ def regular_grid(
     m = m.select(*inner, "cell", "n", fitted.alias("_f"), support.alias("support"))
     # cells beyond the first and last with data are reached by the kernel, but are not part of the stream
     occupied = m.where("n > 0").select(*inner, "cell")
-    empty = gaps(occupied, inner)
+    spans = gap_spans(occupied, inner)
+    # only the first and last cells of a gap can be in reach of a reading; the inside of a long gap is made without a join
+    ends = F.array_distinct(F.concat(F.sequence("_a", F.least(F.col("_a") + (reach - 1), F.col("_z"))), F.sequence(F.greatest(F.col("_z") - (reach - 1), F.col("_a")), F.col("_z"))))
+    edge = spans.select(*inner, F.explode(ends).alias("cell"))
+    inside = span_cells(spans.where(F.col("_z") - F.col("_a") >= 2 * reach).select(*inner, (F.col("_a") + reach).alias("_a"), (F.col("_z") - reach).alias("_z")), inner)
     lone = m.where("n = 0").select(*[F.col(a).alias(f"m{a}") for a in inner], F.col("cell").alias("m_cell"), "_f", F.col("support").alias("_s"))
     on = [F.col(a).eqNullSafe(F.col(f"m{a}")) for a in inner] + [F.col("cell") == F.col("m_cell")]
-    holes = empty.join(lone, on, "left").select(*inner, "cell", F.lit(0).cast("long").alias("n"), "_f", F.coalesce("_s", F.lit(0.0)).alias("support"))
+    none = F.lit(0).cast("long").alias("n")
+    holes = edge.join(lone, on, "left").select(*inner, "cell", none, "_f", F.coalesce("_s", F.lit(0.0)).alias("support"))
+    holes = holes.unionByName(inside.select(*inner, "cell", none, F.lit(None).cast("double").alias("_f"), F.lit(0.0).alias("support")))
     out = m.where("n > 0").select(*inner, "cell", "n", "_f", "support").unionByName(holes)
     status = F.when(F.col("n") > 0, "observed").when(F.col("support") >= least_support, "filled").otherwise("missing")
     out = out.withColumn("status", status).withColumn("value", F.when(F.col("status") != "missing", F.col("_f")))

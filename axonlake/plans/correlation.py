@@ -359,6 +359,11 @@ def _(d: Data) -> DataFrame:
     return x.groupBy("area", "mean").agg(F.max(F.when(F.col("s.end") == "low", at)).alias("low"), F.max(F.when(F.col("s.end") == "high", at)).alias("high"))
 
 
+@book("smp_with_repl")
+def _(d: Data) -> DataFrame:
+    return rs.bootstrap_draws(mouse_values(d), ["reward_group"], "mouse", 50)
+
+
 @book("res_boot_mean")
 def _(d: Data) -> DataFrame:
     return rs.bootstrap_mean(mouse_values(d), ["reward_group", "area"], "mouse", "delta", 200)

@@ -201,13 +201,13 @@ def _(d: Data) -> DataFrame:
 
 
 @book("agg_area_weights", """WITH a AS (SELECT mouse_id, area_acronym_custom AS area, count(*) AS n FROM roc WHERE area_acronym_custom IS NOT NULL AND mouse_id IS NOT NULL GROUP BY 1, 2), b AS (SELECT area, reward_group, avg(n) AS m FROM a JOIN (SELECT mouse_id, min(reward_group) AS reward_group FROM units GROUP BY 1) USING (mouse_id) GROUP BY 1, 2),
-h AS (SELECT area, CASE WHEN count(*) < 2 THEN 0 ELSE count(*) / sum(1.0 / m) END AS h FROM b GROUP BY 1) SELECT area, round(h / sum(h) OVER (), 6) AS weight FROM h""", "roc")
+h AS (SELECT area, CASE WHEN count(*) < 2 THEN 0 ELSE count(*) / sum(1.0 / m) END AS h FROM b GROUP BY 1) SELECT area, round(h / nullif(sum(h) OVER (), 0), 6) AS weight FROM h""", "roc")
 def _(d: Data) -> DataFrame:
     n = d.roc().withColumnRenamed(AREA, "area").where("area is not null and mouse_id is not null").groupBy("mouse_id", "area").agg(F.count("*").alias("n"))
     g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
     b = n.join(g, "mouse_id").groupBy("area", "reward_group").agg(F.avg("n").alias("m"))
     h = b.groupBy("area").agg(F.when(F.count("*") < 2, F.lit(0.0)).otherwise(stats.harmonic(F.col("m"))).alias("h"))
-    return h.select("area", F.round(F.col("h") / h.agg(F.sum("h")).scalar(), 6).alias("weight"))
+    return h.select("area", F.round(F.try_divide(F.col("h"), F.nullif(h.agg(F.sum("h")).scalar(), F.lit(0.0))), 6).alias("weight"))
 
 
 _SHARE = "WITH s AS (SELECT analysis_type, area_acronym_custom AS area, avg(CAST(significant AS INT)) AS p FROM roc WHERE area_acronym_custom IS NOT NULL GROUP BY 1, 2) "
