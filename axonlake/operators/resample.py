@@ -40,11 +40,13 @@ def permuted_labels(entities: DataFrame, by: list[str], key: str, label: str, n:
     return entities.select(*by, key, F.lit(0).alias("rep"), label).unionByName(again.select(*by, key, "rep", label))
 
 
-def permutation_p(stat: DataFrame, by: list[str], value: str, alternative: str = "two-sided", plus_one: bool = True) -> DataFrame:
-    """by, observed, n_rep, p from rows (by, rep, value) with the true statistic at rep 0. Null statistics count in neither."""
+def permutation_p(stat: DataFrame, by: list[str], value: str, alternative: str = "two-sided", plus_one: bool = True, slack: float = 1e-12) -> DataFrame:
+    """by, observed, n_rep, p from rows (by, rep, value) with the true statistic at rep 0. Null statistics count in neither.
+
+    ``slack``: how far below the true statistic still counts as equal to it."""
     w = W.partitionBy(*by)
     x = stat.where(F.col(value).isNotNull()).withColumn("_o", F.max(F.when(F.col("rep") == 0, F.col(value))).over(w)).where("rep > 0")
-    far = {"two-sided": F.abs(value) >= F.abs("_o") - 1e-12, "greater": F.col(value) >= F.col("_o") - 1e-12, "less": F.col(value) <= F.col("_o") + 1e-12}[alternative]
+    far = {"two-sided": F.abs(value) >= F.abs("_o") - slack, "greater": F.col(value) >= F.col("_o") - slack, "less": F.col(value) <= F.col("_o") + slack}[alternative]
     k, n = F.count_if(far), F.count("*")
     p = (k + 1) / (n + 1) if plus_one else k / n
     return x.groupBy(*by).agg(F.max("_o").alias("observed"), n.alias("n_rep"), p.alias("p")).where("observed is not null")

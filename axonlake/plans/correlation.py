@@ -198,7 +198,15 @@ def _(d: Data) -> DataFrame:
     return q.groupBy("session_id", "unit_id").agg(F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).alias("lag"), F.max(F.abs("r")).alias("peak"))
 
 
-@book("res_shuffle_xcorr")
+_SX = _CNT + f""", e AS (SELECT session_id, event_id, lick_flag, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS i FROM (SELECT DISTINCT session_id, event_id, lick_flag FROM c)),
+dl AS (SELECT e.session_id, e.event_id, r.rep, row_number() OVER (PARTITION BY e.session_id, r.rep ORDER BY {rs.draw_sql('e.event_id', 'r.rep')}, e.event_id) AS i FROM e, (SELECT unnest(range(1, 51)) AS rep) r),
+lab AS (SELECT session_id, event_id, 0 AS rep, lick_flag FROM e UNION ALL SELECT dl.session_id, dl.event_id, dl.rep, e.lick_flag FROM dl JOIN e ON e.session_id = dl.session_id AND e.i = dl.i),
+g AS (SELECT c.session_id, c.unit_id, lab.rep, CASE WHEN stddev_pop(post) > 1e-9 AND stddev_pop(lab.lick_flag) > 1e-9 THEN corr(post, lab.lick_flag) END AS r FROM c JOIN lab ON lab.session_id = c.session_id AND lab.event_id = c.event_id GROUP BY 1, 2, 3),
+o AS (SELECT *, max(CASE WHEN rep = 0 THEN r END) OVER (PARTITION BY session_id, unit_id) AS o FROM g WHERE r IS NOT NULL)
+SELECT session_id, unit_id, round(max(o), 5) + 0.0 AS observed, count(*) AS n_rep, round((count(*) FILTER (abs(r) >= abs(o) - 1e-9) + 1) / (count(*) + 1.0), 6) AS p FROM o WHERE rep > 0 AND o IS NOT NULL GROUP BY 1, 2"""
+
+
+@book("res_shuffle_xcorr", _SX, "us sp tr")
 def _(d: Data) -> DataFrame:
     """Lag 0 against 50 shuffles of the behaviour series within the session."""
     c = response_counts(d).select("session_id", "unit_id", "event_id", "post", "lick_flag")
@@ -206,15 +214,64 @@ def _(d: Data) -> DataFrame:
     p = rs.permuted_labels(ev, ["session_id"], "event_id", "lick_flag", 50)
     j = c.drop("lick_flag").join(p, ["session_id", "event_id"])
     r = j.groupBy("session_id", "unit_id", "rep").agg(special.corr("post", "lick_flag").alias("r"))
-    return rs.permutation_p(r, ["session_id", "unit_id"], "r")
+    p = rs.permutation_p(r, ["session_id", "unit_id"], "r", slack=1e-9)
+    return p.withColumn("observed", F.round("observed", 5) + 0.0).withColumn("p", F.round("p", 6))
+
+
+# ---- resampling: the draws are whole-number arithmetic, so SQL can repeat them
+
+
+def _labels_sql(entities: str, n: int) -> str:
+    """CTEs e and lab: permuted labels of ``entities`` (mouse, reward_group), as ``permuted_labels`` deals them."""
+    return (
+        f"e AS (SELECT mouse, reward_group, row_number() OVER (ORDER BY mouse) AS i FROM ({entities})), "
+        f"dealt AS (SELECT e.mouse, r.rep, row_number() OVER (PARTITION BY r.rep ORDER BY {rs.draw_sql('e.mouse', 'r.rep')}, e.mouse) AS i FROM e, (SELECT unnest(range(1, {n + 1})) AS rep) r), "
+        "lab AS (SELECT mouse, 0 AS rep, reward_group FROM e UNION ALL SELECT dealt.mouse, dealt.rep, e.reward_group FROM dealt JOIN e ON e.i = dealt.i)"
+    )
+
+
+def _perm_p_sql(by: str, value: str, table: str, far: str = "abs({v}) >= abs(o) - 1e-12") -> str:
+    """CTE o and the final select of a permutation test on ``table`` (by, rep, value)."""
+    return (
+        f", o AS (SELECT *, max(CASE WHEN rep = 0 THEN {value} END) OVER (PARTITION BY {by}) AS o FROM {table} WHERE {value} IS NOT NULL) "
+        f"SELECT {by}, round(max(o), 6) + 0.0 AS observed, count(*) AS n_rep, round((count(*) FILTER ({far.format(v=value)}) + 1) / (count(*) + 1.0), 6) AS p FROM o WHERE rep > 0 AND o IS NOT NULL GROUP BY {by}"
+    )
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("observed", F.round("observed", 6) + 0.0).withColumn("p", F.round("p", 6))
+
+
+_GROUPS = "grp AS (SELECT mouse_id, min(reward_group) AS reward_group FROM units GROUP BY 1)"
+_MV = _GROUPS + ", dp AS (SELECT mouse_id, area_acronym_custom AS area, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_pre') AS pre, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_post') AS post FROM roc WHERE mouse_id IS NOT NULL AND area_acronym_custom IS NOT NULL GROUP BY 1, 2), mv AS (SELECT CAST(regexp_extract(mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, reward_group, area, post - pre AS delta FROM dp JOIN grp USING (mouse_id) WHERE pre IS NOT NULL AND post IS NOT NULL)"
+_PM = "WITH " + _MV + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 200)
+_DIFF = ", g AS (SELECT area, rep, avg(delta) FILTER (lab.reward_group = 1) - avg(delta) FILTER (lab.reward_group = 0) AS diff FROM mv JOIN lab USING (mouse) GROUP BY 1, 2)"
+_MA = _GROUPS + ", ma AS (SELECT CAST(regexp_extract(roc.mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, any_value(reward_group) AS reward_group, area_acronym_custom AS area, count(*) FILTER (significant) AS k, count(*) AS n FROM roc JOIN grp ON grp.mouse_id = roc.mouse_id WHERE area_acronym_custom IS NOT NULL GROUP BY 1, 3)"
+
+
+def _draws_sql(entities: str, n: int, by: str, key: str) -> str:
+    """CTE bd: how often each entity is drawn, as ``bootstrap_draws`` counts it."""
+    return (
+        f"en AS (SELECT {by}, {key}, row_number() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS m FROM ({entities})), "
+        f"dr AS (SELECT en.{by}, r.rep, {rs.draw_sql('(en.i + 1)', 'r.rep')} * en.m // {rs.P} AS i FROM en, (SELECT unnest(range(1, {n + 1})) AS rep) r), "
+        f"bd AS (SELECT en.{by}, en.{key}, dr.rep, count(*) AS times FROM dr JOIN en ON en.{by} = dr.{by} AND en.i = dr.i GROUP BY 1, 2, 3)"
+    )
+
 
 
-# ---- resampling
 
+_PL = _CNT + f""", i AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_id, analysis ORDER BY cls, v) AS i, CAST(sum(cls) OVER (PARTITION BY session_id, unit_id, analysis) AS BIGINT) AS n1, count(*) OVER (PARTITION BY session_id, unit_id, analysis) AS n FROM x),
+pl AS (SELECT i.*, r.rep, CASE WHEN row_number() OVER (PARTITION BY session_id, unit_id, analysis, r.rep ORDER BY {rs.draw_sql('i.i', '(r.rep + i.unit_id)')}, i.i) <= n1 THEN 1 ELSE 0 END AS c2 FROM i, (SELECT unnest(range(1, 101)) AS rep) r),
+al AS (SELECT session_id, unit_id, analysis, rep, v, c2, n1, n FROM pl UNION ALL SELECT session_id, unit_id, analysis, 0, v, cls, n1, n FROM i),
+rk AS (SELECT *, rank() OVER (PARTITION BY session_id, unit_id, analysis, rep ORDER BY v) + (count(*) OVER (PARTITION BY session_id, unit_id, analysis, rep, v) - 1) / 2.0 AS rk FROM al),
+g AS (SELECT session_id, unit_id, analysis, rep, 2 * (sum(rk) FILTER (c2 = 1) - any_value(n1) * (any_value(n1) + 1) / 2.0) / (any_value(n1) * (any_value(n) - any_value(n1))) - 1 AS s FROM rk GROUP BY 1, 2, 3, 4),
+o AS (SELECT *, max(CASE WHEN rep = 0 THEN s END) OVER (PARTITION BY session_id, unit_id, analysis) AS o FROM g),
+pv AS (SELECT session_id, unit_id, analysis, round(max(o), 6) + 0.0 AS observed, count(*) AS n_rep, round(count(*) FILTER (abs(s) >= abs(o) - 1e-12) / count(*), 6) AS p FROM o WHERE rep > 0 GROUP BY 1, 2, 3)
+SELECT *, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN CASE WHEN observed > 0 THEN 'positive' ELSE 'negative' END END AS direction FROM pv"""
 
 
-@book("res_perm_label")
-@book("agg_roc_unit")
+@book("res_perm_label", _PL, "us sp tr")
+@book("agg_roc_unit", _PL, "us sp tr")
 def _(d: Data) -> DataFrame:
     """AUC of every unit and analysis against 100 permutations of the two classes: p, significance and direction."""
     x = two_classes(response_counts(d)).withColumn("_i", F.row_number().over(W.partitionBy(*BY).orderBy("cls", "v")))
@@ -223,7 +280,7 @@ def _(d: Data) -> DataFrame:
     cls = F.row_number().over(W.partitionBy(*BY, "rep").orderBy(rs.draw(F.col("_i"), F.col("rep") + F.col("unit_id")), "_i")) <= F.col("_n1")
     null = stats.auc(r.withColumn("cls", cls), [*BY, "rep"], "v", F.col("cls")).select(*BY, "rep", "selectivity")
     own = stats.auc(x, BY, "v", F.col("cls")).select(*BY, F.lit(0).alias("rep"), "selectivity")
-    p = rs.permutation_p(own.unionByName(null), BY, "selectivity", plus_one=False)
+    p = _rounded(rs.permutation_p(own.unionByName(null), BY, "selectivity", plus_one=False))
     return p.withColumn("significant", F.col("p") < 0.05).withColumn("direction", F.when(F.col("significant"), F.when(F.col("observed") > 0, "positive").otherwise("negative")))
 
 
@@ -246,10 +303,10 @@ def perm_mouse(d: Data, n: int = 200) -> DataFrame:
     return v.drop("reward_group").join(labels, "mouse")
 
 
-@book("res_perm_mouse")
-@book("res_hier_pipeline")
+@book("res_perm_mouse", _PM + _DIFF + _perm_p_sql("area", "diff", "g"), "roc")
+@book("res_hier_pipeline", _PM + _DIFF + _perm_p_sql("area", "diff", "g"), "roc")
 def _(d: Data) -> DataFrame:
-    return rs.permutation_p(group_difference(perm_mouse(d), ["area", "rep"]), ["area"], "diff")
+    return _rounded(rs.permutation_p(group_difference(perm_mouse(d), ["area", "rep"]), ["area"], "diff"))
 
 
 @book("res_perm_omnibus")
@@ -261,14 +318,17 @@ def _(d: Data) -> DataFrame:
     return per.unionByName(top.withColumn("p_adj", F.col("p")))
 
 
-@book("res_perm_cross")
+_CROSS = "WITH " + _GROUPS + ", f AS (SELECT mouse_id, area_acronym_custom AS area, avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_active') AS w, avg(CAST(significant AS INT)) FILTER (analysis_type = 'auditory_active') AS a FROM roc WHERE mouse_id IS NOT NULL GROUP BY 1, 2), mv AS (SELECT CAST(regexp_extract(mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, reward_group, area, w - a AS delta FROM f JOIN grp USING (mouse_id) WHERE w IS NOT NULL AND a IS NOT NULL AND area IS NOT NULL), " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 200)
+
+
+@book("res_perm_cross", _CROSS + _DIFF + _perm_p_sql("area", "diff", "g"), "roc")
 def _(d: Data) -> DataFrame:
     """Difference in differences: the group effect on whisker minus that on auditory fractions."""
     r = d.roc().where("mouse_id is not null").groupBy("mouse_id", F.col("area_acronym_custom").alias("area")).agg(*[F.avg(F.when(F.col("analysis_type") == k, F.col("significant").cast("int"))).alias(k) for k in ("whisker_active", "auditory_active")]).dropna()
     g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
     v = r.join(g, "mouse_id").select(F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long").alias("mouse"), "reward_group", "area", (F.col("whisker_active") - F.col("auditory_active")).alias("delta"))
     labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
-    return rs.permutation_p(group_difference(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"]), ["area"], "diff")
+    return _rounded(rs.permutation_p(group_difference(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"]), ["area"], "diff"))
 
 
 def _mouse_area(d: Data) -> DataFrame:
@@ -283,14 +343,17 @@ def _focality_of(x: DataFrame, by: list[str], times: str | None = None) -> DataF
     return stats.focality(p, by, "p")
 
 
-@book("res_perm_focality")
+_FOC = "WITH " + _MA + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM ma", 200) + ", sh AS (SELECT rep, lab.reward_group, area, sum(k) / sum(n) AS p FROM ma JOIN lab USING (mouse) GROUP BY 1, 2, 3), fo AS (SELECT rep, reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), g AS (SELECT 'focality' AS what, rep, max(f) FILTER (reward_group = 1) - max(f) FILTER (reward_group = 0) AS diff FROM fo GROUP BY 2)"
+
+
+@book("res_perm_focality", _FOC + _perm_p_sql("what", "diff", "g"), "roc")
 def _(d: Data) -> DataFrame:
     v = _mouse_area(d)
     labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
     f = _focality_of(v.drop("reward_group").join(labels, "mouse"), ["rep", "reward_group"])
     m = lambda k: F.max(F.when(F.col("reward_group") == k, F.col("focality")))
     diff = f.groupBy("rep").agg((m(1) - m(0)).alias("diff")).withColumn("what", F.lit("focality"))
-    return rs.permutation_p(diff, ["what"], "diff")
+    return _rounded(rs.permutation_p(diff, ["what"], "diff"))
 
 
 def _boot(d: Data, n: int, keep_times: bool) -> DataFrame:
@@ -300,15 +363,18 @@ def _boot(d: Data, n: int, keep_times: bool) -> DataFrame:
         b = b.withColumn("times", F.lit(1))
     f = _focality_of(v.join(b, ["reward_group", "mouse"]), ["reward_group", "rep"], "times")
     ci = f.groupBy("reward_group").agg(F.percentile("focality", F.array(F.lit(0.025), F.lit(0.975))).alias("c"), F.count("focality").alias("n_rep"))
-    return _focality_of(v, ["reward_group"]).join(ci, "reward_group").select("reward_group", "focality", F.element_at("c", 1).alias("low"), F.element_at("c", 2).alias("high"), "n_rep")
+    return _focality_of(v, ["reward_group"]).join(ci, "reward_group").select("reward_group", F.round("focality", 6).alias("focality"), F.round(F.element_at("c", 1), 6).alias("low"), F.round(F.element_at("c", 2), 6).alias("high"), "n_rep")
 
 
-@book("res_boot_mouse")
+_BM = "WITH " + _MA + ", " + _draws_sql("SELECT DISTINCT reward_group, mouse FROM ma", 200, "reward_group", "mouse") + ", sh AS (SELECT reward_group, rep, area, sum(k * {t}) / sum(n * {t}) AS p FROM ma JOIN bd USING (reward_group, mouse) GROUP BY 1, 2, 3), fo AS (SELECT reward_group, rep, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), own AS (SELECT reward_group, area, sum(k) / sum(n) AS p FROM ma GROUP BY 1, 2), ow AS (SELECT reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS focality FROM own GROUP BY 1) SELECT reward_group, round(any_value(focality), 6) AS focality, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high, count(f) AS n_rep FROM fo JOIN ow USING (reward_group) GROUP BY 1"
+
+
+@book("res_boot_mouse", _BM.format(t="times"), "roc")
 def _(d: Data) -> DataFrame:
     return _boot(d, 200, True)
 
 
-@book("res_boot_mouse_set")
+@book("res_boot_mouse_set", _BM.format(t="1"), "roc")
 def _(d: Data) -> DataFrame:
     return _boot(d, 200, False)
 
@@ -359,14 +425,18 @@ def _(d: Data) -> DataFrame:
     return x.groupBy("area", "mean").agg(F.max(F.when(F.col("s.end") == "low", at)).alias("low"), F.max(F.when(F.col("s.end") == "high", at)).alias("high"))
 
 
-@book("smp_with_repl")
+@book("smp_with_repl", "WITH " + _MV + ", " + _draws_sql("SELECT DISTINCT reward_group, mouse FROM mv", 50, "reward_group", "mouse") + " SELECT reward_group, mouse, CAST(rep AS INT) AS rep, times FROM bd", "roc")
 def _(d: Data) -> DataFrame:
     return rs.bootstrap_draws(mouse_values(d), ["reward_group"], "mouse", 50)
 
 
-@book("res_boot_mean")
+_BME = "WITH " + _MV + ", " + _draws_sql("SELECT DISTINCT area, mouse FROM mv", 200, "area", "mouse") + ", m AS (SELECT area, rep, sum(delta * times) / sum(times) AS m FROM mv JOIN bd USING (area, mouse) GROUP BY 1, 2), ow AS (SELECT area, avg(delta) AS mean FROM mv GROUP BY 1) SELECT area, round(any_value(mean), 5) + 0.0 AS mean, round(quantile_cont(m, 0.025), 5) + 0.0 AS low, round(quantile_cont(m, 0.975), 5) + 0.0 AS high FROM m JOIN ow USING (area) GROUP BY 1"
+
+
+@book("res_boot_mean", _BME, "roc")
 def _(d: Data) -> DataFrame:
-    return rs.bootstrap_mean(mouse_values(d), ["reward_group", "area"], "mouse", "delta", 200)
+    b = rs.bootstrap_mean(mouse_values(d), ["area"], "mouse", "delta", 200)
+    return b.select("area", *[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "low", "high")])
 
 
 @book("res_perm_region")
@@ -391,7 +461,7 @@ def f_statistic(x: DataFrame, by: list[str], group: str, value: str) -> DataFram
     t = g.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
     between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
     within = F.col("q") - F.col("b")
-    return t.where("k > 1 and n > k").select(*by, F.try_divide(between / (F.col("k") - 1), F.nullif(within / (F.col("n") - F.col("k")), F.lit(0.0))).alias("f"))
+    return t.where("k > 1 and n > k").select(*by, F.when(within > 1e-6, between / (F.col("k") - 1) / (within / (F.col("n") - F.col("k")))).alias("f"))
 
 
 _FSQL = "WITH n AS (SELECT DISTINCT result_id, area, reward_group, CASE WHEN isnan(shift_magnitude) THEN NULL ELSE shift_magnitude END AS x FROM neuron_results), g AS (SELECT area, reward_group, count(x) AS n, sum(x) AS s, sum(x * x) AS q FROM n WHERE x IS NOT NULL GROUP BY 1, 2), t AS (SELECT area, sum(n) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g GROUP BY 1) SELECT area, round((b - s * s / n) / (k - 1) / ((q - b) / (n - k)), 4) AS f FROM t WHERE k > 1 AND n > k"
@@ -402,12 +472,15 @@ def _(d: Data) -> DataFrame:
     return f_statistic(shifts(d).where("x is not null"), ["area"], "reward_group", "x").withColumn("f", F.round("f", 4))
 
 
-@book("res_permanova")
+_PMA = _PM + ", gs AS (SELECT area, rep, lab.reward_group, count(*) AS n, sum(delta) AS s, sum(delta * delta) AS q FROM mv JOIN lab USING (mouse) GROUP BY 1, 2, 3), t AS (SELECT area, rep, sum(n) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM gs GROUP BY 1, 2), g AS (SELECT area, rep, CASE WHEN q - b > 1e-6 THEN round((b - s * s / n) / (k - 1) / ((q - b) / (n - k)), 6) END AS f FROM t WHERE k > 1 AND n > k)"
+
+
+@book("res_permanova", _PMA + _perm_p_sql("area", "f", "g", "{v} >= o - 1e-12"), "roc")
 def _(d: Data) -> DataFrame:
     v = mouse_values(d)
     labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
-    f = f_statistic(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"], "reward_group", "delta")
-    return rs.permutation_p(f, ["area"], "f", "greater")
+    f = f_statistic(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"], "reward_group", "delta").withColumn("f", F.round("f", 6))
+    return _rounded(rs.permutation_p(f, ["area"], "f", "greater"))
 
 
 @book("res_permanova_mv")
@@ -453,13 +526,19 @@ def _(d: Data) -> DataFrame:
 _R2 = _CNT + ", s AS (SELECT session_id, unit_id, event_id, post, row_number() OVER w - 1 AS k, coalesce(sum(post) OVER (PARTITION BY session_id, unit_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, count(*) OVER g AS n, sum(post) OVER g AS t, sum(post * post) OVER g AS q FROM c WINDOW w AS (PARTITION BY session_id, unit_id ORDER BY event_id), g AS (PARTITION BY session_id, unit_id)) SELECT session_id, unit_id, k AS split, round(CASE WHEN q - t * t / n > 1e-9 THEN greatest((s * s / k + (t - s) * (t - s) / (n - k) - t * t / n) / (q - t * t / n), 0) ELSE 0 END, 5) + 0.0 AS r2 FROM s WHERE k > 0"
 
 
-@book("fit_r2_step", _R2.replace("s * s / k", "CAST(s AS DOUBLE) * s / k").replace("(t - s) * (t - s) / (n - k)", "CAST(t - s AS DOUBLE) * (t - s) / (n - k)").replace("t * t / n", "CAST(t AS DOUBLE) * t / n"), "us sp tr")
+_R2_SQL = _R2.replace("s * s / k", "CAST(s AS DOUBLE) * s / k").replace("(t - s) * (t - s) / (n - k)", "CAST(t - s AS DOUBLE) * (t - s) / (n - k)").replace("t * t / n", "CAST(t AS DOUBLE) * t / n")
+
+
+@book("fit_r2_step", _R2_SQL, "us sp tr")
 def _(d: Data) -> DataFrame:
     return rs.step_r2(response_counts(d), ["session_id", "unit_id"], "event_id", "post").withColumn("r2", F.round("r2", 5) + 0.0)
 
 
-@book("res_pseudosession")
-@book("cmp_unit_inflection")
+_PS = _R2_SQL[: _R2_SQL.index("SELECT session_id, unit_id, k AS split")] + ", r AS (SELECT session_id, unit_id, k AS split, " + _R2_SQL[_R2_SQL.index("round(CASE") + 6 : _R2_SQL.index(", 5) + 0.0 AS r2")] + " AS r2 FROM s WHERE k > 0), y AS (SELECT *, max(split) OVER (PARTITION BY session_id, unit_id) AS n FROM r), z AS (SELECT *, max(CASE WHEN split = greatest(n // 2, 1) THEN r2 END) OVER (PARTITION BY session_id, unit_id) AS o, 1000 * split // n - 1000 * (split - 1) // n AS t FROM y) SELECT session_id, unit_id, round(max(o), 5) + 0.0 AS observed, round((sum(CASE WHEN r2 >= o - 1e-9 THEN t ELSE 0 END) + 1) / (sum(t) + 1.0), 6) AS p FROM z GROUP BY 1, 2"
+
+
+@book("res_pseudosession", _PS, "us sp tr")
+@book("cmp_unit_inflection", _PS, "us sp tr")
 def _(d: Data) -> DataFrame:
     """R squared at a given split against those at random pseudo splits: only the distinct splits are computed, weighted by how
     often 1000 draws pick them."""
@@ -467,7 +546,8 @@ def _(d: Data) -> DataFrame:
     w = W.partitionBy("session_id", "unit_id")
     x = r2.withColumn("n", F.max("split").over(w)).withColumn("own", F.floor(F.col("n") / 2)).withColumn("o", F.max(F.when(F.col("split") == F.greatest(F.col("own"), F.lit(1)), F.col("r2"))).over(w))
     times = F.floor(1000 * F.col("split") / F.col("n")) - F.floor(1000 * (F.col("split") - 1) / F.col("n"))
-    return x.withColumn("t", times).groupBy("session_id", "unit_id").agg(F.max("o").alias("observed"), ((F.sum(F.when(F.col("r2") >= F.col("o") - 1e-12, F.col("t")).otherwise(0)) + 1) / (F.sum("t") + 1)).alias("p"))
+    p = (F.sum(F.when(F.col("r2") >= F.col("o") - 1e-9, F.col("t")).otherwise(0)) + 1) / (F.sum("t") + 1)
+    return x.withColumn("t", times).groupBy("session_id", "unit_id").agg((F.round(F.max("o"), 5) + 0.0).alias("observed"), F.round(p, 6).alias("p"))
 
 
 @book("res_artifact")

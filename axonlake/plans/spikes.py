@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from axonlake.operators import hist, interval
-from axonlake.plans.registry import Book, Data
+from axonlake.plans.registry import CTE, Book, Data
 
 book = Book()
 S = 1_000_000
@@ -81,16 +81,21 @@ def _(d: Data) -> DataFrame:
     return interval.drop_near(licks(d), ref, KEYS, 500_000)
 
 
-_FOLD = """r AS (SELECT session_id, unit_id, t_us, 1 AS step FROM (SELECT *, row_number() OVER (PARTITION BY session_id, unit_id ORDER BY t_us) AS k FROM sp) WHERE k = 1
-UNION ALL SELECT session_id, unit_id, (SELECT min(t_us) FROM sp WHERE sp.session_id = r.session_id AND sp.unit_id = r.unit_id AND sp.t_us > r.t_us + 1000000), step + 1 FROM r WHERE t_us IS NOT NULL)"""
+def _fold_sql(table: str, keys: str, gap: int) -> str:
+    """The greedy filter as a recursive query: from each kept time on to the first time beyond the gap."""
+    on = " AND ".join(f"nx.{k} = r.{k}" for k in keys.split(", "))
+    return (
+        f"nx AS (SELECT {keys}, t_us, min(t_us) OVER (PARTITION BY {keys} ORDER BY t_us RANGE BETWEEN {gap + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, min(t_us) OVER (PARTITION BY {keys}) AS first_us FROM (SELECT DISTINCT {keys}, t_us FROM {table})), "
+        f"r AS (SELECT {keys}, t_us, nxt FROM nx WHERE t_us = first_us UNION ALL SELECT nx.{keys.replace(', ', ', nx.')}, nx.t_us, nx.nxt FROM r JOIN nx ON {on} AND nx.t_us = r.nxt)"
+    )
 
 
-@book("win_refractory")
+@book("win_refractory", "WITH RECURSIVE " + CTE["sp"] + ", " + _fold_sql("sp", "session_id, unit_id", S) + " SELECT session_id, unit_id, t_us FROM r", "")
 def _(d: Data) -> DataFrame:
     return interval.refractory(d.spikes(), ["session_id", "unit_id"], S)
 
 
-@book("cmp_lick_filter")
+@book("cmp_lick_filter", "WITH RECURSIVE " + CTE["tr"] + f", {_LICKS}, " + _fold_sql("licks", "session_id", 300_000) + " SELECT session_id, t_us FROM r WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.session_id = r.session_id AND r.t_us > tr.at_us AND r.t_us - tr.at_us <= 500000)", "")
 def _(d: Data) -> DataFrame:
     ref = d.trial_rows().select("session_id", F.col("at_us").alias("ref_us"))
     return interval.drop_near(interval.refractory(licks(d), KEYS, 300_000), ref, KEYS, 500_000)
