@@ -13,19 +13,13 @@ book = Book()
 S = 1_000_000
 KEYS = ["session_id"]
 
-# units of one probe only, so that pair results stay readable
-_SPA = "sa AS (SELECT sp.*, row_number() OVER (PARTITION BY sp.session_id, sp.unit_id, t_us ORDER BY 1) AS s FROM sp JOIN (SELECT DISTINCT session_id, unit_id FROM units WHERE imec_id = 0 AND presenceRatio > 0.9) q ON q.session_id = sp.session_id AND q.unit_id = sp.unit_id)"
+_SPA = "sa AS (SELECT sp.*, row_number() OVER (PARTITION BY session_id, unit_id, t_us ORDER BY 1) AS s FROM sp)"
 _LP = f"{_SPA}, lp AS (SELECT a.session_id, a.unit_id AS unit_a, b.unit_id AS unit_b, b.t_us - a.t_us AS dt FROM sa a JOIN sa b ON a.session_id = b.session_id AND b.t_us BETWEEN a.t_us AND a.t_us + 100000 AND NOT (a.unit_id = b.unit_id AND a.t_us = b.t_us AND a.s >= b.s))"
 _CCG = f"{_LP}, h AS (SELECT session_id, unit_a, unit_b, dt // 10000 AS lag_bin, count(*) AS n FROM lp WHERE dt < 100000 GROUP BY 1, 2, 3, 4), ccg AS (SELECT session_id, unit_a, unit_b, lag_bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM h UNION ALL SELECT session_id, unit_b, unit_a, -lag_bin, n FROM h) GROUP BY 1, 2, 3, 4)"
 
 
-def stable_spikes(d: Data) -> DataFrame:
-    ok = d.units.where("imec_id = 0 and presenceRatio > 0.9").select("session_id", "unit_id").distinct()
-    return d.spikes().join(ok, ["session_id", "unit_id"], "left_semi")
-
-
 def ccg(d: Data) -> DataFrame:
-    return corr.correlogram(stable_spikes(d), KEYS, "unit_id", 100_000, 10_000)
+    return corr.correlogram(d.spikes(), KEYS, "unit_id", 100_000, 10_000)
 
 
 @book("ccg_all", f"WITH {_CCG} SELECT * FROM ccg", "sp")
@@ -39,19 +33,19 @@ _EDGES = [0, 1000, 2000, 5000, 10000, 20000, 50000, 100000]
 
 @book("ccg_log", f"WITH {_LP} SELECT session_id, unit_a, unit_b, " + " + ".join(f"CAST(dt >= {e} AS INT)" for e in _EDGES) + " - 1 AS log_bin, count(*) AS n FROM lp GROUP BY 1, 2, 3, 4", "sp")
 def _(d: Data) -> DataFrame:
-    p = corr.lag_pairs(stable_spikes(d), KEYS, "unit_id", 100_000)
+    p = corr.lag_pairs(d.spikes(), KEYS, "unit_id", 100_000)
     b = F.size(F.filter(F.array(*[F.lit(e) for e in _EDGES]), lambda e: e <= F.col("dt"))) - 1
     return p.groupBy("session_id", "unit_a", "unit_b", b.alias("log_bin")).agg(F.count("*").alias("n"))
 
 
 @book("ccg_norm", f"WITH {_CCG}, k AS (SELECT session_id, unit_id, count(*) AS k FROM sa GROUP BY 1, 2), w AS (SELECT session_id, (max(t_us) - min(t_us)) / 1e6 AS span FROM sa GROUP BY 1) SELECT ccg.*, round(n / (a.k * 0.01), 5) AS hertz, round((n - a.k * b.k * 0.01 / span) / sqrt(a.k * b.k * 0.01 / span), 5) AS pearson FROM ccg JOIN k a ON a.session_id = ccg.session_id AND a.unit_id = unit_a JOIN k b ON b.session_id = ccg.session_id AND b.unit_id = unit_b JOIN w ON w.session_id = ccg.session_id", "sp")
 def _(d: Data) -> DataFrame:
-    return corr.normalise_ccg(ccg(d), stable_spikes(d), KEYS, "unit_id", 10_000).withColumns({c: F.round(c, 5) for c in ("hertz", "pearson")})
+    return corr.normalise_ccg(ccg(d), d.spikes(), KEYS, "unit_id", 10_000).withColumns({c: F.round(c, 5) for c in ("hertz", "pearson")})
 
 
 @book("ccg_centered", f"WITH {_LP} SELECT session_id, unit_a, unit_b, CAST(floor(0.5 + dt / 10000.0) AS BIGINT) AS lag_bin, count(*) AS n FROM lp GROUP BY 1, 2, 3, 4", "sp")
 def _(d: Data) -> DataFrame:
-    p = corr.lag_pairs(stable_spikes(d), KEYS, "unit_id", 100_000)
+    p = corr.lag_pairs(d.spikes(), KEYS, "unit_id", 100_000)
     return p.groupBy("session_id", "unit_a", "unit_b", F.floor(0.5 + F.col("dt") / 10000.0).alias("lag_bin")).agg(F.count("*").alias("n"))
 
 
@@ -90,7 +84,7 @@ def _(d: Data) -> DataFrame:
 @book("cch_jitter")
 def _(d: Data) -> DataFrame:
     """Mean correlogram over surrogates whose spikes are dithered by up to 10 ms, by a hash of spike and repetition."""
-    s = rs.repetitions(stable_spikes(d), 10)
+    s = rs.repetitions(d.spikes(), 10)
     j = F.pmod(F.xxhash64("session_id", "unit_id", "t_us", "rep"), F.lit(20001)) - 10000
     dithered = s.select("session_id", "rep", "unit_id", (F.col("t_us") + j).alias("t_us"))
     c = corr.correlogram(dithered, ["session_id", "rep"], "unit_id", 100_000, 10_000).where("unit_a <> unit_b")

@@ -131,7 +131,9 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """Meta clusters of the ten label means (a bounded table) by average linkage on 1 - r."""
     e = d.embeddings.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
-    m = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m")).limit(1000).toPandas().sort_values("label")
+    m = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m")).limit(5001).toPandas().sort_values("label")
+    if len(m) > 5000:
+        raise ValueError("meta clusters are for a bounded number of cluster means")
     k = fit.linkage_labels(np.array(m["m"].tolist()), 4)
     return d.spark.createDataFrame(list(zip([int(x) for x in m["label"]], [int(x) for x in k])), "label int, meta int")
 

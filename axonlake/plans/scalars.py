@@ -305,7 +305,7 @@ def _(d: Data) -> DataFrame:
 @book("snk_versioned", _SNK)
 def _(d: Data) -> DataFrame:
     path = scratch_dir(d.spark, "versioned")
-    sources.write_versioned(_glm_rows(d).limit(5), path, "20240101-aaaaaaa")  # an older version, to be passed over
+    sources.write_versioned(_glm_rows(d).where("model_type = 'full'"), path, "20240101-aaaaaaa")  # an older version, to be passed over
     sources.write_versioned(_glm_rows(d), path, "20240202-bbbbbbb")
     return _shape(sources.read_latest(d.spark, path))
 
