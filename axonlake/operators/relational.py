@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def domain(df: DataFrame, *column_sets: list[str]) -> DataFrame:
-    """The product of the distinct values of each column set: a small spine of labels, not of rows."""
-    parts = [df.select(*c).dropna().distinct() for c in column_sets]
-    return reduce(lambda a, b: a.join(b), parts)
+    """The product of the distinct values of each column set: a spine of labels, not of rows.
+
+    The first set may be large; each further one is a set of labels (areas, directions, analyses) that is gathered into one
+    array and unfolded beside every row, so no join is needed. Rows with a null label are left out.
+    """
+    out = df.select(*column_sets[0]).dropna().distinct()
+    for c in column_sets[1:]:
+        labels = df.select(*c).dropna().agg(F.collect_set(F.struct(*c))).scalar()
+        out = out.withColumn("_l", labels).withColumn("_l", F.explode("_l")).select(*out.columns, *[F.col(f"_l.{x}").alias(x) for x in c])
+    return out
 
 
 def fill_domain(df: DataFrame, spine: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
