@@ -23,7 +23,6 @@ def ccg(d: Data) -> DataFrame:
 
 
 @book("ccg_all", f"WITH {_CCG} SELECT * FROM ccg", "sp")
-@book("cmp_acg", f"WITH {_CCG} SELECT * FROM ccg", "sp")
 def _(d: Data) -> DataFrame:
     return ccg(d)
 
@@ -76,7 +75,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("cch_interactions", _CCH + ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 6) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 6) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_a, unit_b ORDER BY lag_bin) AS i FROM f WHERE lag_bin BETWEEN 1 AND 5 AND s > 0 AND abs(n - m) > 2.01 * s) SELECT session_id, unit_a, unit_b, lag_bin, n AS peak, CASE WHEN n > m THEN 'excitatory' ELSE 'inhibitory' END AS kind FROM k WHERE i = 1", "sp")
-@book("cmp_xcorr_area", _CCH + ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 6) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 6) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_a, unit_b ORDER BY lag_bin) AS i FROM f WHERE lag_bin BETWEEN 1 AND 5 AND s > 0 AND abs(n - m) > 2.01 * s) SELECT session_id, unit_a, unit_b, lag_bin, n AS peak, CASE WHEN n > m THEN 'excitatory' ELSE 'inhibitory' END AS kind FROM k WHERE i = 1", "sp")
 def _(d: Data) -> DataFrame:
     return corr.interactions(cch(d), ["session_id", "unit_a", "unit_b"], 1, 5, 2.01, 6)
 
@@ -181,7 +179,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("agg_ccg_lag_mean", _SER.format(a=-3, y="zy") + "SELECT CAST(lag AS INT) AS lag, count(r) AS n, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r) / sqrt(count(r)), 6) AS sem FROM xl GROUP BY 1", "us sp tr")
-@book("cmp_ccg_by_sign", _SER.format(a=-3, y="zy") + "SELECT CAST(lag AS INT) AS lag, count(r) AS n, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r) / sqrt(count(r)), 6) AS sem FROM xl GROUP BY 1", "us sp tr")
 def _(d: Data) -> DataFrame:
     return trial_lags(d).groupBy("lag").agg(F.count("r").alias("n"), (F.round(F.avg("r"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("r") / F.sqrt(F.count("r")), 6).alias("sem"))
 
@@ -500,7 +497,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("res_shift_session")
-@book("cmp_shift_run")
 @book("cmp_shift_helpers")
 def _(d: Data) -> DataFrame:
     """Two epochs (baseline, response) x two factors (lick, reward) per unit, with the quadrant of the two response tests."""

@@ -116,7 +116,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("fit_rastermap")
-@book("cmp_cluster_pipeline")
 def _(d: Data) -> DataFrame:
     """Units ordered along the first principal component: the stated substitute for an external one-dimensional embedding."""
     from pyspark.ml.feature import PCA
@@ -166,7 +165,6 @@ def unit_table(d: Data) -> DataFrame:
 
 
 @book("agg_quality")
-@book("cmp_noise_units")
 def _(d: Data) -> DataFrame:
     return quality.score_units(unit_table(d), UNIT)
 

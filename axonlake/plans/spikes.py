@@ -175,7 +175,6 @@ def _per_trial(d: Data) -> DataFrame:
 
 
 @book("agg_psth_sem", _SUB.format(sd="stddev_pop"), "us sp tr")
-@book("cmp_passive_psth", _SUB.format(sd="stddev_pop"), "us sp tr")
 def _(d: Data) -> DataFrame:
     return _per_trial(d).groupBy("session_id", "unit_id", "ctx", "bin").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value") / F.sqrt(F.count("*")), 5).alias("sem"))
 
@@ -273,7 +272,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("win_boxcar_causal", _RATES + f"SELECT session_id, unit_id, bin, round(sum(rate) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 5) AS smooth FROM p", "us sp tr")
-@book("cmp_bin_variants", _RATES + f"SELECT session_id, unit_id, bin, round(sum(rate) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 5) AS smooth FROM p", "us sp tr")
 def _(d: Data) -> DataFrame:
     return hist.boxcar(_rate_rows(d), ["session_id", "unit_id"], "bin", "rate", 3).select("session_id", "unit_id", "bin", F.round("smooth", 5).alias("smooth"))
 

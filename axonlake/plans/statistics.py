@@ -267,7 +267,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("agg_mouse_means", _MM + "SELECT mouse_id, area, analysis_type, round(f, 6) AS f FROM m", "roc")
-@book("cmp_lookup_cell", _MM + "SELECT mouse_id, area, analysis_type, round(f, 6) AS f FROM m", "roc")
 def _(d: Data) -> DataFrame:
     return mouse_fractions(d).withColumn("f", F.round("f", 6))
 
@@ -363,7 +362,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("agg_population_resp", _CNT + "SELECT session_id, event_id, round(avg(post - pre), 6) AS mean, round(quantile_cont(post - pre, 0.5), 6) AS median, CAST(sum(post - pre) AS BIGINT) AS total FROM c GROUP BY 1, 2", "us sp tr")
-@book("cmp_pop_inflection", _CNT + "SELECT session_id, event_id, round(avg(post - pre), 6) AS mean, round(quantile_cont(post - pre, 0.5), 6) AS median, CAST(sum(post - pre) AS BIGINT) AS total FROM c GROUP BY 1, 2", "us sp tr")
 def _(d: Data) -> DataFrame:
     x = response_counts(d).withColumn("x", F.col("post") - F.col("pre"))
     return x.groupBy("session_id", "event_id").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"), F.sum("x").alias("total"))
