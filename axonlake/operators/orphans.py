@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from axonlake.session import materialise
+
 WORD = 64
 
 
@@ -72,7 +74,7 @@ def _collect(refs: list[Reference]) -> DataFrame:
     return out
 
 
-def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str = "registered_at", valid_to: str = "deleted_at", salt: int = 8) -> DataFrame:
+def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str = "registered_at", valid_to: str = "deleted_at", salt: int = 8, broadcast_rows: int = 50_000) -> DataFrame:
     """All references without a valid parent: ref_table, row id, scope, number, at, period (months since year 0), state.
 
     A reference is valid if some parent row with its key has ``valid_from <= at`` and ``valid_to`` null or later than
@@ -107,22 +109,27 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
         .where("_bits <> 0")
         .drop("_have")
     )
-    maybe = decode(left)
-    # the exact check of what survived
+    # few survive; written once, as both sides of the exact check start from them
+    maybe = materialise(decode(left), "orphans")
+    # the exact check of what survived: broadcast only if it is small by count, else a salted merge join. The choice is not
+    # left to file sizes, as these rows compress to a small part of what they take in memory.
     salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     key = ["_space", "_scope", "_num"]
-    cand = maybe.select(*key, "_p").withColumn("_x", salts)
     mine = F.pmod(F.xxhash64("_row", "ref_table"), F.lit(salt)).cast("int")
-    suspects = r.withColumn("_x", mine).join(cand, [*key, "_p", "_x"], "left_semi")
+    r = r.withColumn("_x", mine)
+    if maybe.count() <= broadcast_rows:
+        suspects = r.join(F.broadcast(maybe.select(*key, "_p")), [*key, "_p"], "left_semi")
+    else:
+        suspects = r.join(maybe.select(*key, "_p").withColumn("_x", salts).hint("merge"), [*key, "_p", "_x"], "left_semi")
     # bounds per key: all that the states need, one row per key whatever the number of parent rows
     maybe_keys = maybe.select(*key).distinct()
-    near = p.join(maybe_keys, key, "left_semi")
+    near = p.join(maybe_keys.hint("merge"), key, "left_semi")
     bounds = near.groupBy(*key).agg(F.min("_from").alias("_first")).withColumn("_x", salts)
     intervals = near.select(*key, "_from", "_to").distinct().withColumn("_x", salts)
     s, i = suspects.alias("s"), intervals.alias("i")
     on = [F.col(f"s.{c}") == F.col(f"i.{c}") for c in [*key, "_x"]] + [F.col("i._from") <= F.col("s._at"), F.col("i._to").isNull() | (F.col("i._to") > F.col("s._at"))]
     bad = s.join(i, on, "left_anti")
-    lost = r.where(F.col("_scope").isNull() | F.col("_p").isNull()).withColumn("_x", mine)
+    lost = r.where(F.col("_scope").isNull() | F.col("_p").isNull())
     bad = bad.unionByName(lost).join(bounds, [*key, "_x"], "left")
     state = F.when(F.col("_first").isNull(), "unknown").when(F.col("_first") > F.col("_at"), "early").otherwise("deleted")
     names = ["ref_table", "_row", "_scope", "_num", "_at", "_p"]
