@@ -63,6 +63,7 @@ def percentiles_by_bisection(
     sections: int = 256,
     max_passes: int = 80,
     salt: int = 16,
+    broadcast_rows: int = 20_000,
     summary: DataFrame | None = None,
 ) -> DataFrame:
     """groups..., percentile, n, value, lower, upper: percentiles interpolated linearly between the two nearest ranks.
@@ -73,9 +74,9 @@ def percentiles_by_bisection(
     Empty input gives no rows. ``summary``: a combined summary of exactly these rows, to save the first pass.
 
     Scale: the first pass is one aggregate with map-side combine; the second keeps only rows inside open intervals (a
-    small part of the data, written to the shared folder); each later pass counts those. The join of rows with the
-    intervals of their group carries a salt, so that a group with a third of all rows is spread over ``salt`` tasks and
-    more by adaptive execution.
+    small part of the data, written to the shared folder); each later pass counts those. Up to ``broadcast_rows`` open
+    intervals are broadcast; beyond that the join of rows with the intervals of their group carries a salt, so that a group
+    with a third of all rows is spread over ``salt`` tasks and more by adaptive execution.
     """
     ks = [f"_k{i}" for i in range(len(groups))]
     v = F.col(value).cast("double")
@@ -88,10 +89,16 @@ def percentiles_by_bisection(
     kept = False
     for _ in range(max_passes):
         todo = state.where(is_open).select(*ks, "lo", "hi").distinct()
-        if not todo.take(1):
+        n_open = todo.count()
+        if not n_open:
             break
-        spans = todo.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        inside = rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("r._x") == F.col("s._x"), F.col("r._v").between(F.col("s.lo"), F.col("s.hi"))]).select(*[F.col(f"r.{k}") for k in ks], "r._v", "r._x", "s.lo", "s.hi")
+        within = F.col("r._v").between(F.col("s.lo"), F.col("s.hi"))
+        if n_open <= broadcast_rows:
+            inside = rows.alias("r").join(F.broadcast(todo).alias("s"), [*same("r", "s"), within])
+        else:
+            spans = todo.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
+            inside = rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("r._x") == F.col("s._x"), within])
+        inside = inside.select(*[F.col(f"r.{k}") for k in ks], "r._v", "r._x", "s.lo", "s.hi")
         if not kept:
             inside = materialise(inside, "bisect")
             rows, kept = inside.select(*ks, "_v", "_x"), True
@@ -106,7 +113,8 @@ def percentiles_by_bisection(
         counted = inside.groupBy(*ks, "lo", "hi", section.alias("section")).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         below = F.coalesce(F.sum("n").over(W.partitionBy(*ks, "lo", "hi").orderBy("section").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         counted = counted.withColumn("_below", below)
-        s, c = state.where(is_open).alias("s"), counted.alias("c")
+        still = state.where(is_open)
+        s, c = (F.broadcast(still) if n_open <= broadcast_rows else still.hint("merge")).alias("s"), counted.alias("c")
         at = F.col("s.rank") - F.col("s.before")
         narrowed = s.join(c, [*same("s", "c"), F.col("s.lo") == F.col("c.lo"), F.col("s.hi") == F.col("c.hi"), at >= F.col("c._below"), at < F.col("c._below") + F.col("c.n")])
         narrowed = narrowed.select(*[F.col(f"s.{k}") for k in ks], "s.percentile", "s.n_total", "s.rank", "s.share", F.col("c._lo").alias("lo"), F.col("c._hi").alias("hi"), (F.col("s.before") + F.col("c._below")).alias("before"))
