@@ -232,17 +232,21 @@ def _with_pool(p: DataFrame, salt: int = 16) -> DataFrame:
     return p.withColumn("_x", F.pmod(F.xxhash64("file_id"), F.lit(salt)).cast("int")).join(pool, [*by, "_x"], "left").drop("_x")
 
 
-def schema_changes(exports: DataFrame, least: float = 0.5) -> DataFrame:
+def schema_changes(exports: DataFrame, least: float = 0.5, profiles: DataFrame | None = None) -> DataFrame:
     """(file_id, change, field_from, field_to): each file against the one before it of its source and kind.
 
     Files are in order of written_at, then file_id. ``removed`` and ``added`` leave the other name empty; ``renamed`` is a
     field that left and one that came with one JSON type and the same kind of values; ``retyped`` repeats the name. A field
     that is null throughout a file keeps its last known type and values; if none is known, it has no type and neither
     matches nor changes type. The first file of a source and kind reports nothing. Repeated rows and files delivered twice
-    change nothing, as profiles only say what occurs. Names are case-sensitive. Empty input gives no rows.
+    change nothing, as profiles only say what occurs. Names are case-sensitive. Rows without a file_id are left out. Empty
+    input gives no rows. ``profiles``: those of ``exports``, if they are at hand.
+
+    The payloads are parsed once; the profiles, a small part of them, are written to the shared folder.
     """
-    exports = exports.where(F.col("file_id").isNotNull())
-    p = profile_fields(exports).withColumn("_m", F.date_trunc("month", "written_at"))
+    if profiles is None:
+        profiles = materialise(profile_fields(exports), "profiles")
+    p = profiles.where(F.col("file_id").isNotNull()).withColumn("_m", F.date_trunc("month", "written_at"))
     key, order = ["source_id", "kind"], ["written_at", "file_id"]
     null_safe = {c: F.coalesce(F.col(c), F.lit("\u0000")) for c in key}
     p = p.withColumns(null_safe)
@@ -301,7 +305,8 @@ def unify(exports: DataFrame) -> DataFrame:
     stays null, so that no record is lost whatever its type was. Repeated rows count once.
     """
     kind_of = exports.select("file_id", "kind").distinct()
-    names = canonical_names(schema_changes(exports), profile_fields(exports), kind_of)
+    profiles = materialise(profile_fields(exports), "profiles")
+    names = canonical_names(materialise(schema_changes(exports, profiles=profiles), "changes"), profiles, kind_of)
     rows = exports.select("source_id", "kind", "file_id", "written_at", "row_no", "payload").distinct()
     v = F.explode(F.from_json("payload", "map<string,string>"))
     cells = rows.select("source_id", "kind", "file_id", "written_at", "row_no", v.alias("name", "value")).withColumn("_x", F.pmod(F.xxhash64("file_id", "row_no"), F.lit(16)).cast("int"))

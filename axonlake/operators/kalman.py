@@ -172,6 +172,9 @@ def flag_readings(
     are ordered by the id. A null in a source column is a source of its own. Other columns of ``df`` are
     ignored, whatever their names. An empty input gives an empty result. A source whose readings never
     change has no noise: only the range rule and the stuck rule apply to it.
+
+    The ranked readings are cached (memory, then disk), as noise, sizes and blocks come from them; clear the session's cache
+    when the result has been used.
     """
     keys = [f"_s{i}" for i in range(len(source_cols))]
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c))
