@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from axonlake.operators.interval import raster
+from axonlake.operators.regular import gaps
 
 
 def fixed_bins(x: Column, lo: int, hi: int, width: int) -> Column:
@@ -116,6 +117,20 @@ def bin_means(samples: DataFrame, keys: list[str], t: str, value: str, lo: float
     return spine.join(m, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def bin_means_whole(samples: DataFrame, keys: list[str], t: str, value: str, width: float) -> DataFrame:
+    """Mean of an analog series per bin floor(t / width), from the bin of a key's first time to that of its last: keys, bin, mean, n.
+
+    An empty bin is 0, and so is one whose values are all null or NaN. A null or NaN time is no data; a null key is a series
+    of its own. Empty bins are the gaps between occupied ones, made in bounded pieces.
+    """
+    there = F.col(t).isNotNull() & ~F.isnan(t)
+    fine = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
+    x = samples.where(there).withColumn("bin", F.floor(F.col(t) / F.lit(width)).cast("long"))
+    m = x.groupBy(*keys, "bin").agg(F.coalesce(F.avg(fine), F.lit(0.0)).alias("mean"), F.count(fine).alias("n"))
+    empty = gaps(m.select(*keys, "bin"), keys, "bin").withColumns({"mean": F.lit(0.0), "n": F.lit(0).cast("long")})
+    return m.unionByName(empty)
+
+
 def first_crossing(df: DataFrame, by: list[str], t: str, value: str, frac: float, name: str = "latency") -> DataFrame:
     """First time at which the value reaches ``frac`` of the group's peak (by absolute size, keeping its sign)."""
     peak = F.max_by(value, F.abs(value)).over(W.partitionBy(*by))

@@ -315,6 +315,15 @@ def _(d: Data) -> DataFrame:
     return b.select("session_id", "signal", "bin", F.round("mean", 6).alias("mean"), "n")
 
 
+@book("agg_bin_mean_whole", """WITH s AS (SELECT DISTINCT * FROM samples), b AS (SELECT session_id, signal, CAST(floor(t) AS BIGINT) AS bin, CASE WHEN NOT isnan(value) THEN value END AS value FROM s WHERE t IS NOT NULL AND NOT isnan(t)),
+k AS (SELECT session_id, signal, unnest(range(min(bin), max(bin) + 1)) AS bin FROM b GROUP BY 1, 2)
+SELECT k.session_id, k.signal, k.bin, round(coalesce(avg(b.value), 0), 6) AS mean, count(b.value) AS n FROM k LEFT JOIN b ON b.session_id IS NOT DISTINCT FROM k.session_id AND b.signal IS NOT DISTINCT FROM k.signal AND b.bin = k.bin GROUP BY 1, 2, 3""")
+def _(d: Data) -> DataFrame:
+    """agg_bin_mean over each series from its first to its last sample, whatever the length of the recording."""
+    b = hist.bin_means_whole(d.samples.distinct(), ["session_id", "signal"], "t", "value", 1.0)
+    return b.select("session_id", "signal", "bin", F.round("mean", 6).alias("mean"), "n")
+
+
 @book("agg_event_raster_bin", f"""WITH {_LICKS}, bins AS (SELECT CAST(unnest(range(0, 8)) AS BIGINT) AS bin), h AS (SELECT tr.session_id, event_id, (t_us - at_us) // 500000 AS bin FROM licks JOIN tr ON licks.session_id = tr.session_id AND t_us >= at_us AND t_us < at_us + 4000000),
 f AS (SELECT session_id, event_id, min(bin) AS first_bin FROM h GROUP BY 1, 2)
 SELECT tr.session_id, tr.event_id, bins.bin, CASE WHEN f.first_bin = bins.bin THEN 1 ELSE 0 END AS first_only, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.session_id = tr.session_id AND h.event_id = tr.event_id AND h.bin = bins.bin) THEN 1 ELSE 0 END AS any_event

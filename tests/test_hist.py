@@ -88,3 +88,20 @@ def test_labels(spark):
     assert [r[0] for r in t.select(labels.location_map(F.col("t"))).collect()][0] == {"area": "wS1", "side": "left"}
     n = spark.createDataFrame([("[1 2.5\n 3e-1]",), ("[]",), ("[a, 2]",), (None,)], "t string")
     assert [r[0] for r in n.select(labels.parse_numbers(F.col("t"))).collect()] == [[1.0, 2.5, 0.3], [], [None, 2.0], None]
+
+
+def test_whole_bin_means_keep_every_sample_of_a_long_recording(spark):
+    x = [("s", t + 0.5, float(t)) for t in (0, 1, 75, 5000, 9999)] + [("s", 75.6, float("nan")), ("s", None, 1.0), (None, 500.0, 4.0), (None, 502.9, None)]
+    df = spark.createDataFrame(x, "k string, t double, v double")
+    got = {(r.k, r.bin): (r["mean"], r.n) for r in hist.bin_means_whole(df, ["k"], "t", "v", 1.0).collect()}
+    assert len(got) == 10_000 + 3 and sum(n for _, n in got.values()) == 6
+    assert got["s", 9999] == (9999.0, 1) and got["s", 75] == (75.0, 1) and got["s", 2] == (0.0, 0)
+    assert got[None, 500] == (4.0, 1) and got[None, 501] == got[None, 502] == (0.0, 0)
+
+
+def test_whole_bin_means_query_counts_every_sample(spark, data_dir):
+    from axonlake import plans
+    from axonlake.session import read_table
+
+    fine = read_table(spark, data_dir, "samples").distinct().where("t is not null and not isnan(t) and value is not null and not isnan(value)").count()
+    assert plans.queries()["agg_bin_mean_whole"](spark, data_dir).agg(F.sum("n")).first()[0] == fine
