@@ -58,6 +58,108 @@ def interactions(cch: DataFrame, by: list[str], lo: int = 2, hi: int = 10, sds:
     return x.groupBy(*by).agg(first.alias("f")).select(*by, "f.lag_bin", F.col("f.n").alias("peak"), "f.kind")
 
 
+def sparse_interactions(ccg: DataFrame, by: list[str], lags: int, lo: int = 2, hi: int = 10, sds: float = 7.0, flank: int = 51) -> DataFrame:
+    """``interactions`` from the counted bins alone: a bin of -lags..lags without a row is 0.
+
+    The flank enters by its moments and only the bins lo..hi are looked at one by one, so no pair is spread over its bins. A count at
+    the level itself, to 1e-9, is not beyond it.
+    """
+    size = 2.0 * (lags - flank + 1)
+    n = F.col("n").cast("double")
+    far = F.abs("lag_bin").between(flank, lags)
+    near = F.when(F.col("lag_bin").between(lo, hi), F.struct(F.col("lag_bin").cast("int").alias("k"), n.alias("v")))
+    g = ccg.groupBy(*by).agg((F.sum(F.when(far, n).otherwise(0.0)) / size).alias("_m"), (F.sum(F.when(far, n * n).otherwise(0.0)) / size).alias("_q"), F.map_from_entries(F.collect_list(near)).alias("_c"))
+    g = g.withColumn("_s", F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))).where("_s > 1e-9")
+    count = lambda k: F.coalesce(F.try_element_at("_c", k), F.lit(0.0))
+    beyond = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda k: F.abs(count(k) - F.col("_m")) > F.lit(sds) * F.col("_s") + 1e-9)
+    x = g.withColumn("_k", F.try_element_at(beyond, F.lit(1))).where("_k is not null")
+    return x.select(*by, F.col("_k").cast("long").alias("lag_bin"), count(F.col("_k")).cast("long").alias("peak"), F.when(count(F.col("_k")) > F.col("_m"), "excitatory").otherwise("inhibitory").alias("kind"))
+
+
+def dithered(spikes: DataFrame, key: str, unit: str, out: str, lags: int = 100, bin_: int = 1_000, dither: int = 10_000, n: int = 50, lo: int = 2, hi: int = 10, sds: float = 7.0, flank: int = 51, block: int = 64) -> DataFrame:
+    """Cross-correlograms against ``n`` surrogates in which the second unit's spikes are dithered by up to ``dither``.
+
+    out "mean": key, unit_a, unit_b, lag_bin, jittered (mean count over the surrogates, both orders, bins above 0).
+    out "found": key, unit_a, unit_b, lag_bin, peak, kind: the first bin in lo..hi whose count less the surrogates' mean
+    leaves 0 by ``sds`` population deviations of that difference in the flank (abs(lag_bin) >= ``flank``), both orders. A
+    flank without deviation gives no row.
+
+    Of the units a < b, b is dithered, by a hash of key, unit, time and surrogate; (b, a) is the mirror image. Lag bins are
+    those of ``correlogram``. A task holds the spikes of two blocks of ``block`` units and counts in bounded chunks.
+    """
+    u = spikes.groupBy(key, unit).agg(F.collect_list("t_us").alias("_t"))
+    names = u.select(key, unit).withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(unit)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    u = u.join(names, [key, unit]).withColumn("_b", F.floor(F.col("_r") / block).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / block).cast("int"))))
+    u = u.select(F.col(key).alias("_key"), F.col(unit).alias("_unit"), F.col("_r").cast("long").alias("_r"), "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_t")
+    width = 2 * (lags + dither // bin_ + 12) + 1
+    mid, reach = width // 2, (lags + 1) * bin_ + dither
+
+    def kernel(pdf):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        i, j = pdf["_i"].iat[0], pdf["_j"].iat[0]
+        a, b = pdf[pdf["_b"] == i].sort_values("_r"), pdf[pdf["_b"] == j].sort_values("_r")
+        name = pdf["_key"].iat[0]
+
+        def flat(x):
+            t = np.concatenate([np.asarray(v, dtype=np.int64) for v in x["_t"]])
+            w = np.repeat(np.arange(len(x)), [len(v) for v in x["_t"]])
+            o = np.argsort(t, kind="stable")
+            return t[o], w[o]
+
+        (ta, wa), (tb, wb) = flat(a), flat(b)
+        salt = np.array([zlib.crc32(f"{name}/{v}".encode()) for v in b["_unit"]], dtype=np.uint64)
+        seed = (salt[wb] << np.uint64(32)) ^ tb.astype(np.uint64)
+
+        def dithers(rep):
+            z = seed + np.uint64(rep * 0x9E3779B97F4A7C15 % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return ((z ^ (z >> np.uint64(31))) % np.uint64(2 * dither + 1)).astype(np.int64) - dither
+
+        first, last = np.searchsorted(tb, ta - reach, "left"), np.searchsorted(tb, ta + reach, "right")
+        total = np.concatenate([[0], np.cumsum(last - first)])
+        raw, jit = np.zeros((2, len(a) * len(b) * width))
+        at = 0
+        while at < len(ta):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + 500_000, "right")) - 1)
+            k = (last - first)[at:to]
+            ia = np.repeat(np.arange(at, to), k)
+            ib = np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at], k) + np.repeat(first[at:to], k)
+            if i == j:
+                keep = wa[ia] < wb[ib]
+                ia, ib = ia[keep], ib[keep]
+            dt, cell = tb[ib] - ta[ia], (wa[ia] * len(b) + wb[ib]) * width + mid
+            # truncation to zero: a negative lag bin mirrors the positive one
+            raw += np.bincount(cell + (dt / bin_).astype(np.int64), minlength=len(raw))
+            for rep in range(1, n + 1):
+                jit += np.bincount(cell + ((dt + dithers(rep)[ib]) / bin_).astype(np.int64), minlength=len(jit))
+            at = to
+        raw, jit = (x.reshape(-1, width)[:, mid - lags : mid + lags + 1] for x in (raw, jit / n))
+        ua, ub = np.repeat(a["_unit"].to_numpy(), len(b)), np.tile(b["_unit"].to_numpy(), len(a))
+        parts = []
+        for x, y, c, m in ((ua, ub, raw, jit), (ub, ua, raw[:, ::-1], jit[:, ::-1])):
+            if out == "mean":
+                p, q = np.nonzero(m)
+                parts.append(pd.DataFrame({key: name, "unit_a": x[p], "unit_b": y[p], "lag_bin": q - lags, "jittered": m[p, q]}))
+                continue
+            d = c - m
+            s = np.concatenate([d[:, : lags - flank + 1], d[:, lags + flank :]], axis=1).std(axis=1)
+            far = np.abs(d[:, lags + lo : lags + hi + 1]) > sds * s[:, None] + 1e-9
+            p = np.nonzero(far.any(axis=1) & (s > 1e-9))[0]
+            q = far[p].argmax(axis=1) + lo
+            v = d[p, q + lags]
+            parts.append(pd.DataFrame({key: name, "unit_a": x[p], "unit_b": y[p], "lag_bin": q, "peak": v, "kind": np.where(v > 0, "excitatory", "inhibitory")}))
+        return pd.concat(parts, ignore_index=True)
+
+    types = {f.name: f.dataType.simpleString() for f in spikes.schema}
+    value = "jittered double" if out == "mean" else "peak double, kind string"
+    return u.groupBy("_key", "_i", "_j").applyInPandas(kernel, f"{key} {types[key]}, unit_a {types[unit]}, unit_b {types[unit]}, lag_bin long, {value}")
+
+
 def residuals(counts: DataFrame, condition: list[str], value: str) -> DataFrame:
     """``value`` minus its mean over the condition: what is left of a response when the stimulus is taken away."""
     return counts.withColumn("residual", F.col(value) - F.avg(value).over(W.partitionBy(*condition)))

@@ -56,6 +56,15 @@ def _(d: Data) -> DataFrame:
     return p.join(u, ["session_id", "unit_a"]).groupBy("area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.coalesce("sig", F.lit(0))), 6).alias("rate"))
 
 
+@book("cmp_xcorr_area_ms", co._CCH_MS + co._HIT_MS + ", pr2 AS (SELECT DISTINCT session_id, unit_a, unit_b FROM cch), " + _AREA + " SELECT area, count(*) AS n_pairs, round(avg(CAST(hit.kind IS NOT NULL AS INT)), 6) AS rate FROM pr2 JOIN ar ON ar.session_id = pr2.session_id AND ar.unit_id = pr2.unit_a LEFT JOIN hit ON hit.session_id = pr2.session_id AND hit.unit_a = pr2.unit_a AND hit.unit_b = pr2.unit_b GROUP BY 1", "sp")
+def _(d: Data) -> DataFrame:
+    c = co.ccg_ms(d)
+    hit = corr.sparse_interactions(c, co.PAIR, 100).select(*co.PAIR, F.lit(1).alias("sig"))
+    p = c.select(*co.PAIR).distinct().join(hit, co.PAIR, "left")
+    u = d.unit_rows("ccf_parent_acronym").select("session_id", F.col("unit_id").alias("unit_a"), F.col("ccf_parent_acronym").alias("area"))
+    return p.join(u, ["session_id", "unit_a"]).groupBy("area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.coalesce("sig", F.lit(0))), 6).alias("rate"))
+
+
 @book("cmp_ccg_by_sign", co._SER.format(a=-3, y="zy") + ", q AS (SELECT session_id, unit_id, lag, round(r, 5) + 0.0 AS r FROM xl WHERE r IS NOT NULL), pk AS (SELECT session_id, unit_id, CASE WHEN arg_max(r, (abs(r), -lag)) >= 0 THEN 'positive' ELSE 'negative' END AS kind FROM q GROUP BY 1, 2) SELECT kind, CAST(lag AS INT) AS lag, count(*) AS n, round(avg(r), 6) + 0.0 AS mean FROM q JOIN pk USING (session_id, unit_id) GROUP BY 1, 2", "us sp tr")
 def _(d: Data) -> DataFrame:
     """Mean lag correlation of the units whose peak is positive, and of those whose peak is negative."""

@@ -79,23 +79,39 @@ def _(d: Data) -> DataFrame:
     return corr.interactions(cch(d), ["session_id", "unit_a", "unit_b"], 1, 5, 2.01, 6)
 
 
+#: The same at 1 ms: lag bins -100..100, an interaction in bins 2..10 beyond 7 deviations of the first and last 50 bins.
+_CCG_MS = _CCG.replace("100000", "101000").replace("10000 ", "1000 ")
+_CCH_MS = _CCH.replace(_CCG, _CCG_MS).replace("range(-9, 10)", "range(-100, 101)")
+_HIT_MS = ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 51) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 51) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_a, unit_b ORDER BY lag_bin) AS i FROM f WHERE lag_bin BETWEEN 2 AND 10 AND s > 1e-9 AND abs(n - m) > 7 * s + 1e-9), hit AS (SELECT session_id, unit_a, unit_b, lag_bin, n AS peak, CASE WHEN n > m THEN 'excitatory' ELSE 'inhibitory' END AS kind FROM k WHERE i = 1) "
+PAIR = ["session_id", "unit_a", "unit_b"]
+
+
+def ccg_ms(d: Data) -> DataFrame:
+    return corr.correlogram(d.spikes(), KEYS, "unit_id", 101_000, 1_000).where("unit_a <> unit_b")
+
+
+@book("cch_pair_ms", _CCH_MS + "SELECT * FROM cch", "sp")
+def _(d: Data) -> DataFrame:
+    g = ccg_ms(d).groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("lag_bin", "n"))).alias("m"))
+    x = g.withColumn("lag_bin", F.explode(F.sequence(F.lit(-100).cast("long"), F.lit(100).cast("long"))))
+    return x.select(*PAIR, "lag_bin", F.coalesce(F.try_element_at("m", F.col("lag_bin")), F.lit(0)).alias("n"))
+
+
+@book("cch_interactions_ms", _CCH_MS + _HIT_MS + "SELECT * FROM hit", "sp")
+def _(d: Data) -> DataFrame:
+    return corr.sparse_interactions(ccg_ms(d), PAIR, 100)
+
+
 @book("cch_jitter")
 def _(d: Data) -> DataFrame:
-    """Mean correlogram over surrogates whose spikes are dithered by up to 10 ms, by a hash of spike and repetition."""
-    s = rs.repetitions(d.spikes(), 10)
-    j = F.pmod(F.xxhash64("session_id", "unit_id", "t_us", "rep"), F.lit(20001)) - 10000
-    dithered = s.select("session_id", "rep", "unit_id", (F.col("t_us") + j).alias("t_us"))
-    c = corr.correlogram(dithered, ["session_id", "rep"], "unit_id", 100_000, 10_000).where("unit_a <> unit_b")
-    return c.groupBy("session_id", "unit_a", "unit_b", "lag_bin").agg((F.sum("n") / 10.0).alias("jittered"))
+    """Mean correlogram over 50 surrogates whose spikes are dithered by up to 10 ms, in bins of 1 ms."""
+    return corr.dithered(d.spikes(), "session_id", "unit_id", "mean")
 
 
 @book("cch_pipeline")
 def _(d: Data) -> DataFrame:
-    raw = ccg(d).where("unit_a <> unit_b")
-    jit = book.queries["cch_jitter"](d.spark, d.dir)
-    c = cch(d).drop("n").join(raw, ["session_id", "unit_a", "unit_b", "lag_bin"], "left").join(jit, ["session_id", "unit_a", "unit_b", "lag_bin"], "left")
-    c = c.withColumn("n", F.coalesce("n", F.lit(0)) - F.coalesce("jittered", F.lit(0.0))).drop("jittered")
-    return corr.interactions(c, ["session_id", "unit_a", "unit_b"], 1, 5, 2.01, 6)
+    """Interactions of all pairs, both orders, in the correlogram less its surrogates' mean."""
+    return corr.dithered(d.spikes(), "session_id", "unit_id", "found")
 
 
 # ---- noise correlations

@@ -105,3 +105,40 @@ def test_whole_bin_means_query_counts_every_sample(spark, data_dir):
 
     fine = read_table(spark, data_dir, "samples").distinct().where("t is not null and not isnan(t) and value is not null and not isnan(value)").count()
     assert plans.queries()["agg_bin_mean_whole"](spark, data_dir).agg(F.sum("n")).first()[0] == fine
+
+
+def coupled(spark):
+    """Unit 1 follows 400 of the 12,000 spikes of unit 0 after 5.3 ms; unit 2 is on its own."""
+    r = np.random.default_rng(4)
+    a, b, c = r.integers(1_000_000, 600_000_000, (3, 12_000))
+    t = {0: a, 1: np.concatenate([b, a[:400] + 5_300]), 2: c}
+    return spark.createDataFrame([("x", u, int(v)) for u, x in t.items() for v in x], "k string, u long, t_us long"), t
+
+
+def test_interactions_at_a_few_milliseconds_are_found(spark):
+    p, t = coupled(spark)
+    later = np.sort(t[1])
+    n = int((np.searchsorted(later, t[0] + 6_000) - np.searchsorted(later, t[0] + 5_000)).sum())
+    c = corr.correlogram(p, ["k"], "u", 101_000, 1_000).where("unit_a <> unit_b")
+    assert [tuple(r) for r in corr.sparse_interactions(c, ["k", "unit_a", "unit_b"], 100).collect()] == [("x", 0, 1, 5, n, "excitatory")]
+    peaks = []
+    for block in (1, 64):
+        r = corr.dithered(p, "k", "u", "found", block=block).collect()
+        assert [(x.k, x.unit_a, x.unit_b, x.lag_bin, x.kind) for x in r] == [("x", 0, 1, 5, "excitatory")]
+        peaks.append(r[0].peak)
+    assert peaks[0] == peaks[1] and 300 < peaks[0] < 460
+
+
+def test_dithered_mean_counts_every_surrogate(spark):
+    p = spark.createDataFrame([("x", 0, 1_000_000), ("x", 1, 1_005_500)], "k string, u long, t_us long")
+    got = {(r.unit_a, r.lag_bin): r.jittered for r in corr.dithered(p, "k", "u", "mean").collect()}
+    assert abs(sum(got.values()) - 2) < 1e-9 and all(got[1, -k] == v for (u, k), v in got.items() if u == 0)
+    assert all(-5 < k < 16 for u, k in got if u == 0) and len(got) > 20
+    assert {r.lag_bin for r in corr.dithered(p, "k", "u", "mean", dither=0).collect()} == {5, -5}
+
+
+def test_registered_correlograms_have_the_bins_of_a_millisecond(spark, data_dir):
+    from axonlake import plans
+
+    lags = [r.lag_bin for r in plans.queries()["cch_jitter"](spark, data_dir).select("lag_bin").distinct().collect()]
+    assert (min(lags), max(lags), len(lags)) == (-100, 100, 201)
