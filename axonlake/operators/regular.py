@@ -1,13 +1,19 @@
 """Irregular readings onto a regular grid, with the cells without data filled or marked.
 
-Each grid cell gets a local linear fit, weighted by a compact kernel, of the readings near its centre. A reading
-reaches only the cells whose centre lies within the kernel's radius, so the fit is a sum of moments per cell: readings
-are exploded to the few cells they reach and summed with map-side combine. Cells that no reading reaches come from the
-gaps between occupied cells, found with bounded pieces of a stream (``chunk`` cells), never a whole stream in one task.
+Every grid time from a stream's first to its last cell with data gets a local linear fit, weighted by a compact kernel, of
+the readings near it. Streams are cut into chunks of cells; a reading goes to its chunk and, near a border, also to the
+neighbour, so chunks are evaluated independently and in any number of tasks. Within a chunk the readings are indexed by
+their cell: each adds its moments to the few grid times in reach, in one streaming pass whose state is one chunk.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
@@ -37,6 +43,83 @@ def gaps(cells: DataFrame, keys: list[str], cell: str = "cell", chunk: int = 409
     return span_cells(gap_spans(cells, keys, cell, chunk), keys, cell, chunk)
 
 
+def _fresh(t: np.ndarray, v: np.ndarray, ids: pa.Array, group: np.ndarray) -> np.ndarray:
+    """False where a row repeats the one before it (same group, time, id and value)."""
+    out = np.ones(len(t), bool)
+    a, b = ids.slice(1), ids.slice(0, max(0, len(ids) - 1))
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    out[1:] = ~((t[1:] == t[:-1]) & (v[1:] == v[:-1]) & (group[1:] == group[:-1]) & same)
+    return out
+
+
+def _evaluator(keys: list[str], step: float, radius: float, least_support: float, once: bool, marks: int = 512):
+    """The streaming pass over rows sorted by chunk: each chunk's mark (its cells _a.._z), then its readings by time."""
+    reach = math.ceil(radius + 0.5) - 1
+
+    def finish(table: pa.Table, at: np.ndarray, a: np.ndarray, size: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        n, s0, s1, s2, t0, t1, q = sums
+        first = np.cumsum(size) - size
+        cell = np.arange(len(n)) - np.repeat(first - a, size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            det = s0 * s2 - s1 * s1
+            value = np.where(det > 1e-3 * s0 * s0, (s2 * t0 - s1 * t1) / det, t0 / s0)
+            support = np.where(q > 0, s0 * s0 / q, 0.0)
+        status = np.where(n > 0, "observed", np.where(support >= least_support, "filled", "missing"))
+        owner = pa.array(np.repeat(at, size))
+        cols = [table[k].combine_chunks().take(owner) for k in keys]
+        cols += [pa.array(cell, pa.int64()), pa.array(n.astype(np.int64)), pa.array(value, mask=status == "missing"), pa.array(support), pa.array(status.tolist(), pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=[*keys, "cell", "n", "value", "support", "status"])
+
+    def evaluate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the open chunk: its mark, its sums and its last reading
+        for batch in it:
+            where = np.flatnonzero(batch.column("_m").to_numpy() == 0)
+            cuts = [0, *where[marks::marks].tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                rows = [batch.slice(lo, hi - lo)]
+                table = pa.Table.from_batches(held[:2] + rows if held and held[1] is not None else held[:1] + rows if held else rows)
+                get = lambda c: table[c].combine_chunks().to_numpy()
+                mark = get("_m") == 0
+                at = np.flatnonzero(mark)
+                a, z = get("_a")[at], get("_z")[at]
+                size = np.maximum(z - a + 1, 0)
+                off = np.cumsum(size) - size
+                total = int(size.sum())
+                sums = np.zeros((7, total))
+                g = np.cumsum(mark) - 1
+                own = ~mark
+                t, v = get("_t"), get("_v")
+                if once:
+                    own &= _fresh(t, v, table["_id"].combine_chunks(), g)
+                if held:
+                    sums[:, : size[0]] = held[2]
+                    own[: 1 + (held[1] is not None)] = False  # the last reading is there for comparison only
+                t, v, w0, c, g = t[own], v[own], get("_w")[own], get("_a")[own], g[own]
+                x = t / step
+                for o in range(-reach, reach + 1):
+                    u, cell = x - (c + o + 0.5), c + o
+                    ok = (np.abs(u) < radius) & (cell >= a[g]) & (cell <= z[g])
+                    u, y = u[ok], v[ok]
+                    # a tricube, kept off zero at its edge so that a cell's own readings always count
+                    w = ((1 - (np.abs(u) / radius) ** 3) ** 3 + 1e-6) * w0[ok]
+                    i = off[g[ok]] + cell[ok] - a[g[ok]]
+                    for m, f in enumerate((np.full(len(u), float(o == 0)), w, w * u, w * u * u, w * y, w * u * y, w * w)):
+                        sums[m] += np.bincount(i, weights=f, minlength=total)
+                done = total - int(size[-1])
+                if done:
+                    yield finish(table, at[:-1], a[:-1], size[:-1], sums[:, :done])
+                flat = table.combine_chunks().to_batches()[0]
+                last = len(mark) - 1
+                held = [flat.slice(int(at[-1]), 1), flat.slice(last, 1) if not mark[last] else None, sums[:, done:].copy()]
+        if held and held[2].shape[1]:
+            one = pa.Table.from_batches(held[:1])
+            yield finish(one, np.zeros(1, int), one["_a"].to_numpy(), np.array([held[2].shape[1]]), held[2])
+
+    return evaluate
+
+
 def regular_grid(
     readings: DataFrame,
     keys: list[str],
@@ -47,6 +130,7 @@ def regular_grid(
     least_support: float = 1.5,
     weight: str | None = None,
     reading_id: str | None = None,
+    chunk: int = 1024,
 ) -> DataFrame:
     """keys..., cell, t_center, n, value, support, status for every cell from a stream's first to its last with data.
 
@@ -57,46 +141,32 @@ def regular_grid(
     Readings with a null or NaN time or value are no data. With ``reading_id`` repeated rows count once. A null key is a
     stream of its own. With one distinct time in reach, or too little spread, the fit is the weighted mean. Empty input
     gives no rows. ``weight``: a column of positive reading weights, 1 if absent.
+
+    The readings are shuffled once, by stream and chunk of ``chunk`` cells. The table of chunks is small: its size follows
+    from the time that a stream spans, not from its readings.
     """
     inner = [f"_k{i}" for i in range(len(keys))]
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c))
-    cols = [F.col(k).alias(a) for k, a in zip(keys, inner)] + [F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w0")]
-    base = readings.select(*cols, *([F.col(reading_id).alias("_id")] if reading_id else [])).where(fine("_t") & fine("_v"))
-    base = base.withColumn("_c", F.floor(F.col("_t") / F.lit(step)))
-    if reading_id:
-        # rows of one stream and stretch meet in one task; whole repeats are dropped there without another shuffle
-        base = base.withColumn("_b", F.floor(F.col("_c") / F.lit(256))).repartition(*inner, "_b").dropDuplicates([*inner, "_b", "_c", "_t", "_id", "_v"])
-    reach = int(radius + 0.5)
-    u = (F.col("_t") / F.lit(step)) - (F.col("_c") + F.col("_o") + 0.5)  # distance from the cell's centre, in cells
-    x = base.withColumn("_o", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_u", u).where(F.abs("_u") < radius)
-    # a tricube, kept off zero at its edge so that a cell's own readings always count
-    k = F.pow(1 - F.pow(F.abs(F.col("_u")) / radius, 3), 3) + 1e-6
-    x = x.withColumn("_w", k * F.col("_w0")).withColumn("_cell", F.col("_c") + F.col("_o"))
-    w, uu, v = F.col("_w"), F.col("_u"), F.col("_v")
-    own = F.when(F.col("_o") == 0, 1).otherwise(0)
-    m = x.groupBy(*inner, F.col("_cell").alias("cell")).agg(
-        F.sum(own).alias("n"), F.sum(w).alias("s0"), F.sum(w * uu).alias("s1"), F.sum(w * uu * uu).alias("s2"), F.sum(w * v).alias("t0"), F.sum(w * uu * v).alias("t1"), F.sum(w * w).alias("q"),
+    cols = [F.col(k).alias(a) for k, a in zip(keys, inner)] + [F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")]
+    cols.append((F.col(reading_id) if reading_id else F.lit(0)).alias("_id"))
+    base = readings.select(*cols).where(fine("_t") & fine("_v")).withColumn("_a", F.floor(F.col("_t") / F.lit(step)))
+    pieces = base.groupBy(*inner, F.floor(F.col("_a") / F.lit(chunk)).alias("_c")).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"))
+    stream = W.partitionBy(*inner)
+    along = stream.orderBy("_c")
+    # a chunk answers for the chunks without data behind it; one before the first and one after the last take what only reaches there
+    begin = F.when(F.lag("_c").over(along).isNull(), F.col("_c") - 1).otherwise(F.col("_c"))
+    end = F.coalesce(F.lead("_c").over(along) - 1, F.col("_c") + 1)
+    spans = pieces.select(*inner, begin.alias("_b"), end.alias("_e"), F.min("_lo").over(stream).alias("_lo"), F.max("_hi").over(stream).alias("_hi"))
+    marks = spans.withColumn("_c", F.explode(F.sequence("_b", "_e"))).select(
+        *inner, "_c", F.lit(0).alias("_m"), F.lit(0.0).alias("_t"), F.lit(0.0).alias("_v"), F.lit(0.0).alias("_w"), F.lit(None).cast(base.schema["_id"].dataType).alias("_id"),
+        F.greatest(F.col("_c") * chunk, F.col("_lo")).alias("_a"), F.least((F.col("_c") + 1) * chunk - 1, F.col("_hi")).alias("_z"),
     )
-    det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det
-    support = F.col("s0") * F.col("s0") / F.col("q")
-    fitted = F.when(det > 1e-3 * F.col("s0") * F.col("s0"), line).otherwise(F.col("t0") / F.col("s0"))
-    m = m.select(*inner, "cell", "n", fitted.alias("_f"), support.alias("support"))
-    # cells beyond the first and last with data are reached by the kernel, but are not part of the stream
-    occupied = m.where("n > 0").select(*inner, "cell")
-    spans = gap_spans(occupied, inner)
-    # only the first and last cells of a gap can be in reach of a reading; the inside of a long gap is made without a join
-    ends = F.array_distinct(F.concat(F.sequence("_a", F.least(F.col("_a") + (reach - 1), F.col("_z"))), F.sequence(F.greatest(F.col("_z") - (reach - 1), F.col("_a")), F.col("_z"))))
-    edge = spans.select(*inner, F.explode(ends).alias("cell"))
-    inside = span_cells(spans.where(F.col("_z") - F.col("_a") >= 2 * reach).select(*inner, (F.col("_a") + reach).alias("_a"), (F.col("_z") - reach).alias("_z")), inner)
-    lone = m.where("n = 0").select(*[F.col(a).alias(f"m{a}") for a in inner], F.col("cell").alias("m_cell"), "_f", F.col("support").alias("_s"))
-    on = [F.col(a).eqNullSafe(F.col(f"m{a}")) for a in inner] + [F.col("cell") == F.col("m_cell")]
-    none = F.lit(0).cast("long").alias("n")
-    holes = edge.join(lone, on, "left").select(*inner, "cell", none, "_f", F.coalesce("_s", F.lit(0.0)).alias("support"))
-    holes = holes.unionByName(inside.select(*inner, "cell", none, F.lit(None).cast("double").alias("_f"), F.lit(0.0).alias("support")))
-    out = m.where("n > 0").select(*inner, "cell", "n", "_f", "support").unionByName(holes)
-    status = F.when(F.col("n") > 0, "observed").when(F.col("support") >= least_support, "filled").otherwise("missing")
-    out = out.withColumn("status", status).withColumn("value", F.when(F.col("status") != "missing", F.col("_f")))
+    reach = math.ceil(radius + 0.5) - 1
+    near = F.sequence(F.floor((F.col("_a") - reach) / F.lit(chunk)), F.floor((F.col("_a") + reach) / F.lit(chunk)))
+    rows = base.withColumn("_c", F.explode(near)).select(*inner, "_c", F.lit(1).alias("_m"), "_t", "_v", "_w", "_id", "_a", F.lit(0).cast("long").alias("_z"))
+    sorted_ = marks.unionByName(rows).repartition(*inner, "_c").sortWithinPartitions(*inner, "_c", "_m", "_t", "_id", "_v")
+    schema = ", ".join(f"{a} {base.schema[a].dataType.simpleString()}" for a in inner) + ", cell long, n long, value double, support double, status string"
+    out = sorted_.mapInArrow(_evaluator(inner, step, radius, least_support, reading_id is not None), schema)
     return out.select(*[F.col(a).alias(k) for a, k in zip(inner, keys)], "cell", ((F.col("cell") + 0.5) * step).alias("t_center"), "n", "value", "support", "status")
 
 

@@ -69,6 +69,11 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("session_id", "stream").agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell"), F.count("*").alias("n_cells"), F.count_if(F.col("status") == "observed").alias("n_observed"))
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """The regular series itself: the fitted value of every cell, its effective support and whether it is observed, filled or missing."""
+    return _grids(spark, d).select("session_id", "stream", "cell", "n", F.round("value", 5).alias("value"), F.round("support", 5).alias("support"), "status")
+
+
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     p = hotkeys.weighted_profile(read_table(spark, d, "roc_results"), ["area_acronym_custom", "analysis_type"], "auc")
     return p.select("area_acronym_custom", "analysis_type", "n", "n_values", "n_distinct", *[F.round(c, 6).alias(c) for c in ("mode", "p25", "p50", "p75")])
@@ -98,7 +103,7 @@ WITH data AS (
   UNION SELECT session_id, 'imec' || CAST(imec_id AS VARCHAR), CAST(floor(s) AS BIGINT) FROM (SELECT session_id, imec_id, unnest(spike_times) AS s FROM units) WHERE s IS NOT NULL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p3_found, p3_manifest, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p3_found, p3_manifest, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p6_values, p7_found, p7_profile)}
 
 _RECORDS = r"""
 WITH line AS (
@@ -130,6 +135,16 @@ SELECT ref_table, CAST(date_trunc('month', computed_at) AS DATE) AS month, CASE
      grid AS (SELECT session_id, stream, unnest(range(a, z + 1)) AS cell FROM edge)
 SELECT session_id, stream, cell FROM grid WHERE NOT EXISTS (SELECT 1 FROM data d WHERE d.session_id = grid.session_id AND d.stream = grid.stream AND d.cell = grid.cell)""",
     "p6_grid": _CELLS + "SELECT session_id, stream, min(cell) AS first_cell, max(cell) AS last_cell, max(cell) - min(cell) + 1 AS n_cells, count(*) AS n_observed FROM data GROUP BY 1, 2",
+    "p6_values": """
+WITH r AS (SELECT DISTINCT session_id, signal AS stream, sample_id, t, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND t IS NOT NULL AND NOT isnan(t)),
+e AS (SELECT session_id, stream, CAST(floor(s) AS BIGINT) AS c, count(*) AS v FROM (SELECT session_id, stream, unnest(spike_times) AS s FROM (SELECT DISTINCT session_id, 'imec' || CAST(imec_id AS VARCHAR) AS stream, unit_id, spike_times FROM units)) WHERE s IS NOT NULL AND NOT isnan(s) GROUP BY 1, 2, 3),
+p AS (SELECT session_id, stream, CAST(floor(t / 0.25) AS BIGINT) AS c, t / 0.25 AS x, value AS v FROM r UNION ALL SELECT session_id, stream, c, c + 0.5, CAST(v AS DOUBLE) FROM e),
+k AS (SELECT session_id, stream, c + o AS cell, o, v, u, pow(1 - pow(abs(u) / 1.5, 3), 3) + 1e-6 AS w FROM (SELECT p.*, o, x - (c + o + 0.5) AS u FROM p, (SELECT unnest([-1, 0, 1]) AS o)) WHERE abs(u) < 1.5),
+m AS (SELECT session_id, stream, cell, count(*) FILTER (o = 0) AS n, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * v) AS t0, sum(w * u * v) AS t1, sum(w * w) AS q FROM k GROUP BY 1, 2, 3),
+grid AS (SELECT session_id, stream, unnest(range(min(c), max(c) + 1)) AS cell FROM p GROUP BY 1, 2),
+f AS (SELECT g.session_id, g.stream, g.cell, coalesce(n, 0) AS n, CASE WHEN s0 * s2 - s1 * s1 > 1e-3 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS v, coalesce(s0 * s0 / q, 0) AS support
+      FROM grid g LEFT JOIN m ON m.session_id IS NOT DISTINCT FROM g.session_id AND m.stream IS NOT DISTINCT FROM g.stream AND m.cell = g.cell)
+SELECT session_id, stream, cell, CAST(n AS BIGINT) AS n, CASE WHEN n > 0 OR support >= 1.5 THEN round(v, 5) END AS value, round(support, 5) AS support, CASE WHEN n > 0 THEN 'observed' WHEN support >= 1.5 THEN 'filled' ELSE 'missing' END AS status FROM f""",
     "p7_found": "SELECT area_acronym_custom, analysis_type FROM roc_results WHERE area_acronym_custom IS NOT NULL AND analysis_type IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 0.015 * (SELECT count(*) FROM roc_results)",
     "p7_profile": """
 WITH r AS (SELECT area_acronym_custom, analysis_type, CASE WHEN isnan(auc) THEN NULL ELSE auc END AS auc FROM roc_results),

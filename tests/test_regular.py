@@ -61,3 +61,29 @@ def test_events(spark):
     got = {r.cell: (r.n, r.status) for r in event_rates(df, ["k"]).collect()}
     assert [c for c, x in got.items() if x[1] == "observed"] and set(got) == {0, 1, 2, 3, 4}
     assert {c for c, x in got.items() if x[1] != "observed"} == {2, 3}
+
+
+def test_values_against_plain_fits(spark):
+    """Every cell's value and support against a fit over all readings of its stream, whatever the chunks."""
+    g = random.Random(4)
+    rows = [(k, 1000 * j + i, g.uniform(0, 60) + 200 * (i > 80), g.gauss(5, 2)) for j, k in enumerate(("a", None)) for i in range(160)]
+    for chunk in (4, 1024):
+        got = grid(spark, rows + rows[:9], reading_id="id", chunk=chunk)
+        for k in ("a", None):
+            own = [(t, v) for kk, _, t, v in rows if kk == k]
+            cells = [math.floor(t / 0.25) for t, _ in own]
+            assert {c for kk, c in got if kk == k} == set(range(min(cells), max(cells) + 1))
+            for c in range(min(cells), max(cells) + 1):
+                near = [(t / 0.25 - c - 0.5, v) for t, v in own if abs(t / 0.25 - c - 0.5) < 1.5]
+                w = [(1 - (abs(u) / 1.5) ** 3) ** 3 + 1e-6 for u, _ in near]
+                s = [sum(x * u**e for x, (u, _) in zip(w, near)) for e in (0, 1, 2)]
+                r = [sum(x * v * u**e for x, (u, v) in zip(w, near)) for e in (0, 1)]
+                support = s[0] ** 2 / sum(x * x for x in w) if w else 0.0
+                det = s[0] * s[2] - s[1] ** 2
+                row = got[k, c]
+                assert row.n == cells.count(c) and abs(row.support - support) < 1e-9
+                assert row.status == ("observed" if row.n else "filled" if support >= 1.5 else "missing")
+                if row.status != "missing":
+                    assert abs(row.value - ((s[2] * r[0] - s[1] * r[1]) / det if det > 1e-3 * s[0] ** 2 else r[0] / s[0])) < 1e-6
+                else:
+                    assert row.value is None
