@@ -1,7 +1,7 @@
 """Texts of varying length packed into sequences of fixed capacity by the sum-of-squares rule.
 
 Only a text above the capacity is split: into full sequences of its own and a rest. Texts and rests go to shards by a
-hash of their id, each of about ``shard_items`` items however large the input is; every shard is packed by itself, and
+hash of a row number, not of their id, so rows of one id spread too; each shard is of about ``shard_items`` items however large the input is; every shard is packed by itself, and
 its few half-filled last sequences are the only loss of not packing all in one place.
 """
 
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from axonlake.llm.tokens import TOKENIZER, token_counts
+from axonlake.session import materialise
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +63,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
     ``sequence`` names the container and ``at`` the piece's first place in it. Every document is in the result, split only
     if it exceeds ``capacity``: its full pieces are sequences of their own, its rest is packed. Null and empty texts have
     size 0 and take no space. Rows with equal ids are documents of their own; a null id is kept. Empty input gives no rows.
+
+    Calling this runs the tokenizer once over all texts and writes the sizes to the shared folder; packing runs with the result.
     """
-    sized = token_counts(docs, text, (id_col,), path)
+    # tokenised once: the sizes, with a row number that stays the same in every later pass
+    sized = materialise(token_counts(docs, text, (id_col,), path).withColumn("_row", F.monotonically_increasing_id()), "sizes")
     full = F.floor(F.col("n_tokens") / capacity)
     pieces = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1))
     items = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     items = items.withColumn("first_token", F.col("piece") * capacity).withColumn("size", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(capacity).cast("long")))
-    whole = items.where((F.col("piece") < full)).withColumn("sequence", F.concat_ws("-", F.lit("own"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("piece").cast("string"))).withColumn("at", F.lit(0).cast("long"))
-    n = docs.count()  # one number
+    whole = items.where((F.col("piece") < full)).withColumn("sequence", F.concat_ws("-", F.lit("own"), F.col("_row").cast("string"), F.col("piece").cast("string"))).withColumn("at", F.lit(0).cast("long"))
+    n = sized.count()  # one number, from the sizes
     shards = max(1, -(-n // shard_items))
-    rest = items.where(F.col("piece") >= full).withColumn("_shard", F.pmod(F.xxhash64(id_col, "n_tokens"), F.lit(shards)).cast("int"))
-    schema = sized.schema
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", piece long, first_token long, size long, sequence string, at long"
+    rest = items.where(F.col("piece") >= full).withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.drop("_row").schema) + ", piece long, first_token long, size long, sequence string, at long"
     names = [id_col, "n_tokens", "piece", "first_token", "size"]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -38,7 +38,7 @@ def p1_combined(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(read_table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_pieces")).where("n_pieces > 1").select("doc_id")
+    return packing.pack(read_table(spark, d, "documents")).where("piece > 0").select("doc_id").distinct()
 
 
 def p8_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,8 @@ def _mix(spark: SparkSession, d: str, budget: float | str = "corpus") -> tuple[D
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].where("shortfall > 0").select("source")
+    """Through the drawn documents: the sources that the draw used up below their target."""
+    return mixing.exhausted(_mix(spark, d)[1])
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +71,11 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d, "feasible")[0]
 
 
+def p9_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached shares of every source, language and topic, with what is left between them."""
+    return mixing.plan(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), budget="feasible")[2]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.wrong_labels(read_table(spark, d, "documents"))
 
@@ -84,7 +90,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment_languages(docs, languages.train_trees(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_part, p1_combined, p8_found, p8_sequences, p8_report, p9_found, p9_report, p9_feasible, p9_documents, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_part, p1_combined, p8_found, p8_sequences, p8_report, p9_found, p9_report, p9_feasible, p9_documents, p9_margins, p10_found, p10_documents, p10_segments)}
 
 _V = """WITH v AS (
   SELECT 'firing_rate' AS measure, ccf_parent_acronym AS area, CAST(day AS VARCHAR) AS part, firing_rate AS v FROM units WHERE firing_rate IS NOT NULL AND NOT isnan(firing_rate)

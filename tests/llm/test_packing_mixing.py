@@ -123,3 +123,45 @@ def test_raking_keeps_margins_where_there_is_room():
     assert abs(got["a"] - 400) < 1e-3 and abs(got["b"] - 400) < 1e-3
     lang = (w * cells.tokens).groupby(cells.lang).sum()
     assert abs(lang["en"] - 400) < 1
+
+
+def test_used_up_sources_come_from_the_draw(spark):
+    t = spark.createDataFrame([("big", 0.4, 1), ("mid", 0.4, 2), ("tiny", 0.15, 3), ("none", 0.05, 2), ("other", 0.0, 0)], "source string, target_share double, max_repeats int")
+    report = mixing.mix(docs(spark), t)[1]
+    assert {r.source for r in mixing.exhausted(report).collect()} == {"tiny", "none"} == {r.source for r in report.where("shortfall > 0").collect()}
+    assert "copies" in report._jdf.queryExecution().optimizedPlan().toString() and "Window" in mixing.exhausted(report)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marginals_are_reached_where_there_is_room(spark):
+    t = spark.createDataFrame([("big", 0.5, 3), ("mid", 0.5, 3)], "source string, target_share double, max_repeats int")
+    m = mixing.plan(docs(spark), t, budget="feasible")[2].toPandas()
+    assert set(m.margin) == {"source", "lang", "topic"}
+    assert (m[m.margin == "source"].residual.abs() < 1e-6).all()
+    assert (m.groupby("margin")[["wanted", "expected"]].sum() - 1).abs().to_numpy().max() < 1e-6
+
+
+def test_topics_are_not_languages():
+    from axonlake.llm import labels
+
+    g = np.random.default_rng(5)
+    words = {"en": np.arange(0, 50), "fr": np.arange(50, 100)}  # tokens of one language
+    themes = [np.arange(100, 120), np.arange(120, 140)]  # tokens that all languages share
+    ids, codes, truth = [], [], []
+    for i in range(300):
+        lang, k = ("en", "fr")[i % 2], (i // 2) % 2
+        ids.append(np.concatenate([g.choice(words[lang], 60), g.choice(themes[k], 15)]))
+        codes.append(lang if g.random() > 0.2 else ("fr" if lang == "en" else None))
+        truth.append((lang, k))
+    model = labels.fit(ids, codes, 2)
+    got = [model.label(x) for x in ids]
+    assert np.mean([a[0] == b[0] for a, b in zip(got, truth)]) > 0.98
+    same = np.mean([(a[1] == "t0") == (b[1] == 0) for a, b in zip(got, truth)])
+    assert max(same, 1 - same) > 0.95
+    assert model.label(np.zeros(0, int)) == ("?", "?") and labels.fit([], [], 3).label(np.array([0])) == ("?", "?")
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    df = spark.createDataFrame([(7, "axon " * 60)] * 4 + [(8, "spike " * 300)] * 2, "doc_id long, text string")
+    p = packing.pack(df, capacity=128, shard_items=2)
+    assert {r.doc_id for r in p.where("piece > 0").collect()} == {8}
+    assert packing.fill_report(p, 128).first().max_used <= 128
