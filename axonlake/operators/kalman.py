@@ -37,9 +37,10 @@ class SpikeRules:
     """What counts as implausible. ``sd`` below is the source's noise.
 
     ``gate``: standardised innovation beyond which an update is withheld. ``excursion_sd``: how far an
-    excursion of at most ``excursion_max`` readings must leave the level before and after it.
-    ``stuck_min`` readings in a row that change by at most ``stuck_sd`` are stuck. ``process``: variance
-    of the level's step as a part of the noise variance.
+    excursion of at most ``excursion_max`` readings must leave the level before and after it. Innovations
+    whose root mean square over ``vanish_over`` readings is at most ``vanish_sd`` sd have vanished;
+    around them, ``stuck_min`` readings in a row that change by at most ``stuck_sd`` sd are stuck.
+    ``process``: variance of the level's step as a part of the noise variance.
     """
 
     gate: float = 4.0
@@ -47,108 +48,94 @@ class SpikeRules:
     excursion_max: int = 3
     stuck_min: int = 12
     stuck_sd: float = 0.02
+    vanish_sd: float = 0.1
+    vanish_over: int = 3
     process: float = 0.5
     limits: dict = field(default_factory=lambda: dict(LIMITS))
 
 
-def filter_block(value: np.ndarray, impossible: np.ndarray, sd: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Innovation z-scores, suspects (withheld updates, in runs of at most ``excursion_max``) and stuck readings.
+def innovations(v: np.ndarray, sd: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Innovations, their z-scores, and the readings whose update was withheld in a run of at most ``excursion_max``.
 
-    ``value`` is in order of time. Impossible readings are stepped over. A run of withheld readings that
-    grows beyond ``excursion_max`` is a movement or a new level: the filter restarts there and the run is
-    released.
+    A run of withheld readings that grows beyond that is a movement or a new level: the filter restarts there and the run
+    is released. A run that the end of the series cuts off stays withheld.
     """
-    n = len(value)
-    z = np.full(n, np.nan)
-    suspect = np.zeros(n, bool)
-    stuck = np.zeros(n, bool)
-    if n == 0:
-        return z, suspect, stuck
-    # vanishing innovation variance: successive readings that practically repeat each other
-    near = np.abs(np.diff(value)) <= rules.stuck_sd * sd
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0]))))
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a + 1 >= rules.stuck_min:
-            stuck[a : b + 1] = True
-    good = np.flatnonzero(~impossible)
-    if len(good) == 0 or not sd > 0:
-        return z, suspect, stuck
-    v = value[good].tolist()
-    r, q = sd * sd, rules.process * sd * sd
-    gate = rules.gate
-    level, p = float(np.median(v[: 2 * rules.excursion_max + 3])), r
-    zs = [0.0] * len(v)
+    r, q, gate, keep = sd * sd, rules.process * sd * sd, rules.gate, rules.excursion_max
+    level, p = float(np.median(v[: 2 * keep + 3])), r
+    e_all, z_all = [0.0] * len(v), [0.0] * len(v)
+    run: list[int] = []
     held: list[int] = []
-    out: list[int] = []
-    keep = rules.excursion_max
-    for i, x in enumerate(v):
-        pp = p + q
-        s = pp + r
+    for i, x in enumerate(v.tolist()):
+        ahead = p + q
+        s = ahead + r
         e = x - level
-        zi = e / s**0.5
-        zs[i] = zi
-        if -gate <= zi <= gate:
-            k = pp / s
+        z = e / s**0.5
+        e_all[i], z_all[i] = e, z
+        if -gate <= z <= gate:
+            k = ahead / s
             level += k * e
-            p = (1.0 - k) * pp
-            if held:
-                out += held
-                held = []
+            p = (1.0 - k) * ahead
+            if run:
+                held += run
+                run = []
         else:
-            held.append(i)
-            if len(held) > keep:
-                # the last readings are the new level; what was withheld belongs to the way there
-                level, p = x, r
-                held = []
-    out += held  # the block ends inside a run: the exact check decides
-    z[good] = zs
-    suspect[good[np.array(out, dtype=int)]] = True
-    return z, suspect, stuck
-
-
-def excursions(value: np.ndarray, impossible: np.ndarray, suspect: np.ndarray, sd: float, rules: SpikeRules) -> np.ndarray:
-    """The exact check after the filter: a run of suspects stays flagged only if every reading of it leaves the
-    levels before and after it (medians of up to five plausible neighbours) by more than ``excursion_sd`` in one direction.
-
-    A filter that lags behind a movement withholds also plain neighbours, so each sub-run of one to
-    ``excursion_max`` readings of a suspect run is tried, the longest first.
+            run.append(i)
+            if len(run) > keep:
+                level, p, run = x, r, []
+    out = np.zeros(len(v), bool)
+    out[np.array(held + run, dtype=int)] = True
+    return np.array(e_all), np.array(z_all), out
+
+
+def filter_block(value: np.ndarray, impossible: np.ndarray, sd: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Innovation z-scores (forecast from the past), spikes and stuck readings of a block in order of time.
+
+    Impossible readings are stepped over. The filter runs forward and backward. A spike is a reading withheld in both
+    directions, in a run of at most ``excursion_max``, whose innovations leave the level forecast from before and the one
+    forecast from behind to the same side by more than ``excursion_sd`` sd. Stuck readings are where the innovations' variance vanishes
+    (``stuck_runs``).
     """
-    found = np.zeros(len(value), bool)
+    n = len(value)
+    z, spike = np.full(n, np.nan), np.zeros(n, bool)
     good = np.flatnonzero(~impossible)
-    if len(good) < 2:
-        return found
-    v = value[good]
-    sus = suspect[good]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], sus.view(np.int8), [0]))))
-    lim = rules.excursion_sd * sd
-    top = rules.excursion_max
-    n = len(v)
+    vanished = np.zeros(n, bool)
+    if len(good):
+        v = value[good]
+        if sd > 0:
+            e, zs, held = innovations(v, sd, rules)
+            eb, _, held_b = (a[::-1] for a in innovations(v[::-1], sd, rules))
+            z[good] = zs
+            vanished[good] = _vanishing(e, sd, rules) | _vanishing(eb[::-1], sd, rules)[::-1]
+            far = rules.excursion_sd * sd
+            spike[good] = held & held_b & (((e > far) & (eb > far)) | ((e < -far) & (eb < -far)))
+        else:  # no noise at all: the level is the last reading
+            vanished[good[1:]] = np.diff(v) == 0
+    stuck = stuck_runs(value, impossible, vanished, sd, rules)
+    return z, spike & ~stuck, stuck
+
+
+def _vanishing(e: np.ndarray, sd: float, rules: SpikeRules) -> np.ndarray:
+    """Where the mean square of the last ``vanish_over`` innovations is at most that of ``vanish_sd`` sd."""
+    w = rules.vanish_over
+    out = np.zeros(len(e), bool)
+    if len(e) >= w:
+        out[w - 1 :] = np.sqrt(np.lib.stride_tricks.sliding_window_view(e * e, w).mean(axis=1)) <= rules.vanish_sd * sd
+    return out
+
+
+def stuck_runs(value: np.ndarray, impossible: np.ndarray, vanished: np.ndarray, sd: float, rules: SpikeRules) -> np.ndarray:
+    """The exact check of vanished innovations: runs of at least ``stuck_min`` readings around them that practically repeat each other.
+
+    A run that straddles the border to impossible readings, which the filter does not see, is looked at too.
+    """
+    stuck = np.zeros(len(value), bool)
+    near = np.abs(np.diff(value)) <= rules.stuck_sd * sd
+    look = vanished | impossible
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0]))))
     for a, b in zip(edge[::2], edge[1::2]):
-        i = a
-        while i < b:
-            hit = 0
-            for m in range(min(top, b - i), 0, -1):
-                before, after = v[max(0, i - 5) : i], v[i + m : i + m + 5]
-                around = []
-                if len(before):
-                    around.append(float(np.median(before[-3:])))
-                    around.append(float(np.median(before)))
-                if len(after):
-                    around.append(float(np.median(after[:3])))
-                    around.append(float(np.median(after)))
-                if not around:
-                    continue
-                seg = v[i : i + m]
-                if seg.min() - max(around) > lim or min(around) - seg.max() > lim:
-                    # an excursion ends: what follows must be back at the level, else it is longer
-                    hit = m
-                    break
-            if hit:
-                found[good[i : i + hit]] = True
-                i += hit
-            else:
-                i += 1
-    return found
+        if b - a + 1 >= rules.stuck_min and look[a : b + 1].any():
+            stuck[a : b + 1] = True
+    return stuck
 
 
 _OUT = "rank long, sd double, z double, impossible boolean, stuck boolean, spike boolean"
@@ -191,7 +178,9 @@ def flag_readings(
         low, high = F.when(F.col("_g") == g, F.lit(a)).otherwise(low), F.when(F.col("_g") == g, F.lit(b)).otherwise(high)
     base = base.withColumn("_bad", F.coalesce((F.col("_v") < low) | (F.col("_v") > high), F.lit(False))).drop("_g")
     base = base.withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds)))
-    inside = W.partitionBy(*keys, "_b").orderBy("_t", "_id")
+    # exact repeats go before the ranks are given, without a shuffle of their own
+    base = base.repartition(*keys, "_b").dropDuplicates([*keys, "_b", "_t", "_id", "_v", "_bad"])
+    inside = W.partitionBy(*keys, "_b").orderBy("_t", "_id", "_v")
     ranked = base.withColumn("_rn", F.row_number().over(inside)).withColumn("_d", F.when(~F.col("_bad") & ~F.lag("_bad").over(inside), F.abs(F.col("_v") - F.lag("_v").over(inside))))
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -217,14 +206,10 @@ def flag_readings(
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r", kind="stable")
         k = int(pdf["_k"].iloc[0])
-        ids = pdf["_id"].to_numpy()
-        if len(ids) > 1:  # exact duplicates share time and id, so they are neighbours
-            pdf = pdf[np.concatenate(([True], ids[1:] != ids[:-1]))]
         v = pdf["_v"].to_numpy(float)
         bad = pdf["_bad"].to_numpy(bool)
         sd = float(pdf["_sd"].iloc[0]) if pdf["_sd"].notna().iloc[0] else 0.0
-        z, suspect, stuck = filter_block(v, bad, sd, rules)
-        spike = excursions(v, bad, suspect & ~stuck, sd, rules) if sd > 0 else np.zeros(len(v), bool)
+        z, spike, stuck = filter_block(v, bad, sd, rules)
         rank = pdf["_r"].to_numpy()
         own = (rank // block) == k
         out = {c: pdf[kk].to_numpy()[own] for c, kk in zip(names, keys)}
