@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from axonlake.session import materialise
+
 
 def compress(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys..., value, weight: how often each value occurs. NaN counts as null; null values keep a row of their own."""
@@ -26,9 +28,11 @@ def weighted_profile(df: DataFrame, keys: list[str], value: str, percentiles: tu
     Null and NaN values count in n only. Null keys are keys. A key without values has null mode and percentiles. ``value``
     must be a number. Empty input gives no rows. ``ranges`` is the number of value ranges per factor e of a key's spread:
     the largest task holds the distinct values of one key and range.
+
+    Calling this runs the compression, the one pass over all rows, and writes the frequencies to the shared folder.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
-    freq = compress(df, keys, value)
+    freq = materialise(compress(df, keys, value), "frequencies")  # read three times below
     has = F.col("_v").isNotNull()
     best = F.max_by("_v", F.when(has, F.struct(F.col("_w"), -F.col("_v"))))
     key_rows = freq.groupBy(*ks).agg(
@@ -60,7 +64,6 @@ def weighted_profile(df: DataFrame, keys: list[str], value: str, percentiles: tu
     return out.select(*[F.col(f"a.{k}").alias(name) for k, name in zip(ks, keys)], "n", "n_values", "n_distinct", "mode", "share", *[name for _, name in names])
 
 
-
 def heavy_keys(profile: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The keys of a profile, none of their parts null, that hold at least ``share`` of all rows."""
     known = F.lit(True)
