@@ -38,13 +38,13 @@ def combine(summary: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def _intervals(summary: DataFrame, groups: list[str], percentiles: tuple[float, ...]) -> DataFrame:
-    """groups..., percentile, n_total, rank, part (weight of this rank), lo, hi, before: the section of each target rank."""
+    """groups..., percentile, n_total, rank, share (weight of this rank), lo, hi, before, _n (its rows): the section of each target rank."""
     w = W.partitionBy(*groups)
     s = summary.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("section").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n_total", F.sum("n").over(w))
     s = s.withColumn("percentile", F.explode(F.array(*[F.lit(float(p)) for p in percentiles]))).withColumn("_h", F.col("percentile") * (F.col("n_total") - 1))
     ends = F.array(F.struct(F.floor("_h").alias("rank"), (1 - F.col("_h") + F.floor("_h")).alias("share")), F.struct((F.floor("_h") + 1).alias("rank"), (F.col("_h") - F.floor("_h")).alias("share")))
     s = s.withColumn("_e", F.explode(F.filter(ends, lambda e: e["share"] > 0))).select("*", "_e.rank", "_e.share")
-    return s.where("rank >= before and rank < before + n").select(*groups, "percentile", "n_total", "rank", "share", "lo", "hi", "before")
+    return s.where("rank >= before and rank < before + n").select(*groups, "percentile", "n_total", "rank", "share", "lo", "hi", "before", F.col("n").alias("_n"))
 
 
 def from_summary(summary: DataFrame, groups: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -61,9 +61,10 @@ def percentiles_by_bisection(
     percentiles: tuple[float, ...] = (0.25, 0.5, 0.75),
     tolerance: float = 0.0,
     sections: int = 256,
-    max_passes: int = 80,
+    max_passes: int = 400,
     salt: int = 16,
     broadcast_rows: int = 20_000,
+    keep_part: float = 0.2,
     summary: DataFrame | None = None,
 ) -> DataFrame:
     """groups..., percentile, n, value, lower, upper: percentiles interpolated linearly between the two nearest ranks.
@@ -73,8 +74,10 @@ def percentiles_by_bisection(
     groups, infinities are the smallest and largest values. Ties and repeated rows count each. Other columns are ignored.
     Empty input gives no rows. ``summary``: a combined summary of exactly these rows, to save the first pass.
 
-    Scale: the first pass is one aggregate with map-side combine; the second keeps only rows inside open intervals (a
-    small part of the data, written to the shared folder); each later pass counts those. Up to ``broadcast_rows`` open
+    Scale: the first pass is one aggregate with map-side combine. A pass whose open intervals hold at most ``keep_part`` of
+    all rows (their counts tell) writes these rows to the shared folder, and later passes count those; while the intervals
+    hold more, as for values that lie close together, a pass only counts and so narrows them. Calling this runs the passes.
+    Should ``max_passes`` not suffice, that is an error, never an inexact result: doubles need far fewer. Up to ``broadcast_rows`` open
     intervals are broadcast; beyond that the join of rows with the intervals of their group carries a salt, so that a group
     with a third of all rows is spread over ``salt`` tasks and more by adaptive execution.
     """
@@ -87,11 +90,15 @@ def percentiles_by_bisection(
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in ks]
     rows = x.withColumn("_x", F.pmod(F.xxhash64("_v", F.monotonically_increasing_id()), F.lit(salt)).cast("int"))
     kept = False
+    n_all = None
     for _ in range(max_passes):
-        todo = state.where(is_open).select(*ks, "lo", "hi").distinct()
-        n_open = todo.count()
+        todo = state.where(is_open).groupBy(*ks, "lo", "hi").agg(F.max("_n").alias("_n"))
+        n_open, n_inside = todo.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()  # two numbers
         if not n_open:
             break
+        if n_all is None:
+            n_all = first.agg(F.sum("n")).first()[0]
+        todo = todo.drop("_n")
         within = F.col("r._v").between(F.col("s.lo"), F.col("s.hi"))
         if n_open <= broadcast_rows:
             inside = rows.alias("r").join(F.broadcast(todo).alias("s"), [*same("r", "s"), within])
@@ -99,7 +106,7 @@ def percentiles_by_bisection(
             spans = todo.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("merge")
             inside = rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("r._x") == F.col("s._x"), within])
         inside = inside.select(*[F.col(f"r.{k}") for k in ks], "r._v", "r._x", "s.lo", "s.hi")
-        if not kept:
+        if not kept and n_inside <= keep_part * n_all:
             inside = materialise(inside, "bisect")
             rows, kept = inside.select(*ks, "_v", "_x"), True
         # midpoints: evenly spaced values, or evenly spaced on the log-like scale while an interval spans magnitudes
@@ -117,8 +124,10 @@ def percentiles_by_bisection(
         s, c = (F.broadcast(still) if n_open <= broadcast_rows else still.hint("merge")).alias("s"), counted.alias("c")
         at = F.col("s.rank") - F.col("s.before")
         narrowed = s.join(c, [*same("s", "c"), F.col("s.lo") == F.col("c.lo"), F.col("s.hi") == F.col("c.hi"), at >= F.col("c._below"), at < F.col("c._below") + F.col("c.n")])
-        narrowed = narrowed.select(*[F.col(f"s.{k}") for k in ks], "s.percentile", "s.n_total", "s.rank", "s.share", F.col("c._lo").alias("lo"), F.col("c._hi").alias("hi"), (F.col("s.before") + F.col("c._below")).alias("before"))
+        narrowed = narrowed.select(*[F.col(f"s.{k}") for k in ks], "s.percentile", "s.n_total", "s.rank", "s.share", F.col("c._lo").alias("lo"), F.col("c._hi").alias("hi"), (F.col("s.before") + F.col("c._below")).alias("before"), F.col("c.n").alias("_n"))
         state = materialise(state.where(~is_open).unionByName(narrowed), "bisect")
+    else:
+        raise RuntimeError("the target ranks are not resolved: raise max_passes")
     part = lambda c: F.sum(F.when(F.col("share") == 1, F.col(c)).otherwise(F.col(c) * F.col("share")))
     out = state.groupBy(*ks, "percentile").agg(F.max("n_total").alias("n"), part("lo").alias("lower"), part("hi").alias("upper"))
     value_ = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise((F.col("lower") + F.col("upper")) / 2)

@@ -90,7 +90,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segment_languages(docs, languages.train_trees(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_part, p1_combined, p8_found, p8_sequences, p8_report, p9_found, p9_report, p9_feasible, p9_documents, p9_margins, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_by_part, p1_percentiles, p1_combined, p8_found, p8_sequences, p8_report, p9_found, p9_report, p9_feasible, p9_documents, p9_margins, p10_found, p10_documents, p10_segments)}
 
 _V = """WITH v AS (
   SELECT 'firing_rate' AS measure, ccf_parent_acronym AS area, CAST(day AS VARCHAR) AS part, firing_rate AS v FROM units WHERE firing_rate IS NOT NULL AND NOT isnan(firing_rate)

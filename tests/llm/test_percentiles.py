@@ -67,3 +67,19 @@ def test_tolerance_infinities_and_empty(spark):
     got = {r.percentile: r.value for r in pc.percentiles_by_bisection(inf, ["g"], "v", (0.0, 0.5, 1.0)).collect()}
     assert got == {0.0: float("-inf"), 0.5: 2.0, 1.0: float("inf")}
     assert pc.percentiles_by_bisection(df.limit(0), ["g"], "v").count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows,keep_part", [(0, 0.2), (20_000, 0.0), (0, 1.0)])
+def test_plans_agree_on_narrow_columns(spark, broadcast_rows, keep_part):
+    """Values far closer together than the first sections, by the salted merge join and by passes that only count."""
+    r = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": np.where(r.random(3000) < 0.6, "hot", "b"), "d": 1, "v": 1000 + r.random(3000) * 1e-3})
+    df = spark.createDataFrame(pdf)
+    got = {(x.g, x.percentile): x for x in pc.percentiles_by_bisection(df, ["g"], "v", P, broadcast_rows=broadcast_rows, keep_part=keep_part).collect()}
+    check(got, pdf, ["g"])
+
+
+def test_unresolved_is_an_error(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(1000)], "g string, v double")
+    with pytest.raises(RuntimeError):
+        pc.percentiles_by_bisection(df, ["g"], "v", (0.5,), sections=2, max_passes=1)
