@@ -190,3 +190,20 @@ def lag_correlation(series: DataFrame, by: list[str], index: str, x: str, y: str
     prods = F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(at(k), F.lit(0.0)) * F.col("_y")).alias("p")) for k in range(-max_lag, max_lag + 1)])
     e = s.withColumn("_ps", prods).withColumn("_e", F.explode("_ps")).groupBy(*by, F.col("_e.lag").alias("lag")).agg((F.sum("_e.p") / F.max("_n")).alias("r"))
     return e
+
+
+def autocorrelation(series: DataFrame, by: list[str], index: str, x: str, max_lag: int) -> DataFrame:
+    """by, lag, r at lags 0..max of a series of whole numbers (biased, zero beyond the ends); null for a constant.
+
+    Exact: both sums are whole numbers and are divided once at the end, so no order of summation can change a digit.
+    """
+    g, w = W.partitionBy(*by), W.partitionBy(*by).orderBy(index)
+    v = F.col("_v")
+    s = series.select(*by, index, F.col(x).cast("long").alias("_v"))
+    s = s.withColumn("_n", F.count("*").over(g)).withColumn("_s", F.sum(v).over(g)).withColumn("_q", F.sum(v * v).over(g))
+    d = F.col("_n") * v - F.col("_s")
+    s = s.withColumn("_d", d)
+    prods = F.array(*[F.struct(F.lit(k).alias("lag"), (F.coalesce(F.lead("_d", k).over(w), F.lit(0)) * F.col("_d")).alias("p")) for k in range(max_lag + 1)])
+    e = s.withColumn("_p", prods).withColumn("_e", F.explode("_p")).groupBy(*by, F.col("_e.lag").alias("lag")).agg(F.sum("_e.p").alias("_t"), F.max("_n").alias("_n"), F.max("_s").alias("_s"), F.max("_q").alias("_q"))
+    low = F.col("_n") * (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"))
+    return e.select(*by, "lag", F.try_divide(F.col("_t").cast("double"), F.nullif(low, F.lit(0)).cast("double")).alias("r"))

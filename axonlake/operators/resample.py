@@ -71,24 +71,11 @@ def bootstrap_mean(df: DataFrame, by: list[str], key: str, value: str, n: int, s
     return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(ci, by).select(*by, "mean", F.element_at("_c", 1).alias("low"), F.element_at("_c", 2).alias("high"))
 
 
-def shift_test(series: DataFrame, by: list[str], index: str, x: str, y: str, n: int) -> DataFrame:
-    """Linear-shift test per ``by``: r at shift 0, n_shifts, m (shifts with |r| at least that of 0), p_conservative = m / (n + 1), p_approx = m / (2n + 1).
+def shift_test(series: DataFrame, by: list[str], index: str, x: str, y: str, n: int = 39, **kw) -> DataFrame:
+    """The linear-shift test of ``series.shift_test``."""
+    from axonlake.operators import series as kernels
 
-    ``x`` at shifts -n..n against the central rows of ``y`` (n left out at each end), by one window pass of lagged copies.
-    A constant series has r null and p 1.
-    """
-    w = W.partitionBy(*by).orderBy(index)
-    g = W.partitionBy(*by)
-    s = series.select(*by, index, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(g))
-    at = lambda k: F.lead("_x", k).over(w) if k >= 0 else F.lag("_x", -k).over(w)
-    s = s.withColumn("_a", F.array(*[at(k) for k in range(-n, n + 1)])).where((F.col("_i") > n) & (F.col("_i") <= F.col("_n") - n))
-    e = s.select(*by, "_y", F.posexplode("_a").alias("shift", "_x"))
-    r = e.groupBy(*by, (F.col("shift") - n).alias("shift")).agg(F.count("*").alias("n_rows"), special.corr("_x", "_y").alias("r"))
-    o = r.withColumn("_o", F.max(F.when(F.col("shift") == 0, F.col("r"))).over(W.partitionBy(*by)))
-    m = F.count_if(F.coalesce(F.abs("r") >= F.abs("_o") - 1e-9, F.lit(False)))
-    out = o.groupBy(*by).agg(F.max("n_rows").alias("n_rows"), F.max("_o").alias("r"), m.alias("m"))
-    p = lambda total: F.when(F.col("r").isNull(), 1.0).otherwise(F.least(F.col("m") / total, F.lit(1.0)))
-    return out.select(*by, "n_rows", "r", "m", p(n + 1.0).alias("p_conservative"), p(2 * n + 1.0).alias("p_approx"))
+    return kernels.shift_test(series, by, index, x, y, n, **kw)
 
 
 def step_r2(series: DataFrame, by: list[str], index: str, value: str) -> DataFrame:
@@ -108,19 +95,22 @@ def step_r2(series: DataFrame, by: list[str], index: str, value: str) -> DataFra
 def replace_artifact(points: DataFrame, events: DataFrame, keys: list[str], unit: str, lo: int, hi: int, base_lo: int, seed: int = 7) -> DataFrame:
     """Spikes with those in [lo, hi) after each event replaced by a Poisson draw at the rate of [base_lo, lo) before it, evenly placed.
 
-    The draw is an inverse-CDF of a hash of (seed, unit, event), so it is repeatable. Rates above 30 expected spikes per
-    window are cut there.
+    The draw is repeatable: with a uniform hash of (seed, unit, event, piece) per piece of at most 16 expected spikes, by the
+    inverse of the distribution; the pieces' draws add up, so any rate is drawn in full.
     """
     from axonlake.operators.interval import range_join
 
     inside = range_join(points, events, keys, lo, hi).select(*points.columns).distinct()
     kept = points.join(inside, points.columns, "left_anti")
     base = range_join(points, events, keys, base_lo, lo).groupBy(*keys, unit, "event_id").agg(F.count("*").alias("_c"))
-    lam = F.least(F.col("_c") * ((hi - lo) / (lo - base_lo)), F.lit(30.0))
-    u = F.pmod(F.xxhash64(*keys, unit, "event_id", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
+    lam = F.col("_c") * ((hi - lo) / (lo - base_lo))
+    base = base.withColumn("_pieces", F.greatest(F.ceil(lam / 16), F.lit(1)).cast("int")).withColumn("_l", lam / F.col("_pieces")).withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_pieces"))))
+    u = F.pmod(F.xxhash64(*keys, unit, "event_id", "_piece", F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
     step = lambda a, i: F.struct((a["p"] * a["l"] / i).alias("p"), (a["c"] + a["p"]).alias("c"), a["l"].alias("l"), (a["k"] + F.when(a["u"] > a["c"] + a["p"], 1).otherwise(0)).alias("k"), a["u"].alias("u"))
     start = F.struct(F.exp(-F.col("_l")).alias("p"), F.lit(0.0).alias("c"), F.col("_l").alias("l"), F.lit(0).alias("k"), u.alias("u"))
-    drawn = base.withColumn("_l", lam).withColumn("_k", F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, step, lambda a: a["k"])).where("_k > 0")
+    # a uniform of 24 bits never asks for more than 64 spikes of a mean of 16
+    drawn = base.withColumn("_k", F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda a: a["k"]))
+    drawn = drawn.groupBy(*keys, unit, "event_id").agg(F.sum("_k").cast("int").alias("_k")).where("_k > 0")
     new = drawn.join(events.select(*keys, "event_id", "at_us"), [*keys, "event_id"]).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k"))))
     t = (F.col("at_us") + F.lit(lo) + F.lit(hi - lo) * F.col("_i") / (F.col("_k") + 1)).cast("long")
     return kept.unionByName(new.select(*keys, unit, t.alias("t_us")).select(*points.columns))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from axonlake.functions import special
+from axonlake.session import materialise
 
 
 def value_counts(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
@@ -163,7 +164,9 @@ def fdr(df: DataFrame, by: list[str], p: str = "p", method: str = "bh", name: st
     Null and NaN p-values stay null and are not counted. Works over counts per distinct p; those are cut into ranges, so that
     also a single family with all rows is spread over many tasks: ranks within a range, plus the counts of lower ranges;
     running minima within a range, and the least of the higher ranges. Joined back with a salt, as one p may be most rows.
+    Calling this computes ``df`` once and writes it to the shared folder, as several passes read it.
     """
+    df = materialise(df, "tests")
     v = F.when(F.col(p).isNotNull() & ~F.isnan(p), F.col(p).cast("double"))
     keys = [f"_f{i}" for i in range(len(by))]
     x = df.withColumn("_p", v).withColumns({k: F.col(c) for k, c in zip(keys, by)})

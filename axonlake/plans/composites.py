@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from axonlake.operators import corr, fit, hist, quality, resample as rs, stats
+from axonlake.operators import corr, fit, hist, quality, resample as rs, stats, relational as rel
 from axonlake.plans import correlation as co, models, spikes as sk
 from axonlake.plans.registry import Book, Data
 from axonlake.plans.statistics import _CNT, response_counts
@@ -46,18 +46,9 @@ def _(d: Data) -> DataFrame:
 _AREA = "ar AS (SELECT DISTINCT session_id, unit_id, ccf_parent_acronym AS area FROM units)"
 
 
-@book("cmp_xcorr_area", co._CCH + ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 6) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 6) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT session_id, unit_a, unit_b, bool_or(lag_bin BETWEEN 1 AND 5 AND s > 0 AND abs(n - m) > 2.01 * s) AS sig FROM f GROUP BY 1, 2, 3), " + _AREA + " SELECT area, count(*) AS n_pairs, round(avg(CAST(coalesce(sig, false) AS INT)), 6) AS rate FROM k JOIN ar ON ar.session_id = k.session_id AND ar.unit_id = k.unit_a GROUP BY 1", "sp")
+@book("cmp_xcorr_area", co._CCH_MS + co._HIT_MS + ", pr2 AS (SELECT DISTINCT session_id, unit_a, unit_b FROM cch), " + _AREA + " SELECT area, count(*) AS n_pairs, round(avg(CAST(hit.kind IS NOT NULL AS INT)), 6) AS rate FROM pr2 JOIN ar ON ar.session_id = pr2.session_id AND ar.unit_id = pr2.unit_a LEFT JOIN hit ON hit.session_id = pr2.session_id AND hit.unit_a = pr2.unit_a AND hit.unit_b = pr2.unit_b GROUP BY 1", "sp")
 def _(d: Data) -> DataFrame:
     """Part of the pairs with a significant interaction, per area of the source unit."""
-    c = co.cch(d)
-    hit = corr.interactions(c, ["session_id", "unit_a", "unit_b"], 1, 5, 2.01, 6).select("session_id", "unit_a", "unit_b", F.lit(1).alias("sig"))
-    p = c.select("session_id", "unit_a", "unit_b").distinct().join(hit, ["session_id", "unit_a", "unit_b"], "left")
-    u = d.unit_rows("ccf_parent_acronym").select("session_id", F.col("unit_id").alias("unit_a"), F.col("ccf_parent_acronym").alias("area"))
-    return p.join(u, ["session_id", "unit_a"]).groupBy("area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.coalesce("sig", F.lit(0))), 6).alias("rate"))
-
-
-@book("cmp_xcorr_area_ms", co._CCH_MS + co._HIT_MS + ", pr2 AS (SELECT DISTINCT session_id, unit_a, unit_b FROM cch), " + _AREA + " SELECT area, count(*) AS n_pairs, round(avg(CAST(hit.kind IS NOT NULL AS INT)), 6) AS rate FROM pr2 JOIN ar ON ar.session_id = pr2.session_id AND ar.unit_id = pr2.unit_a LEFT JOIN hit ON hit.session_id = pr2.session_id AND hit.unit_a = pr2.unit_a AND hit.unit_b = pr2.unit_b GROUP BY 1", "sp")
-def _(d: Data) -> DataFrame:
     c = co.ccg_ms(d)
     hit = corr.sparse_interactions(c, co.PAIR, 100).select(*co.PAIR, F.lit(1).alias("sig"))
     p = c.select(*co.PAIR).distinct().join(hit, co.PAIR, "left")
@@ -65,13 +56,39 @@ def _(d: Data) -> DataFrame:
     return p.join(u, ["session_id", "unit_a"]).groupBy("area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(F.coalesce("sig", F.lit(0))), 6).alias("rate"))
 
 
-@book("cmp_ccg_by_sign", co._SER.format(a=-3, y="zy") + ", q AS (SELECT session_id, unit_id, lag, round(r, 5) + 0.0 AS r FROM xl WHERE r IS NOT NULL), pk AS (SELECT session_id, unit_id, CASE WHEN arg_max(r, (abs(r), -lag)) >= 0 THEN 'positive' ELSE 'negative' END AS kind FROM q GROUP BY 1, 2) SELECT kind, CAST(lag AS INT) AS lag, count(*) AS n, round(avg(r), 6) + 0.0 AS mean FROM q JOIN pk USING (session_id, unit_id) GROUP BY 1, 2", "us sp tr")
+_EDGES = ", ed AS (SELECT h.session_id, least(unit_a, unit_b) AS source_id, greatest(unit_a, unit_b) AS target_id, CASE WHEN unit_a < unit_b THEN lag_bin ELSE -lag_bin END AS lag, kind FROM hit h), " + _AREA + ", e AS (SELECT ed.*, x.area AS source_area, y.area AS target_area FROM ed JOIN ar x ON x.session_id = ed.session_id AND x.unit_id = source_id JOIN ar y ON y.session_id = ed.session_id AND y.unit_id = target_id), fl AS (SELECT session_id, CASE WHEN lag < 0 THEN target_id ELSE source_id END AS source_id, CASE WHEN lag < 0 THEN source_id ELSE target_id END AS target_id, CASE WHEN lag < 0 THEN target_area ELSE source_area END AS source_area, CASE WHEN lag < 0 THEN source_area ELSE target_area END AS target_area, abs(lag) AS lag, kind FROM e) "
+
+
+def edges(d: Data) -> DataFrame:
+    """The interactions found between pairs, from the unit that fires first to the one that follows."""
+    h = corr.sparse_interactions(co.ccg_ms(d), co.PAIR, 100)
+    a, b = F.least("unit_a", "unit_b"), F.greatest("unit_a", "unit_b")
+    e = h.select("session_id", a.alias("source_id"), b.alias("target_id"), F.when(F.col("unit_a") < F.col("unit_b"), F.col("lag_bin")).otherwise(-F.col("lag_bin")).alias("lag"), "kind")
+    u = d.unit_rows("ccf_parent_acronym")
+    side = lambda s: u.select("session_id", F.col("unit_id").alias(f"{s}_id"), F.col("ccf_parent_acronym").alias(f"{s}_area"))
+    e = e.join(side("source"), ["session_id", "source_id"]).join(side("target"), ["session_id", "target_id"])
+    return rel.flip_negative(e, "lag", [("source_id", "target_id"), ("source_area", "target_area")])
+
+
+@book("flip_edges", co._CCH_MS + co._HIT_MS + _EDGES + "SELECT session_id, source_id, target_id, source_area, target_area, lag, kind FROM fl", "sp")
+def _(d: Data) -> DataFrame:
+    return edges(d).select("session_id", "source_id", "target_id", "source_area", "target_area", "lag", "kind")
+
+
+@book("cmp_interaction_counts", co._CCH_MS + co._HIT_MS + _EDGES + "SELECT source_area, target_area, lag, count(*) AS n, count(*) FILTER (kind = 'excitatory') AS n_excitatory, count(*) FILTER (kind = 'inhibitory') AS n_inhibitory FROM fl GROUP BY 1, 2, 3", "sp")
+def _(d: Data) -> DataFrame:
+    """Interactions found per pair of areas and lag, by kind."""
+    kind = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
+    return edges(d).groupBy("source_area", "target_area", "lag").agg(F.count("*").alias("n"), kind("excitatory"), kind("inhibitory"))
+
+
+@book("cmp_ccg_by_sign", co._SER.format(a=-10, y="zy") + ", q AS (SELECT session_id, unit_id, lag, round(r, 5) + 0.0 AS r FROM xl WHERE r IS NOT NULL), pk AS (SELECT session_id, unit_id, CASE WHEN arg_max(r, (abs(r), -lag)) >= 0 THEN 'positive' ELSE 'negative' END AS kind FROM q GROUP BY 1, 2) SELECT kind, CAST(lag AS INT) AS lag, count(*) AS n, CAST(CAST(sum(CAST(round(r * 100000) AS BIGINT)) AS BIGINT) AS DOUBLE) / (count(*) * 100000) AS mean FROM q JOIN pk USING (session_id, unit_id) GROUP BY 1, 2", "us sp tr")
 def _(d: Data) -> DataFrame:
-    """Mean lag correlation of the units whose peak is positive, and of those whose peak is negative."""
+    """Mean lag correlation of the units whose peak is positive, and of those whose peak is negative; summed in whole units of the fifth decimal."""
     q = co.trial_lags(d).withColumn("r", F.round("r", 5) + 0.0).where("r is not null")
     pk = q.groupBy(*UNIT).agg(F.max_by("r", F.struct(F.abs("r"), -F.col("lag"))).alias("peak"))
     kind = F.when(F.col("peak") >= 0, "positive").otherwise("negative")
-    return q.join(pk, UNIT).groupBy(kind.alias("kind"), "lag").agg(F.count("*").alias("n"), (F.round(F.avg("r"), 6) + 0.0).alias("mean"))
+    return q.join(pk, UNIT).groupBy(kind.alias("kind"), "lag").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("r") * 100000).cast("long")).cast("double") / (F.count("*") * 100000)).alias("mean"))
 
 
 @book("cmp_lookup_cell", "SELECT area_acronym_custom AS area, analysis_type, round(100.0 * count(*) FILTER (significant AND selectivity > 0) / count(*), 6) AS positive, round(100.0 * count(*) FILTER (significant AND selectivity < 0) / count(*), 6) AS negative, round(100.0 * count(*) FILTER (NOT significant OR significant IS NULL OR selectivity IS NULL OR selectivity = 0) / count(*), 6) AS none FROM roc GROUP BY 1, 2", "roc")
@@ -99,13 +116,13 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """Shift tests of every unit, then per area: Welch's t and Mann-Whitney of the correlations between reward groups, with
     false-discovery control, and a bootstrap interval of the mean over mice."""
-    s = rs.shift_test(response_counts(d), UNIT, "event_id", "post", "lick_flag", 2).where("r is not null")
+    s = rs.shift_test(response_counts(d), UNIT, "event_id", "post", "lick_flag").where("r is not null")
     x = s.join(d.unit_rows("mouse_id", "ccf_parent_acronym", "reward_group"), UNIT).withColumnRenamed("ccf_parent_acronym", "area").where("area is not null")
     one = F.col("reward_group") == 1
     t = stats.welch(x, ["area"], "r", one).select("area", "n1", "n0", "t", F.col("p").alias("p_welch"))
     u = stats.mann_whitney(x, ["area"], "r", one).select("area", F.col("p").alias("p_mwu"))
-    m = x.groupBy("area", F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long").alias("mouse")).agg(F.avg("r").alias("r"))
-    ci = rs.bootstrap_mean(m, ["area"], "mouse", "r", 100)
+    m = x.groupBy("area", F.col("mouse_id").alias("mouse")).agg(F.avg("r").alias("r"))
+    ci = rs.bootstrap_mean(m, ["area"], "mouse", "r", 2000)
     return stats.fdr(t.join(u, "area").join(ci, "area"), [], "p_mwu")
 
 

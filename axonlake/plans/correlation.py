@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from axonlake.functions import special
-from axonlake.operators import corr, interval, relational as rel, resample as rs, stats
+from axonlake.operators import corr, interval, relational as rel, resample as rs, series, stats
 from axonlake.plans.registry import Book, Data
 from axonlake.plans.statistics import _CNT, BY, deltas, response_counts, shifts, two_classes
 
@@ -61,25 +61,7 @@ def _(d: Data) -> DataFrame:
 _CCH = f"WITH {_CCG}, pr AS (SELECT DISTINCT session_id, unit_a, unit_b FROM ccg WHERE unit_a <> unit_b), bins AS (SELECT CAST(unnest(range(-9, 10)) AS BIGINT) AS lag_bin), cch AS (SELECT pr.*, bins.lag_bin, coalesce(ccg.n, 0) AS n FROM pr CROSS JOIN bins LEFT JOIN ccg ON ccg.session_id = pr.session_id AND ccg.unit_a = pr.unit_a AND ccg.unit_b = pr.unit_b AND ccg.lag_bin = bins.lag_bin) "
 
 
-def cch(d: Data) -> DataFrame:
-    """Cross-correlograms with every lag bin of the pairs that have any count."""
-    c = ccg(d).where("unit_a <> unit_b")
-    g = c.groupBy("session_id", "unit_a", "unit_b").agg(F.map_from_entries(F.collect_list(F.struct("lag_bin", "n"))).alias("m"))
-    x = g.withColumn("lag_bin", F.explode(F.sequence(F.lit(-9).cast("long"), F.lit(9).cast("long"))))
-    return x.select("session_id", "unit_a", "unit_b", "lag_bin", F.coalesce(F.try_element_at("m", F.col("lag_bin")), F.lit(0)).alias("n"))
-
-
-@book("cch_pair", _CCH + "SELECT * FROM cch", "sp")
-def _(d: Data) -> DataFrame:
-    return cch(d)
-
-
-@book("cch_interactions", _CCH + ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 6) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 6) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_a, unit_b ORDER BY lag_bin) AS i FROM f WHERE lag_bin BETWEEN 1 AND 5 AND s > 0 AND abs(n - m) > 2.01 * s) SELECT session_id, unit_a, unit_b, lag_bin, n AS peak, CASE WHEN n > m THEN 'excitatory' ELSE 'inhibitory' END AS kind FROM k WHERE i = 1", "sp")
-def _(d: Data) -> DataFrame:
-    return corr.interactions(cch(d), ["session_id", "unit_a", "unit_b"], 1, 5, 2.01, 6)
-
-
-#: The same at 1 ms: lag bins -100..100, an interaction in bins 2..10 beyond 7 deviations of the first and last 50 bins.
+#: Correlograms at 1 ms: lag bins -100..100, an interaction in bins 2..10 beyond 7 deviations of the first and last 50 bins.
 _CCG_MS = _CCG.replace("100000", "101000").replace("10000 ", "1000 ")
 _CCH_MS = _CCH.replace(_CCG, _CCG_MS).replace("range(-9, 10)", "range(-100, 101)")
 _HIT_MS = ", f AS (SELECT *, avg(n) FILTER (abs(lag_bin) >= 51) OVER w AS m, stddev_pop(n) FILTER (abs(lag_bin) >= 51) OVER w AS s FROM cch WINDOW w AS (PARTITION BY session_id, unit_a, unit_b)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_a, unit_b ORDER BY lag_bin) AS i FROM f WHERE lag_bin BETWEEN 2 AND 10 AND s > 1e-9 AND abs(n - m) > 7 * s + 1e-9), hit AS (SELECT session_id, unit_a, unit_b, lag_bin, n AS peak, CASE WHEN n > m THEN 'excitatory' ELSE 'inhibitory' END AS kind FROM k WHERE i = 1) "
@@ -90,14 +72,14 @@ def ccg_ms(d: Data) -> DataFrame:
     return corr.correlogram(d.spikes(), KEYS, "unit_id", 101_000, 1_000).where("unit_a <> unit_b")
 
 
-@book("cch_pair_ms", _CCH_MS + "SELECT * FROM cch", "sp")
+@book("cch_pair", _CCH_MS + "SELECT * FROM cch", "sp")
 def _(d: Data) -> DataFrame:
     g = ccg_ms(d).groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("lag_bin", "n"))).alias("m"))
     x = g.withColumn("lag_bin", F.explode(F.sequence(F.lit(-100).cast("long"), F.lit(100).cast("long"))))
     return x.select(*PAIR, "lag_bin", F.coalesce(F.try_element_at("m", F.col("lag_bin")), F.lit(0)).alias("n"))
 
 
-@book("cch_interactions_ms", _CCH_MS + _HIT_MS + "SELECT * FROM hit", "sp")
+@book("cch_interactions", _CCH_MS + _HIT_MS + "SELECT * FROM hit", "sp")
 def _(d: Data) -> DataFrame:
     return corr.sparse_interactions(ccg_ms(d), PAIR, 100)
 
@@ -175,54 +157,66 @@ def _(d: Data) -> DataFrame:
 
 # ---- lag correlations of trial series
 
-_SER = _CNT + ", z AS (SELECT session_id, unit_id, event_id, (post - avg(post) OVER g) / nullif(stddev_pop(post) OVER g, 0) AS zx, (lick_flag - avg(lick_flag) OVER g) / nullif(stddev_pop(lick_flag) OVER g, 0) AS zy, count(*) OVER g AS n, row_number() OVER (PARTITION BY session_id, unit_id ORDER BY event_id) AS i FROM c WINDOW g AS (PARTITION BY session_id, unit_id)), lags AS (SELECT unnest(range({a}, 4)) AS lag), xl AS (SELECT y.session_id, y.unit_id, lags.lag, sum(coalesce(x.zx, 0) * y.{y}) / max(y.n) AS r FROM z y CROSS JOIN lags LEFT JOIN z x ON x.session_id = y.session_id AND x.unit_id = y.unit_id AND x.i = y.i + lags.lag GROUP BY 1, 2, 3) "
+_SER = _CNT + ", z AS (SELECT session_id, unit_id, event_id, (post - avg(post) OVER g) / nullif(stddev_pop(post) OVER g, 0) AS zx, (lick_flag - avg(lick_flag) OVER g) / nullif(stddev_pop(lick_flag) OVER g, 0) AS zy, count(*) OVER g AS n, row_number() OVER (PARTITION BY session_id, unit_id ORDER BY event_id) AS i FROM c WINDOW g AS (PARTITION BY session_id, unit_id)), lags AS (SELECT unnest(range({a}, 11)) AS lag), xl AS (SELECT y.session_id, y.unit_id, lags.lag, sum(coalesce(x.zx, 0) * y.{y}) / max(y.n) AS r FROM z y CROSS JOIN lags LEFT JOIN z x ON x.session_id = y.session_id AND x.unit_id = y.unit_id AND x.i = y.i + lags.lag GROUP BY 1, 2, 3) "
 
 
-@book("xcorr_lags", _SER.format(a=-3, y="zy") + "SELECT session_id, unit_id, CAST(lag AS INT) AS lag, round(r, 5) + 0.0 AS r FROM xl", "us sp tr")
-@book("cmp_xcorr_trial", _SER.format(a=-3, y="zy") + "SELECT session_id, unit_id, CAST(lag AS INT) AS lag, round(r, 5) + 0.0 AS r FROM xl", "us sp tr")
+@book("xcorr_lags", _SER.format(a=-10, y="zy") + "SELECT session_id, unit_id, CAST(lag AS INT) AS lag, round(r, 5) + 0.0 AS r FROM xl", "us sp tr")
 def _(d: Data) -> DataFrame:
     return trial_lags(d).withColumn("r", F.round("r", 5) + 0.0)
 
 
 def trial_lags(d: Data) -> DataFrame:
-    return corr.lag_correlation(response_counts(d), ["session_id", "unit_id"], "event_id", "post", "lick_flag", 3)
+    return corr.lag_correlation(response_counts(d), ["session_id", "unit_id"], "event_id", "post", "lick_flag", 10)
+
+
+_AC = _CNT + ", z AS (SELECT session_id, unit_id, post, row_number() OVER (PARTITION BY session_id, unit_id ORDER BY event_id) AS i FROM c), g AS (SELECT session_id, unit_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(post) AS BIGINT) AS s, CAST(sum(post * post) AS BIGINT) AS q FROM z GROUP BY 1, 2), lags AS (SELECT unnest(range(0, 11)) AS lag), k AS (SELECT g.session_id, g.unit_id, lag, n, s, q, CAST(coalesce(sum((n * x.post - s) * (n * y.post - s)), 0) AS BIGINT) AS top FROM g CROSS JOIN lags LEFT JOIN z y ON y.session_id = g.session_id AND y.unit_id = g.unit_id AND y.i + lag <= g.n LEFT JOIN z x ON x.session_id = y.session_id AND x.unit_id = y.unit_id AND x.i = y.i + lag GROUP BY ALL) "
 
 
-@book("acorr_lags", _SER.format(a=0, y="zx") + "SELECT session_id, unit_id, CAST(lag AS INT) AS lag, round(r, 5) + 0.0 AS r FROM xl", "us sp tr")
+@book("acorr_lags", _AC + "SELECT session_id, unit_id, CAST(lag AS INT) AS lag, CAST(top AS DOUBLE) / CAST(nullif(n * (n * q - s * s), 0) AS DOUBLE) AS r FROM k", "us sp tr")
 def _(d: Data) -> DataFrame:
-    c = response_counts(d).withColumn("y", F.col("post"))
-    return corr.lag_correlation(c, ["session_id", "unit_id"], "event_id", "post", "y", 3).where("lag >= 0").withColumn("r", F.round("r", 5) + 0.0)
+    return corr.autocorrelation(response_counts(d), ["session_id", "unit_id"], "event_id", "post", 10)
 
 
-@book("agg_ccg_lag_mean", _SER.format(a=-3, y="zy") + "SELECT CAST(lag AS INT) AS lag, count(r) AS n, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r) / sqrt(count(r)), 6) AS sem FROM xl GROUP BY 1", "us sp tr")
+@book("agg_ccg_lag_mean", _SER.format(a=-10, y="zy") + "SELECT CAST(lag AS INT) AS lag, count(r) AS n, round(avg(r), 6) + 0.0 AS mean, round(stddev_samp(r) / sqrt(count(r)), 6) AS sem FROM xl GROUP BY 1", "us sp tr")
 def _(d: Data) -> DataFrame:
     return trial_lags(d).groupBy("lag").agg(F.count("r").alias("n"), (F.round(F.avg("r"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("r") / F.sqrt(F.count("r")), 6).alias("sem"))
 
 
-@book("agg_peak_lag", _SER.format(a=-3, y="zy") + ", q AS (SELECT session_id, unit_id, lag, round(r, 5) + 0.0 AS r FROM xl WHERE r IS NOT NULL) SELECT session_id, unit_id, CAST(arg_max(lag, (abs(r), -lag)) AS INT) AS lag, max(abs(r)) AS peak FROM q GROUP BY 1, 2", "us sp tr")
+@book("agg_peak_lag", _SER.format(a=-10, y="zy") + ", q AS (SELECT session_id, unit_id, lag, round(r, 5) + 0.0 AS r FROM xl WHERE r IS NOT NULL) SELECT session_id, unit_id, CAST(arg_max(lag, (abs(r), -lag)) AS INT) AS lag, max(abs(r)) AS peak FROM q GROUP BY 1, 2", "us sp tr")
 def _(d: Data) -> DataFrame:
     q = trial_lags(d).withColumn("r", F.round("r", 5) + 0.0).where("r is not null")
     return q.groupBy("session_id", "unit_id").agg(F.max_by("lag", F.struct(F.abs("r"), -F.col("lag"))).alias("lag"), F.max(F.abs("r")).alias("peak"))
 
 
-_SX = _CNT + f""", e AS (SELECT session_id, event_id, lick_flag, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS i FROM (SELECT DISTINCT session_id, event_id, lick_flag FROM c)),
-dl AS (SELECT e.session_id, e.event_id, r.rep, row_number() OVER (PARTITION BY e.session_id, r.rep ORDER BY {rs.draw_sql('e.event_id', 'r.rep')}, e.event_id) AS i FROM e, (SELECT unnest(range(1, 51)) AS rep) r),
-lab AS (SELECT session_id, event_id, 0 AS rep, lick_flag FROM e UNION ALL SELECT dl.session_id, dl.event_id, dl.rep, e.lick_flag FROM dl JOIN e ON e.session_id = dl.session_id AND e.i = dl.i),
-g AS (SELECT c.session_id, c.unit_id, lab.rep, CASE WHEN stddev_pop(post) > 1e-9 AND stddev_pop(lab.lick_flag) > 1e-9 THEN corr(post, lab.lick_flag) END AS r FROM c JOIN lab ON lab.session_id = c.session_id AND lab.event_id = c.event_id GROUP BY 1, 2, 3),
-o AS (SELECT *, max(CASE WHEN rep = 0 THEN r END) OVER (PARTITION BY session_id, unit_id) AS o FROM g WHERE r IS NOT NULL)
-SELECT session_id, unit_id, round(max(o), 5) + 0.0 AS observed, count(*) AS n_rep, round((count(*) FILTER (abs(r) >= abs(o) - 1e-9) + 1) / (count(*) + 1.0), 6) AS p FROM o WHERE rep > 0 AND o IS NOT NULL GROUP BY 1, 2"""
+_SX = _CNT + f""", e AS (SELECT session_id, event_id, any_value(lick_flag) AS y, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS i FROM c GROUP BY 1, 2),
+m AS (SELECT session_id, count(*) AS n, avg(y) AS m, stddev_pop(y) AS s FROM e GROUP BY 1),
+zy AS (SELECT session_id, event_id, i, n, (y - m) / s AS zy FROM e JOIN m USING (session_id) WHERE s > 1e-9 AND n >= 2),
+dl AS (SELECT zy.session_id, r.rep, row_number() OVER (PARTITION BY zy.session_id, r.rep ORDER BY {rs.draw_sql('event_id', 'r.rep')}, event_id) AS i, event_id FROM zy, (SELECT unnest(range(1, 1001)) AS rep) r),
+py AS (SELECT dl.session_id, dl.rep, list(o.zy ORDER BY t.i) AS ys FROM dl JOIN zy o ON o.session_id = dl.session_id AND o.i = dl.i JOIN zy t ON t.session_id = dl.session_id AND t.event_id = dl.event_id GROUP BY 1, 2
+       UNION ALL SELECT session_id, 0, list(zy ORDER BY i) FROM zy GROUP BY 1),
+zx AS (SELECT session_id, unit_id, list((post - m) / s ORDER BY event_id) AS xs FROM (SELECT session_id, unit_id, event_id, post, avg(post) OVER g AS m, stddev_pop(post) OVER g AS s FROM c WINDOW g AS (PARTITION BY session_id, unit_id)) WHERE s > 1e-9 GROUP BY 1, 2),
+lx AS (SELECT session_id, unit_id, lag, list_transform(range(1, len(xs) + 1), lambda i: CASE WHEN i + lag BETWEEN 1 AND len(xs) THEN xs[i + lag] ELSE 0.0 END) AS xs FROM zx, (SELECT unnest(range(-10, 11)) AS lag)),
+g AS (SELECT lx.session_id, unit_id, lag, rep, list_inner_product(xs, ys) / len(xs) AS r FROM lx JOIN py ON py.session_id = lx.session_id),
+o AS (SELECT session_id, unit_id, lag, r AS o FROM g WHERE rep = 0),
+p AS (SELECT g.session_id, g.unit_id, g.lag, any_value(o) AS o, count(*) AS n_rep, count(*) FILTER (r >= o - 1e-9) / count(*) AS p_pos, count(*) FILTER (r <= o + 1e-9) / count(*) AS p_neg FROM g JOIN o ON o.session_id = g.session_id AND o.unit_id = g.unit_id AND o.lag = g.lag WHERE rep > 0 GROUP BY 1, 2, 3)
+SELECT session_id, unit_id, CAST(lag AS INT) AS lag, round(o, 5) + 0.0 AS r, n_rep, round(p_pos, 6) AS p_pos, round(p_neg, 6) AS p_neg, round(CASE WHEN p_pos >= 0.025 AND p_neg < 0.025 THEN p_neg ELSE p_pos END, 6) AS p, least(p_pos, p_neg) < 0.025 AS significant FROM p"""
+
+
+def shuffled_lags(d: Data) -> DataFrame:
+    """Lags -10..10 of every unit's counts and the lick series against 1,000 shuffles of the latter."""
+    s = series.lag_shuffles(response_counts(d), ["session_id", "unit_id"], "event_id", "post", "lick_flag", 10, 1000)
+    return s.withColumn("r", F.round("r", 5) + 0.0).withColumns({c: F.round(c, 6) for c in ("p_pos", "p_neg", "p")})
 
 
 @book("res_shuffle_xcorr", _SX, "us sp tr")
 def _(d: Data) -> DataFrame:
-    """Lag 0 against 50 shuffles of the behaviour series within the session."""
-    c = response_counts(d).select("session_id", "unit_id", "event_id", "post", "lick_flag")
-    ev = c.select("session_id", "event_id", "lick_flag").distinct()
-    p = rs.permuted_labels(ev, ["session_id"], "event_id", "lick_flag", 50)
-    j = c.drop("lick_flag").join(p, ["session_id", "event_id"])
-    r = j.groupBy("session_id", "unit_id", "rep").agg(special.corr("post", "lick_flag").alias("r"))
-    p = rs.permutation_p(r, ["session_id", "unit_id"], "r", slack=1e-9)
-    return p.withColumn("observed", F.round("observed", 5) + 0.0).withColumn("p", F.round("p", 6))
+    return shuffled_lags(d)
+
+
+@book("cmp_xcorr_trial")
+def _(d: Data) -> DataFrame:
+    """Lag correlations of every unit with their shuffle p, corrected over the unit's lags (Benjamini-Yekutieli)."""
+    return stats.fdr(shuffled_lags(d), ["session_id", "unit_id"], "p", "by")
 
 
 # ---- resampling: the draws are whole-number arithmetic, so SQL can repeat them
@@ -249,11 +243,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("observed", F.round("observed", 6) + 0.0).withColumn("p", F.round("p", 6))
 
 
-_GROUPS = "grp AS (SELECT mouse_id, min(reward_group) AS reward_group FROM units GROUP BY 1)"
-_MV = _GROUPS + ", dp AS (SELECT mouse_id, area_acronym_custom AS area, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_pre') AS pre, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_post') AS post FROM roc WHERE mouse_id IS NOT NULL AND area_acronym_custom IS NOT NULL GROUP BY 1, 2), mv AS (SELECT CAST(regexp_extract(mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, reward_group, area, post - pre AS delta FROM dp JOIN grp USING (mouse_id) WHERE pre IS NOT NULL AND post IS NOT NULL)"
-_PM = "WITH " + _MV + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 200)
+_GROUPS = "grp AS (SELECT mouse_id, min(reward_group) AS reward_group, row_number() OVER (ORDER BY mouse_id) AS mouse FROM units WHERE mouse_id IS NOT NULL GROUP BY 1)"
+_MV = _GROUPS + ", dp AS (SELECT mouse_id, area_acronym_custom AS area, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_pre') AS pre, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_post') AS post FROM roc WHERE mouse_id IS NOT NULL AND area_acronym_custom IS NOT NULL GROUP BY 1, 2), mv AS (SELECT mouse, reward_group, area, post - pre AS delta FROM dp JOIN grp USING (mouse_id) WHERE pre IS NOT NULL AND post IS NOT NULL)"
+_PM = "WITH " + _MV + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 9999)
 _DIFF = ", g AS (SELECT area, rep, avg(delta) FILTER (lab.reward_group = 1) - avg(delta) FILTER (lab.reward_group = 0) AS diff FROM mv JOIN lab USING (mouse) GROUP BY 1, 2)"
-_MA = _GROUPS + ", ma AS (SELECT CAST(regexp_extract(roc.mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, any_value(reward_group) AS reward_group, area_acronym_custom AS area, count(*) FILTER (significant) AS k, count(*) AS n FROM roc JOIN grp ON grp.mouse_id = roc.mouse_id WHERE area_acronym_custom IS NOT NULL GROUP BY 1, 3)"
+_MA = _GROUPS + ", ma AS (SELECT any_value(grp.mouse) AS mouse, any_value(reward_group) AS reward_group, area_acronym_custom AS area, count(*) FILTER (significant) AS k, count(*) AS n FROM roc JOIN grp ON grp.mouse_id = roc.mouse_id WHERE area_acronym_custom IS NOT NULL GROUP BY roc.mouse_id, area_acronym_custom)"
 
 
 def _draws_sql(entities: str, n: int, by: str, key: str) -> str:
@@ -267,11 +261,10 @@ def _draws_sql(entities: str, n: int, by: str, key: str) -> str:
 
 
 
-_PL = _CNT + f""", i AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_id, analysis ORDER BY cls, v) AS i, CAST(sum(cls) OVER (PARTITION BY session_id, unit_id, analysis) AS BIGINT) AS n1, count(*) OVER (PARTITION BY session_id, unit_id, analysis) AS n FROM x),
-pl AS (SELECT i.*, r.rep, CASE WHEN row_number() OVER (PARTITION BY session_id, unit_id, analysis, r.rep ORDER BY {rs.draw_sql('i.i', '(r.rep + i.unit_id)')}, i.i) <= n1 THEN 1 ELSE 0 END AS c2 FROM i, (SELECT unnest(range(1, 101)) AS rep) r),
-al AS (SELECT session_id, unit_id, analysis, rep, v, c2, n1, n FROM pl UNION ALL SELECT session_id, unit_id, analysis, 0, v, cls, n1, n FROM i),
-rk AS (SELECT *, rank() OVER (PARTITION BY session_id, unit_id, analysis, rep ORDER BY v) + (count(*) OVER (PARTITION BY session_id, unit_id, analysis, rep, v) - 1) / 2.0 AS rk FROM al),
-g AS (SELECT session_id, unit_id, analysis, rep, 2 * (sum(rk) FILTER (c2 = 1) - any_value(n1) * (any_value(n1) + 1) / 2.0) / (any_value(n1) * (any_value(n) - any_value(n1))) - 1 AS s FROM rk GROUP BY 1, 2, 3, 4),
+_PL = _CNT + f""", i AS (SELECT *, row_number() OVER (PARTITION BY session_id, unit_id, analysis ORDER BY cls, v) AS i, rank() OVER (PARTITION BY session_id, unit_id, analysis ORDER BY v) + (count(*) OVER (PARTITION BY session_id, unit_id, analysis, v) - 1) / 2.0 AS rk FROM x),
+b AS (SELECT session_id, unit_id, analysis, list(CAST(rk AS DOUBLE) ORDER BY i) AS rks, CAST(sum(cls) AS BIGINT) AS n1, count(*) AS n FROM i GROUP BY 1, 2, 3),
+w AS (SELECT session_id, unit_id, analysis, rks, n1, n, rep, CASE WHEN rep = 0 THEN list_sum(rks[n - n1 + 1:]) ELSE list_sum(list_transform(list_sort(list_transform(range(1, n + 1), lambda i: {rs.draw_sql('i', '(rep + unit_id)')} * (n + 1) + i))[:n1], lambda k: rks[k % (n + 1)])) END AS total FROM b, (SELECT unnest(range(0, 1001)) AS rep)),
+g AS (SELECT session_id, unit_id, analysis, rep, 2 * (total - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)) - 1 AS s FROM w WHERE n1 > 0 AND n1 < n),
 o AS (SELECT *, max(CASE WHEN rep = 0 THEN s END) OVER (PARTITION BY session_id, unit_id, analysis) AS o FROM g),
 pv AS (SELECT session_id, unit_id, analysis, round(max(o), 6) + 0.0 AS observed, count(*) AS n_rep, round(count(*) FILTER (abs(s) >= abs(o) - 1e-12) / count(*), 6) AS p FROM o WHERE rep > 0 GROUP BY 1, 2, 3)
 SELECT *, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN CASE WHEN observed > 0 THEN 'positive' ELSE 'negative' END END AS direction FROM pv"""
@@ -280,22 +273,20 @@ SELECT *, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN CASE WHEN observed >
 @book("res_perm_label", _PL, "us sp tr")
 @book("agg_roc_unit", _PL, "us sp tr")
 def _(d: Data) -> DataFrame:
-    """AUC of every unit and analysis against 100 permutations of the two classes: p, significance and direction."""
-    x = two_classes(response_counts(d)).withColumn("_i", F.row_number().over(W.partitionBy(*BY).orderBy("cls", "v")))
-    n1 = F.count_if("cls").over(W.partitionBy(*BY))
-    r = rs.repetitions(x.withColumn("_n1", n1), 100)
-    cls = F.row_number().over(W.partitionBy(*BY, "rep").orderBy(rs.draw(F.col("_i"), F.col("rep") + F.col("unit_id")), "_i")) <= F.col("_n1")
-    null = stats.auc(r.withColumn("cls", cls), [*BY, "rep"], "v", F.col("cls")).select(*BY, "rep", "selectivity")
-    own = stats.auc(x, BY, "v", F.col("cls")).select(*BY, F.lit(0).alias("rep"), "selectivity")
-    p = _rounded(rs.permutation_p(own.unionByName(null), BY, "selectivity", plus_one=False))
-    return p.withColumn("significant", F.col("p") < 0.05).withColumn("direction", F.when(F.col("significant"), F.when(F.col("observed") > 0, "positive").otherwise("negative")))
+    """AUC of every unit and analysis against 1,000 permutations of the two classes: p, significance and direction."""
+    return _rounded(series.label_permutations(two_classes(response_counts(d)), BY, "v", "cls", "unit_id", 1000))
+
+
+def mice(d: Data) -> DataFrame:
+    """mouse_id, reward_group, mouse: a running number of the mice, one row each."""
+    g = d.units.where("mouse_id is not null").groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
+    return g.withColumn("mouse", F.row_number().over(W.orderBy("mouse_id")).cast("long"))
 
 
 def mouse_values(d: Data) -> DataFrame:
     """mouse number, reward group, area, delta: one row per mouse and area."""
-    g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
-    x = deltas(d).join(g, "mouse_id")
-    return x.select(F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long").alias("mouse"), "reward_group", "area", (F.col("post") - F.col("pre")).alias("delta"))
+    x = deltas(d).join(mice(d), "mouse_id")
+    return x.select("mouse", "reward_group", "area", (F.col("post") - F.col("pre")).alias("delta"))
 
 
 def group_difference(x: DataFrame, by: list[str]) -> DataFrame:
@@ -304,7 +295,7 @@ def group_difference(x: DataFrame, by: list[str]) -> DataFrame:
     return x.groupBy(*by).agg((m(1) - m(0)).alias("diff"))
 
 
-def perm_mouse(d: Data, n: int = 200) -> DataFrame:
+def perm_mouse(d: Data, n: int = 9999) -> DataFrame:
     v = mouse_values(d)
     labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", n)
     return v.drop("reward_group").join(labels, "mouse")
@@ -325,23 +316,21 @@ def _(d: Data) -> DataFrame:
     return per.unionByName(top.withColumn("p_adj", F.col("p")))
 
 
-_CROSS = "WITH " + _GROUPS + ", f AS (SELECT mouse_id, area_acronym_custom AS area, avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_active') AS w, avg(CAST(significant AS INT)) FILTER (analysis_type = 'auditory_active') AS a FROM roc WHERE mouse_id IS NOT NULL GROUP BY 1, 2), mv AS (SELECT CAST(regexp_extract(mouse_id, '(\\d+)$', 1) AS BIGINT) AS mouse, reward_group, area, w - a AS delta FROM f JOIN grp USING (mouse_id) WHERE w IS NOT NULL AND a IS NOT NULL AND area IS NOT NULL), " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 200)
+_CROSS = "WITH " + _GROUPS + ", f AS (SELECT mouse_id, area_acronym_custom AS area, avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_active') AS w, avg(CAST(significant AS INT)) FILTER (analysis_type = 'auditory_active') AS a FROM roc WHERE mouse_id IS NOT NULL GROUP BY 1, 2), mv AS (SELECT mouse, reward_group, area, w - a AS delta FROM f JOIN grp USING (mouse_id) WHERE w IS NOT NULL AND a IS NOT NULL AND area IS NOT NULL), " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM mv", 2000)
 
 
 @book("res_perm_cross", _CROSS + _DIFF + _perm_p_sql("area", "diff", "g"), "roc")
 def _(d: Data) -> DataFrame:
     """Difference in differences: the group effect on whisker minus that on auditory fractions."""
     r = d.roc().where("mouse_id is not null").groupBy("mouse_id", F.col("area_acronym_custom").alias("area")).agg(*[F.avg(F.when(F.col("analysis_type") == k, F.col("significant").cast("int"))).alias(k) for k in ("whisker_active", "auditory_active")]).dropna()
-    g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
-    v = r.join(g, "mouse_id").select(F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long").alias("mouse"), "reward_group", "area", (F.col("whisker_active") - F.col("auditory_active")).alias("delta"))
-    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
+    v = r.join(mice(d), "mouse_id").select("mouse", "reward_group", "area", (F.col("whisker_active") - F.col("auditory_active")).alias("delta"))
+    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 2000)
     return _rounded(rs.permutation_p(group_difference(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"]), ["area"], "diff"))
 
 
 def _mouse_area(d: Data) -> DataFrame:
-    g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
     r = d.roc().where("mouse_id is not null and area_acronym_custom is not null").groupBy("mouse_id", F.col("area_acronym_custom").alias("area")).agg(F.count_if("significant").alias("k"), F.count("*").alias("n"))
-    return r.join(g, "mouse_id").withColumn("mouse", F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long"))
+    return r.join(mice(d), "mouse_id")
 
 
 def _focality_of(x: DataFrame, by: list[str], times: str | None = None) -> DataFrame:
@@ -350,13 +339,13 @@ def _focality_of(x: DataFrame, by: list[str], times: str | None = None) -> DataF
     return stats.focality(p, by, "p")
 
 
-_FOC = "WITH " + _MA + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM ma", 200) + ", sh AS (SELECT rep, lab.reward_group, area, sum(k) / sum(n) AS p FROM ma JOIN lab USING (mouse) GROUP BY 1, 2, 3), fo AS (SELECT rep, reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), g AS (SELECT 'focality' AS what, rep, max(f) FILTER (reward_group = 1) - max(f) FILTER (reward_group = 0) AS diff FROM fo GROUP BY 2)"
+_FOC = "WITH " + _MA + ", " + _labels_sql("SELECT DISTINCT mouse, reward_group FROM ma", 10000) + ", sh AS (SELECT rep, lab.reward_group, area, sum(k) / sum(n) AS p FROM ma JOIN lab USING (mouse) GROUP BY 1, 2, 3), fo AS (SELECT rep, reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), g AS (SELECT 'focality' AS what, rep, max(f) FILTER (reward_group = 1) - max(f) FILTER (reward_group = 0) AS diff FROM fo GROUP BY 2)"
 
 
 @book("res_perm_focality", _FOC + _perm_p_sql("what", "diff", "g"), "roc")
 def _(d: Data) -> DataFrame:
     v = _mouse_area(d)
-    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
+    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 10000)
     f = _focality_of(v.drop("reward_group").join(labels, "mouse"), ["rep", "reward_group"])
     m = lambda k: F.max(F.when(F.col("reward_group") == k, F.col("focality")))
     diff = f.groupBy("rep").agg((m(1) - m(0)).alias("diff")).withColumn("what", F.lit("focality"))
@@ -373,43 +362,43 @@ def _boot(d: Data, n: int, keep_times: bool) -> DataFrame:
     return _focality_of(v, ["reward_group"]).join(ci, "reward_group").select("reward_group", F.round("focality", 6).alias("focality"), F.round(F.element_at("c", 1), 6).alias("low"), F.round(F.element_at("c", 2), 6).alias("high"), "n_rep")
 
 
-_BM = "WITH " + _MA + ", " + _draws_sql("SELECT DISTINCT reward_group, mouse FROM ma", 200, "reward_group", "mouse") + ", sh AS (SELECT reward_group, rep, area, sum(k * {t}) / sum(n * {t}) AS p FROM ma JOIN bd USING (reward_group, mouse) GROUP BY 1, 2, 3), fo AS (SELECT reward_group, rep, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), own AS (SELECT reward_group, area, sum(k) / sum(n) AS p FROM ma GROUP BY 1, 2), ow AS (SELECT reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS focality FROM own GROUP BY 1) SELECT reward_group, round(any_value(focality), 6) AS focality, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high, count(f) AS n_rep FROM fo JOIN ow USING (reward_group) GROUP BY 1"
+def _boot_sql(n: int, t: str) -> str:
+    return ("WITH " + _MA + ", " + _draws_sql("SELECT DISTINCT reward_group, mouse FROM ma", n, "reward_group", "mouse") + _BM).replace("{t}", t)
+
+
+_BM = ", sh AS (SELECT reward_group, rep, area, sum(k * {t}) / sum(n * {t}) AS p FROM ma JOIN bd USING (reward_group, mouse) GROUP BY 1, 2, 3), fo AS (SELECT reward_group, rep, sum(p * p) / nullif(sum(p) * sum(p), 0) AS f FROM sh GROUP BY 1, 2), own AS (SELECT reward_group, area, sum(k) / sum(n) AS p FROM ma GROUP BY 1, 2), ow AS (SELECT reward_group, sum(p * p) / nullif(sum(p) * sum(p), 0) AS focality FROM own GROUP BY 1) SELECT reward_group, round(any_value(focality), 6) AS focality, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high, count(f) AS n_rep FROM fo JOIN ow USING (reward_group) GROUP BY 1"
 
 
-@book("res_boot_mouse", _BM.format(t="times"), "roc")
+@book("res_boot_mouse", _boot_sql(10_000, "times"), "roc")
 def _(d: Data) -> DataFrame:
-    return _boot(d, 200, True)
+    return _boot(d, 10_000, True)
 
 
-@book("res_boot_mouse_set", _BM.format(t="1"), "roc")
+@book("res_boot_mouse_set", _boot_sql(5_000, "1"), "roc")
 def _(d: Data) -> DataFrame:
-    return _boot(d, 200, False)
+    return _boot(d, 5_000, False)
 
 
 def neuron_rows(d: Data) -> DataFrame:
     r = d.roc().where("mouse_id is not null and area_acronym_custom is not null and neuron_id is not null and analysis_type = 'whisker_active'")
     r = r.groupBy("mouse_id", "session_id", "neuron_id").agg(F.min("area_acronym_custom").alias("area"), F.bool_or("significant").cast("int").alias("k")).withColumn("n", F.lit(1))
-    g = d.units.groupBy("mouse_id").agg(F.min("reward_group").alias("reward_group"))
-    return r.join(g, "mouse_id").withColumn("mouse", F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("long")).withColumn("unit", F.abs(F.xxhash64("session_id", "neuron_id")) % 1000003)
+    return r.join(mice(d), "mouse_id")
+
+
+def _interval(b: DataFrame) -> DataFrame:
+    return b.select("reward_group", *[F.round(c, 6).alias(c) for c in ("focality", "low", "high")], "n_rep")
 
 
 @book("res_boot_hier")
 def _(d: Data) -> DataFrame:
     """Mice drawn with replacement, then neurons within each drawn mouse: percentile interval of the focality."""
-    v = neuron_rows(d)
-    m = rs.bootstrap_draws(v, ["reward_group"], "mouse", 50).withColumnRenamed("times", "t1")
-    u = rs.bootstrap_draws(v, ["mouse"], "unit", 50, 2).withColumnRenamed("times", "t2")
-    x = v.join(u, ["mouse", "unit"]).join(m, ["reward_group", "mouse", "rep"]).withColumn("times", F.col("t1") * F.col("t2"))
-    f = _focality_of(x, ["reward_group", "rep"], "times")
-    return f.groupBy("reward_group").agg(F.count("focality").alias("n_rep"), F.percentile("focality", F.lit(0.025)).alias("low"), F.percentile("focality", F.lit(0.975)).alias("high"))
+    return _interval(series.focality_bootstrap(neuron_rows(d), "reward_group", "mouse", 10_000))
 
 
 @book("res_boot_pct")
 def _(d: Data) -> DataFrame:
-    v = neuron_rows(d)
-    b = rs.bootstrap_draws(v, ["reward_group"], "unit", 100)
-    f = _focality_of(v.join(b, ["reward_group", "unit"]), ["reward_group", "rep"], "times")
-    return f.groupBy("reward_group").agg(F.count("focality").alias("n_rep"), F.percentile("focality", F.lit(0.025)).alias("low"), F.percentile("focality", F.lit(0.975)).alias("high"))
+    """Neurons drawn with replacement within a group: percentile interval of the focality."""
+    return _interval(series.focality_bootstrap(neuron_rows(d), "reward_group", None, 10_000))
 
 
 @book("res_boot_bca")
@@ -419,7 +408,7 @@ def _(d: Data) -> DataFrame:
     from axonlake.functions.special import norm_cdf, norm_ppf
 
     v = mouse_values(d).select("area", "mouse", "delta")
-    b = rs.bootstrap_draws(v, ["area"], "mouse", 200).join(v, ["area", "mouse"]).groupBy("area", "rep").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("m"))
+    b = rs.bootstrap_draws(v, ["area"], "mouse", 10_000).join(v, ["area", "mouse"]).groupBy("area", "rep").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("m"))
     w = W.partitionBy("area")
     jack = v.withColumn("n", F.count("*").over(w)).where("n > 2").withColumn("j", (F.sum("delta").over(w) - F.col("delta")) / (F.col("n") - 1)).withColumn("d", F.avg("j").over(w) - F.col("j"))
     acc = jack.groupBy("area").agg(F.coalesce(F.try_divide(F.sum(F.pow("d", 3)), 6 * F.nullif(F.pow(F.sum(F.col("d") * F.col("d")), 1.5), F.lit(0.0))), F.lit(0.0)).alias("a"))
@@ -437,12 +426,12 @@ def _(d: Data) -> DataFrame:
     return rs.bootstrap_draws(mouse_values(d), ["reward_group"], "mouse", 50)
 
 
-_BME = "WITH " + _MV + ", " + _draws_sql("SELECT DISTINCT area, mouse FROM mv", 200, "area", "mouse") + ", m AS (SELECT area, rep, sum(delta * times) / sum(times) AS m FROM mv JOIN bd USING (area, mouse) GROUP BY 1, 2), ow AS (SELECT area, avg(delta) AS mean FROM mv GROUP BY 1) SELECT area, round(any_value(mean), 5) + 0.0 AS mean, round(quantile_cont(m, 0.025), 5) + 0.0 AS low, round(quantile_cont(m, 0.975), 5) + 0.0 AS high FROM m JOIN ow USING (area) GROUP BY 1"
+_BME = "WITH " + _MV + ", " + _draws_sql("SELECT DISTINCT area, mouse FROM mv", 2000, "area", "mouse") + ", m AS (SELECT area, rep, sum(delta * times) / sum(times) AS m FROM mv JOIN bd USING (area, mouse) GROUP BY 1, 2), ow AS (SELECT area, avg(delta) AS mean FROM mv GROUP BY 1) SELECT area, round(any_value(mean), 5) + 0.0 AS mean, round(quantile_cont(m, 0.025), 5) + 0.0 AS low, round(quantile_cont(m, 0.975), 5) + 0.0 AS high FROM m JOIN ow USING (area) GROUP BY 1"
 
 
 @book("res_boot_mean", _BME, "roc")
 def _(d: Data) -> DataFrame:
-    b = rs.bootstrap_mean(mouse_values(d), ["area"], "mouse", "delta", 200)
+    b = rs.bootstrap_mean(mouse_values(d), ["area"], "mouse", "delta", 2000)
     return b.select("area", *[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "low", "high")])
 
 
@@ -451,10 +440,10 @@ def _(d: Data) -> DataFrame:
 @book("cmp_region_worker")
 def _(d: Data) -> DataFrame:
     """Each area's mean against as many mice drawn without replacement from all areas: z, p and false-discovery control."""
-    v = mouse_values(d).withColumn("k", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("mouse", "area")))
+    v = mouse_values(d).withColumn("k", F.pmod(F.xxhash64("mouse", "area"), F.lit(1 << 40)))
     n = v.groupBy("reward_group", "area").agg(F.count("*").alias("n"), F.avg("delta").alias("m"))
-    pool = rs.repetitions(v.select("reward_group", "k", "delta"), 200)
-    order = F.row_number().over(W.partitionBy("reward_group", "rep").orderBy(rs.draw(F.col("k"), F.col("rep")), "k"))
+    pool = rs.repetitions(v.select("reward_group", "k", "mouse", "area", "delta"), 10_000)
+    order = F.row_number().over(W.partitionBy("reward_group", "rep").orderBy(rs.draw(F.col("k"), F.col("rep")), "k", "mouse", "area"))
     cum = pool.withColumn("i", order).withColumn("null_mean", F.avg("delta").over(W.partitionBy("reward_group", "rep").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     j = n.join(cum.select("reward_group", "rep", F.col("i").alias("n"), "null_mean"), ["reward_group", "n"])
     g = j.groupBy("reward_group", "area", "n", "m").agg(F.avg("null_mean").alias("mu"), F.stddev_pop("null_mean").alias("sd"), F.count_if(F.abs(F.col("null_mean")) >= F.abs("m")).alias("far"), F.count("*").alias("n_rep"))
@@ -479,13 +468,13 @@ def _(d: Data) -> DataFrame:
     return f_statistic(shifts(d).where("x is not null"), ["area"], "reward_group", "x").withColumn("f", F.round("f", 4))
 
 
-_PMA = _PM + ", gs AS (SELECT area, rep, lab.reward_group, count(*) AS n, sum(delta) AS s, sum(delta * delta) AS q FROM mv JOIN lab USING (mouse) GROUP BY 1, 2, 3), t AS (SELECT area, rep, sum(n) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM gs GROUP BY 1, 2), g AS (SELECT area, rep, CASE WHEN q - b > 1e-6 THEN round((b - s * s / n) / (k - 1) / ((q - b) / (n - k)), 6) END AS f FROM t WHERE k > 1 AND n > k)"
+_PMA = _PM.replace("range(1, 10000)", "range(1, 1001)") + ", gs AS (SELECT area, rep, lab.reward_group, count(*) AS n, sum(delta) AS s, sum(delta * delta) AS q FROM mv JOIN lab USING (mouse) GROUP BY 1, 2, 3), t AS (SELECT area, rep, sum(n) AS n, count(*) AS k, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM gs GROUP BY 1, 2), g AS (SELECT area, rep, CASE WHEN q - b > 1e-6 THEN round((b - s * s / n) / (k - 1) / ((q - b) / (n - k)), 6) END AS f FROM t WHERE k > 1 AND n > k)"
 
 
 @book("res_permanova", _PMA + _perm_p_sql("area", "f", "g", "{v} >= o - 1e-12"), "roc")
 def _(d: Data) -> DataFrame:
     v = mouse_values(d)
-    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
+    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 1000)
     f = f_statistic(v.drop("reward_group").join(labels, "mouse"), ["area", "rep"], "reward_group", "delta").withColumn("f", F.round("f", 6))
     return _rounded(rs.permutation_p(f, ["area"], "f", "greater"))
 
@@ -494,7 +483,7 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """Pseudo-F of mouse vectors (one coordinate per area): sums of squares per coordinate add up, no distance table is needed."""
     v = mouse_values(d)
-    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 200)
+    labels = rs.permuted_labels(v.select("mouse", "reward_group").distinct(), [], "mouse", "reward_group", 9999)
     x = v.drop("reward_group").join(labels, "mouse")
     g = x.groupBy("rep", "area", "reward_group").agg(F.count("*").alias("n"), F.sum("delta").alias("s"), F.sum(F.col("delta") * F.col("delta")).alias("q"))
     a = g.groupBy("rep", "area").agg(F.sum("q").alias("q"), F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
@@ -503,30 +492,50 @@ def _(d: Data) -> DataFrame:
     return rs.permutation_p(f, ["what"], "f", "greater")
 
 
-_SH = _CNT + ", s AS (SELECT session_id, unit_id, event_id, post, lick_flag, row_number() OVER w AS i, count(*) OVER (PARTITION BY session_id, unit_id) AS n FROM c WINDOW w AS (PARTITION BY session_id, unit_id ORDER BY event_id)), k AS (SELECT unnest(range(-2, 3)) AS k), r AS (SELECT y.session_id, y.unit_id, k.k, count(*) AS n_rows, CASE WHEN stddev_pop(x.post) > 1e-9 AND stddev_pop(y.lick_flag) > 1e-9 THEN corr(x.post, y.lick_flag) END AS r FROM s y CROSS JOIN k JOIN s x ON x.session_id = y.session_id AND x.unit_id = y.unit_id AND x.i = y.i + k.k WHERE y.i > 2 AND y.i <= y.n - 2 GROUP BY 1, 2, 3), o AS (SELECT *, max(CASE WHEN k = 0 THEN r END) OVER (PARTITION BY session_id, unit_id) AS o FROM r) SELECT session_id, unit_id, max(n_rows) AS n_rows, round(max(o), 5) + 0.0 AS r, count(*) FILTER (abs(r) >= abs(o) - 1e-9) AS m FROM o GROUP BY 1, 2"
+_SH = _CNT + ", s AS (SELECT session_id, unit_id, event_id, post, lick_flag, row_number() OVER w AS i, count(*) OVER g AS n, least(39, (count(*) OVER g - 8) // 2) AS h FROM c WINDOW w AS (PARTITION BY session_id, unit_id ORDER BY event_id), g AS (PARTITION BY session_id, unit_id)), k AS (SELECT unnest(range(-39, 40)) AS k), r AS (SELECT y.session_id, y.unit_id, any_value(y.h) AS h, k.k, count(*) AS n_rows, CASE WHEN stddev_pop(x.post) > 1e-9 AND stddev_pop(y.lick_flag) > 1e-9 THEN corr(x.post, y.lick_flag) END AS r FROM s y JOIN k ON abs(k.k) <= y.h JOIN s x ON x.session_id = y.session_id AND x.unit_id = y.unit_id AND x.i = y.i + k.k WHERE y.h >= 1 AND y.i > y.h AND y.i <= y.n - y.h GROUP BY 1, 2, 4), o AS (SELECT *, max(CASE WHEN k = 0 THEN r END) OVER (PARTITION BY session_id, unit_id) AS o FROM r), q AS (SELECT session_id, unit_id, max(n_rows) AS n_rows, max(h) AS n_shifts, round(max(o), 5) + 0.0 AS r, count(*) FILTER (abs(r) >= abs(o) - 1e-9) AS m FROM o GROUP BY 1, 2 UNION ALL SELECT session_id, unit_id, count(*), 0, NULL, 0 FROM s WHERE h < 1 GROUP BY 1, 2) SELECT session_id, unit_id, n_rows, CAST(n_shifts AS BIGINT) AS n_shifts, r, m, round(CASE WHEN r IS NULL THEN 1 ELSE m / (2.0 * n_shifts + 1) END, 6) AS p_approx FROM q"
 
 
 @book("res_shift", _SH, "us sp tr")
 def _(d: Data) -> DataFrame:
-    s = rs.shift_test(response_counts(d), ["session_id", "unit_id"], "event_id", "post", "lick_flag", 2)
-    return s.select("session_id", "unit_id", "n_rows", (F.round("r", 5) + 0.0).alias("r"), "m")
-
+    s = rs.shift_test(response_counts(d), ["session_id", "unit_id"], "event_id", "post", "lick_flag")
+    return s.select("session_id", "unit_id", "n_rows", "n_shifts", (F.round("r", 5) + 0.0).alias("r"), "m", F.round("p_approx", 6).alias("p_approx"))
 
-@book("res_shift_session")
-@book("cmp_shift_helpers")
-def _(d: Data) -> DataFrame:
-    """Two epochs (baseline, response) x two factors (lick, reward) per unit, with the quadrant of the two response tests."""
-    from axonlake.functions.labels import quadrant
 
+def _epochs(d: Data, **kw) -> DataFrame:
+    """Two epochs (baseline, response) x two factors (lick, reward) per unit."""
     c = response_counts(d).join(d.trial_rows().select("session_id", "event_id", "reward_available"), ["session_id", "event_id"])
     out = None
     for epoch in ("pre", "post"):
         for factor in ("lick_flag", "reward_available"):
-            one = rs.shift_test(c, ["session_id", "unit_id"], "event_id", epoch, factor, 2).withColumn("epoch", F.lit(epoch)).withColumn("factor", F.lit(factor))
+            one = rs.shift_test(c, ["session_id", "unit_id"], "event_id", epoch, factor, **kw).withColumn("epoch", F.lit(epoch)).withColumn("factor", F.lit(factor))
             out = one if out is None else out.unionByName(one)
+    return out
+
+
+@book("res_shift_session")
+def _(d: Data) -> DataFrame:
+    """The four tests of each unit, and the quadrant of its two response tests at the 0.05 level."""
+    from axonlake.functions.labels import quadrant
+
     w = W.partitionBy("session_id", "unit_id")
     p = lambda f: F.max(F.when((F.col("epoch") == "post") & (F.col("factor") == f), F.col("p_approx"))).over(w)
-    return out.withColumn("quadrant", quadrant(p("lick_flag"), p("reward_available"), F.lit(0.25)))
+    return _epochs(d).withColumn("quadrant", quadrant(p("lick_flag"), p("reward_available"), F.lit(0.05)))
+
+
+@book("cmp_shift_helpers")
+def _(d: Data) -> DataFrame:
+    """The variants of the shift test, summarised per epoch and factor: linear and rank correlation, by size and one-sided, and
+    the response's link to licks with the reward's share taken out."""
+    c = response_counts(d).join(d.trial_rows().select("session_id", "event_id", "reward_available"), ["session_id", "event_id"])
+    keys = ["session_id", "unit_id"]
+    runs = [("pearson", "two-sided", None), ("spearman", "two-sided", None), ("pearson", "greater", None), ("pearson", "less", None), ("pearson", "two-sided", "reward_available")]
+    out = None
+    for score, side, given in runs:
+        s = rs.shift_test(c, keys, "event_id", "post", "lick_flag", score=score, alternative=side, given=given)
+        one = s.agg(F.count("*").alias("n_units"), F.count_if(F.col("n_shifts") == 0).alias("n_short"), F.count("r").alias("n_scored"), F.count_if(F.col("p_approx") < 0.05).alias("n_significant"), F.avg("r").alias("mean_r"))
+        one = one.select(F.lit(score).alias("score"), F.lit(side).alias("alternative"), F.lit(given is not None).alias("partial"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _R2 = _CNT + ", s AS (SELECT session_id, unit_id, event_id, post, row_number() OVER w - 1 AS k, coalesce(sum(post) OVER (PARTITION BY session_id, unit_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, count(*) OVER g AS n, sum(post) OVER g AS t, sum(post * post) OVER g AS q FROM c WINDOW w AS (PARTITION BY session_id, unit_id ORDER BY event_id), g AS (PARTITION BY session_id, unit_id)) SELECT session_id, unit_id, k AS split, round(CASE WHEN q - t * t / n > 1e-9 THEN greatest((s * s / k + (t - s) * (t - s) / (n - k) - t * t / n) / (q - t * t / n), 0) ELSE 0 END, 5) + 0.0 AS r2 FROM s WHERE k > 0"

@@ -398,26 +398,6 @@ def _(d: Data) -> DataFrame:
     return s.select("mouse_id", F.array_join("s", ",").alias("areas"), F.size("s").alias("n"))
 
 
-_EDGE = "e AS (SELECT a.session_id, a.unit_id AS source_id, b.unit_id AS target_id, a.ccf_parent_acronym AS source_area, b.ccf_parent_acronym AS target_area, (a.unit_id * 31 + b.unit_id * 17) % 21 - 10 AS lag FROM u a JOIN u b ON a.session_id = b.session_id AND a.unit_id < b.unit_id)"
-
-
-def edges(d: Data) -> DataFrame:
-    u = d.unit_rows("ccf_parent_acronym")
-    a = u.select("session_id", F.col("unit_id").alias("source_id"), F.col("ccf_parent_acronym").alias("source_area"))
-    b = u.select("session_id", F.col("unit_id").alias("target_id"), F.col("ccf_parent_acronym").alias("target_area"))
-    return a.join(b, "session_id").where("source_id < target_id").withColumn("lag", (F.col("source_id") * 31 + F.col("target_id") * 17) % 21 - 10)
-
-
-@book("flip_edges", f"WITH {_EDGE} SELECT session_id, CASE WHEN lag < 0 THEN target_id ELSE source_id END AS source_id, CASE WHEN lag < 0 THEN source_id ELSE target_id END AS target_id, CASE WHEN lag < 0 THEN target_area ELSE source_area END AS source_area, CASE WHEN lag < 0 THEN source_area ELSE target_area END AS target_area, abs(lag) AS lag FROM e", "u")
-def _(d: Data) -> DataFrame:
-    return rel.flip_negative(edges(d), "lag", [("source_id", "target_id"), ("source_area", "target_area")])
-
-
-@book("cmp_interaction_counts", f"WITH {_EDGE} SELECT source_area, target_area, count(*) AS n, count(*) FILTER (lag > 3) AS n_excitatory, count(*) FILTER (lag < -3) AS n_inhibitory FROM e GROUP BY 1, 2", "u")
-def _(d: Data) -> DataFrame:
-    return edges(d).groupBy("source_area", "target_area").agg(F.count("*").alias("n"), F.count_if(F.col("lag") > 3).alias("n_excitatory"), F.count_if(F.col("lag") < -3).alias("n_inhibitory"))
-
-
 @book("mirror_matrix", _AP + ", p AS (SELECT a.area AS id_a, b.area AS id_b, count(*) AS n_mice FROM q a JOIN q b ON a.mouse_id = b.mouse_id AND a.area <= b.area GROUP BY 1, 2) SELECT * FROM p UNION ALL SELECT id_b, id_a, n_mice FROM p WHERE id_a <> id_b", "u")
 def _(d: Data) -> DataFrame:
     p = rel.pairs(_areas_of_mice(d), ["mouse_id"], "area", repeated=True).groupBy("id_a", "id_b").agg(F.count("*").alias("n_mice"))

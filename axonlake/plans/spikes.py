@@ -150,13 +150,13 @@ def _(d: Data) -> DataFrame:
     return p.select("session_id", "unit_id", "trial_type", "block_id", "bin", "n_events", F.round("rate", 6).alias("rate"))
 
 
-_INFL = "ti AS (SELECT tr.*, CASE WHEN row_number() OVER (PARTITION BY session_id, trial_type ORDER BY at_us, trial_id) - 1 < coalesce(l.k, 0) THEN 'pre' ELSE 'post' END AS phase FROM tr LEFT JOIN (SELECT mouse_id AS m, min(inflection_trial) % 5 AS k FROM neuron_results GROUP BY 1) l ON l.m = tr.mouse_id)"
+_INFL = "ti AS (SELECT tr.*, CASE WHEN row_number() OVER (PARTITION BY session_id, trial_type ORDER BY at_us, trial_id) - 1 < coalesce(l.k, 0) THEN 'pre' ELSE 'post' END AS phase FROM tr LEFT JOIN (SELECT mouse_id AS m, min(inflection_trial) AS k FROM neuron_results GROUP BY 1) l ON l.m = tr.mouse_id)"
 
 
 @book("agg_peth_inflection", _PETH.replace("WITH bins", f"WITH {_INFL}, bins").replace("tr.trial_type, tr.ctx, tr.lick_flag, tr.event_id", "ti.trial_type, ti.phase, ti.event_id").replace("us JOIN tr ON us.session_id = tr.session_id", "us JOIN ti ON us.session_id = ti.session_id").replace("hit.event_id = tr.event_id", "hit.event_id = ti.event_id")
       + "SELECT session_id, unit_id, trial_type, phase, bin, count(*) AS n_events, round(avg(n) / 0.5, 6) AS rate FROM cell GROUP BY 1, 2, 3, 4, 5", "us sp tr")
 def _(d: Data) -> DataFrame:
-    learning = d.neuron_results.groupBy("mouse_id").agg((F.min("inflection_trial") % 5).alias("_k"))
+    learning = d.neuron_results.groupBy("mouse_id").agg(F.min("inflection_trial").alias("_k"))
     k = F.row_number().over(W.partitionBy("session_id", "trial_type").orderBy("at_us", "trial_id")) - 1
     t = d.trial_rows().join(learning, "mouse_id", "left").withColumn("phase", F.when(k < F.coalesce("_k", F.lit(0)), "pre").otherwise("post")).select("session_id", "event_id", "at_us", "trial_type", "phase")
     p = hist.mean_peth(d.spikes(), d.unit_rows(), t, KEYS, UNIT, ["trial_type", "phase"], -S, 3 * S, S // 2)
@@ -307,21 +307,13 @@ def _(d: Data) -> DataFrame:
     return hist.onset(a, ["area", "reward_group", "trial_type"], "bin", "rate", F.col("bin") < 2, 1.0)
 
 
-@book("agg_bin_mean", """WITH s AS (SELECT DISTINCT * FROM samples WHERE value IS NOT NULL AND NOT isnan(value)), k AS (SELECT DISTINCT session_id, signal FROM samples), bins AS (SELECT CAST(unnest(range(0, 60)) AS BIGINT) AS bin),
-m AS (SELECT session_id, signal, CAST(floor((t - 10) / 1.0) AS BIGINT) AS bin, avg(value) AS mean, count(*) AS n FROM s GROUP BY 1, 2, 3)
-SELECT k.session_id, k.signal, bins.bin, round(coalesce(m.mean, 0), 6) AS mean, coalesce(m.n, 0) AS n FROM k CROSS JOIN bins LEFT JOIN m ON m.session_id = k.session_id AND m.signal = k.signal AND m.bin = bins.bin""")
-def _(d: Data) -> DataFrame:
-    b = hist.bin_means(d.samples.distinct(), ["session_id", "signal"], "t", "value", 10.0, 1.0, 60)
-    return b.select("session_id", "signal", "bin", F.round("mean", 6).alias("mean"), "n")
-
-
-@book("agg_bin_mean_whole", """WITH s AS (SELECT DISTINCT * FROM samples), b AS (SELECT session_id, signal, CAST(floor(t) AS BIGINT) AS bin, CASE WHEN NOT isnan(value) THEN value END AS value FROM s WHERE t IS NOT NULL AND NOT isnan(t)),
+@book("agg_bin_mean", """WITH s AS (SELECT DISTINCT * FROM samples), b AS (SELECT session_id, signal, CAST(floor(t) AS BIGINT) AS bin, CASE WHEN NOT isnan(value) THEN value END AS value FROM s WHERE t IS NOT NULL AND NOT isnan(t)),
 k AS (SELECT session_id, signal, unnest(range(min(bin), max(bin) + 1)) AS bin FROM b GROUP BY 1, 2)
-SELECT k.session_id, k.signal, k.bin, round(coalesce(avg(b.value), 0), 6) AS mean, count(b.value) AS n FROM k LEFT JOIN b ON b.session_id IS NOT DISTINCT FROM k.session_id AND b.signal IS NOT DISTINCT FROM k.signal AND b.bin = k.bin GROUP BY 1, 2, 3""")
+SELECT k.session_id, k.signal, k.bin, coalesce(CAST(sum(CAST(b.value AS DECIMAL(28, 8))) AS DOUBLE) / nullif(count(b.value), 0), 0) AS mean, count(b.value) AS n FROM k LEFT JOIN b ON b.session_id IS NOT DISTINCT FROM k.session_id AND b.signal IS NOT DISTINCT FROM k.signal AND b.bin = k.bin GROUP BY 1, 2, 3""")
 def _(d: Data) -> DataFrame:
-    """agg_bin_mean over each series from its first to its last sample, whatever the length of the recording."""
+    """Bins of 1 s of each series from its first to its last sample, whatever the length of the recording; sums in decimals, so exact."""
     b = hist.bin_means_whole(d.samples.distinct(), ["session_id", "signal"], "t", "value", 1.0)
-    return b.select("session_id", "signal", "bin", F.round("mean", 6).alias("mean"), "n")
+    return b.select("session_id", "signal", "bin", "mean", "n")
 
 
 @book("agg_event_raster_bin", f"""WITH {_LICKS}, bins AS (SELECT CAST(unnest(range(0, 8)) AS BIGINT) AS bin), h AS (SELECT tr.session_id, event_id, (t_us - at_us) // 500000 AS bin FROM licks JOIN tr ON licks.session_id = tr.session_id AND t_us >= at_us AND t_us < at_us + 4000000),

@@ -161,9 +161,9 @@ def _(d: Data) -> DataFrame:
     return proportions(d.roc(), "session_id")
 
 
-@book("agg_mean_sel", "SELECT mouse_id, area_acronym_custom, analysis_type, round(avg(abs(selectivity)), 6) AS mean_sel FROM roc GROUP BY 1, 2, 3", "roc")
+@book("agg_mean_sel", "SELECT mouse_id, area_acronym_custom, analysis_type, CAST(sum(CAST(abs(selectivity) AS DECIMAL(28, 8))) AS DOUBLE) / nullif(count(selectivity), 0) AS mean_sel FROM roc GROUP BY 1, 2, 3", "roc")
 def _(d: Data) -> DataFrame:
-    return d.roc().groupBy("mouse_id", AREA, "analysis_type").agg(F.round(F.avg(F.abs("selectivity")), 6).alias("mean_sel"))
+    return d.roc().groupBy("mouse_id", AREA, "analysis_type").agg(F.try_divide(F.sum(F.abs("selectivity").cast("decimal(28,8)")).cast("double"), F.count("selectivity")).alias("mean_sel"))
 
 
 _DELTA = "WITH p AS (SELECT mouse_id, area_acronym_custom AS area, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_pre') AS pre, 100.0 * avg(CAST(significant AS INT)) FILTER (analysis_type = 'whisker_passive_post') AS post FROM roc WHERE mouse_id IS NOT NULL AND area_acronym_custom IS NOT NULL GROUP BY 1, 2) "

@@ -85,12 +85,12 @@ def _(d: Data) -> DataFrame:
     return d.trial_rows().select("session_id", "trial_id", (F.col("trial_id") - first).alias("rebased"))
 
 
-_L = "l AS (SELECT mouse_id, min(inflection_trial) % 7 AS lt FROM neuron_results WHERE mouse_id IS NOT NULL GROUP BY 1)"
+_L = "l AS (SELECT mouse_id, min(inflection_trial) AS lt FROM neuron_results WHERE mouse_id IS NOT NULL GROUP BY 1)"
 _REL = f"WITH {_L}, x AS (SELECT tr.*, l.lt, row_number() OVER {TYP} - 1 AS k FROM tr LEFT JOIN l USING (mouse_id)) "
 
 
 def learning(d: Data) -> DataFrame:
-    return d.neuron_results.where("mouse_id is not null").groupBy("mouse_id").agg((F.min("inflection_trial") % 7).alias("lt"))
+    return d.neuron_results.where("mouse_id is not null").groupBy("mouse_id").agg(F.min("inflection_trial").alias("lt"))
 
 
 def relative(d: Data) -> DataFrame:

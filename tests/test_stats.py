@@ -135,3 +135,64 @@ def test_kernels():
     z = np.hstack([np.ones((500, 1)), r.normal(size=(500, 1))])
     w = fit.poisson_fit(z, r.poisson(np.exp(z @ [0.5, 0.8])))
     assert np.abs(w - [0.5, 0.8]).max() < 0.15
+
+
+def test_coupled_units_reach_significance(spark):
+    """Full-size shift test: a unit that follows the behaviour is found at 0.05, unrelated random walks rarely."""
+    r = np.random.default_rng(11)
+    rows = []
+    for u in range(60):
+        b = np.cumsum(r.normal(size=140))
+        a = (b + r.normal(size=140)) if u < 20 else np.cumsum(r.normal(size=140))
+        rows += [(u, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "u long, i long, x double, y double")
+    for score in ("pearson", "spearman"):
+        s = rs.shift_test(df, ["u"], "i", "x", "y", score=score).toPandas()
+        assert (s.n_shifts == 39).all() and (s.n_rows == 62).all()
+        assert (s[s.u < 20].p_approx < 0.05).mean() > 0.8 and (s[s.u >= 20].p_approx < 0.05).mean() < 0.2
+    own = rs.shift_test(df, ["u"], "i", "x", "y", score=lambda x, y: x @ y).toPandas()
+    assert own.r.notna().all()
+
+
+def test_shift_test_against_plain_loops(spark):
+    r = np.random.default_rng(12)
+    series_ = {u: (r.normal(size=n), r.normal(size=n), r.normal(size=n)) for u, n in ((1, 30), (2, 9), (3, 11), (4, 100))}
+    series_[5] = (np.ones(40), r.normal(size=40), r.normal(size=40))
+    df = spark.createDataFrame([(u, i, float(a[i]), float(b[i]), float(c[i])) for u, (a, b, c) in series_.items() for i in range(len(a))] + [(1, 99, None, 1.0, 1.0)], "u long, i long, x double, y double, z double")
+    plain = {x.u: x for x in rs.shift_test(df, ["u"], "i", "x", "y").collect()}
+    given = {x.u: x for x in rs.shift_test(df, ["u"], "i", "x", "y", given="z", alternative="greater").collect()}
+    for u, (a, b, c) in series_.items():
+        n = min(39, (len(a) - 8) // 2)
+        if n < 1 or u == 5:
+            assert plain[u].r is None and plain[u].p_approx == 1.0 and plain[u].n_shifts == max(n, 0)
+            continue
+        mid = slice(n, len(a) - n)
+        at = lambda k, a=a, n=n: a[n + k : len(a) - n + k]
+        rr = [np.corrcoef(at(k), b[mid])[0, 1] for k in range(-n, n + 1)]
+        assert abs(plain[u].r - rr[n]) < 1e-9 and plain[u].m == sum(abs(x) >= abs(rr[n]) - 1e-9 for x in rr)
+        z = np.vstack([np.ones(len(b[mid])), c[mid]]).T
+        left = lambda v, z=z: v - z @ np.linalg.lstsq(z, v, rcond=None)[0]
+        pr = [np.corrcoef(left(at(k)), left(b[mid]))[0, 1] for k in range(-n, n + 1)]
+        assert abs(given[u].r - pr[n]) < 1e-9 and given[u].m == sum(x >= pr[n] - 1e-9 for x in pr)
+
+
+def test_bootstrap_of_cells_matches_drawing_neurons(spark):
+    from axonlake.operators import series
+
+    r = np.random.default_rng(13)
+    mouse, area = r.integers(0, 6, 600), r.integers(0, 4, 600)
+    hit = r.random(600) < 0.1 + 0.2 * area
+    df = spark.createDataFrame([("g", int(m), f"a{a}", int(h), 1) for m, a, h in zip(mouse, area, hit)], "reward_group string, mouse long, area string, k int, n int")
+
+    def focal(idx):
+        p = np.array([hit[idx][area[idx] == a].mean() if (area[idx] == a).any() else 0.0 for a in range(4)])
+        return (p * p).sum() / p.sum() ** 2
+
+    flat = [focal(r.integers(0, 600, 600)) for _ in range(3000)]
+    by = [np.flatnonzero(mouse == m) for m in range(6)]
+    deep = [focal(np.concatenate([r.choice(by[m], len(by[m])) for m in r.integers(0, 6, 6)])) for _ in range(3000)]
+    for entity, want in ((None, flat), ("mouse", deep)):
+        got = series.focality_bootstrap(df, "reward_group", entity, 10_000).first()
+        assert got.n_rep == 10_000 and abs(got.focality - focal(np.arange(600))) < 1e-12
+        assert abs(got.low - np.quantile(want, 0.025)) < 0.004 and abs(got.high - np.quantile(want, 0.975)) < 0.004
+    assert series.focality_bootstrap(df.limit(0), "reward_group", None).count() == 0
