@@ -82,7 +82,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    return languages.document_languages(languages.segment_languages(docs, languages.train_trees(docs)))
+    return languages.document_languages(languages.segment_languages(docs, languages.train_trees(docs), every=True))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
