@@ -1,11 +1,12 @@
 """Many tiny result files consolidated into few well-sized ones, every record kept and repeats found.
 
-Each file is a sorted run by (written_at, file_id, line). A range exchange with sort is the external k-way merge of all
-runs per key range: the range key is the whole record followed by its place of delivery, so even a record delivered
-millions of times, or a group that holds a third of all records, spreads over several ranges. In each merged range a
-streaming pass compares every record with the one before it, rolls to a new output file whenever the bytes of the current
-one are full, and keeps per output file the metadata of its range. Only the first record of a range can be a repeat of
-something outside it; the ranges' last records (one row per range) decide that.
+The files are parsed once; every task leaves its records as a run sorted by record and place of delivery. A range exchange
+then brings together, per key range, the pieces of all runs, and the sort merges them (a sort that recognises presorted
+pieces, and merges spilled ones from disk). The range key is the whole record followed by its place, so even a record
+delivered millions of times, or a group that holds a third of all records, spreads over several ranges. In each merged range
+a streaming pass compares every record with the one before it and sums the bytes kept. Only the first record of a range can
+be a repeat of something outside it; the ranges' last records (one row per range) decide that. Output files follow from the
+bytes kept in all ranges before, so neither their number nor their size depends on how many ranges or tasks did the work.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from axonlake.session import materialise
+from axonlake.session import materialise, scratch_dir
 
 GROUP = ["git_version", "model_type", "fold"]
 VALUES = ["neuron_id", "model_name", "lambda_opt", "train_score", "test_score", "test_corr"]
@@ -61,23 +62,37 @@ def _same_as_previous(pdf: pd.DataFrame, previous: tuple | None) -> np.ndarray:
     return same
 
 
-def merge_runs(records: DataFrame, target_bytes: int = 128 << 20, ranges: int | None = None) -> DataFrame:
-    """The merged records with ``range_id``, ``out_file`` (rolling within the range), ``repeat``, ``head`` and ``tail``.
+ORDER = [*RECORD, *PLACE]
+
+
+def sorted_runs(files: DataFrame) -> DataFrame:
+    """The records of ``files``, parsed once and written to the shared folder; each part file is a run sorted by record and place."""
+    return materialise(parse_result_files(files).sortWithinPartitions(*ORDER), "runs")
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files behind a table that was read from files (one number)."""
+    sizes = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return sizes.agg(F.sum("file_size")).first()[0] or 0
+
+
+def merge_runs(records: DataFrame, target_bytes: float = 128 << 20, ranges: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """The merged records with ``range_id``, ``out_file`` (from 0), ``repeat``, ``head`` and ``tail``.
 
     ``head`` and ``tail`` mark the first and last record of a range; the ``repeat`` of a head is still open. The result
-    is written to the shared folder, each part file sorted by record and place. Without ``ranges`` their number is the
-    records' bytes over ``target_bytes``, at least the session's shuffle partitions.
+    is written to the shared folder, each part file sorted by record and place. ``target_bytes`` of records (``n_bytes``, without
+    repeats) go to an output file; files are filled evenly, so there are as few as the target allows. Without ``ranges`` their
+    number is the records' bytes over ``range_bytes``, for small inputs that over 1 MB as far as the session has cores.
     """
     spark = records.sparkSession
     if ranges is None:
         size = records.agg(F.sum("n_bytes")).first()[0] or 0  # one number
-        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / target_bytes))
-    order = [F.col(c) for c in [*RECORD, *PLACE]]
-    runs = records.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        ranges = max(1, math.ceil(size / range_bytes), min(spark.sparkContext.defaultParallelism, math.ceil(size / (1 << 20))))
+    runs = records.repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)
     names = records.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema) + ", range_id int, out_file int, repeat boolean, head boolean, tail boolean"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema) + ", range_id int, repeat boolean, head boolean, tail boolean, _upto long"
 
-    def roll(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -96,15 +111,22 @@ def merge_runs(records: DataFrame, target_bytes: int = 128 << 20, ranges: int |
                 yield waiting
             kept = np.where(pdf["repeat"], 0, pdf["n_bytes"])
             end = used + np.cumsum(kept)
-            pdf["out_file"] = ((end - kept) // target_bytes).astype(np.int32)
+            pdf["_upto"] = end - kept
             used, previous = int(end[-1]), tuple(pdf[RECORD].iloc[-1])
-            waiting = pdf[[*names, "range_id", "out_file", "repeat", "head", "tail"]]
+            waiting = pdf[[*names, "range_id", "repeat", "head", "tail", "_upto"]]
         if waiting is not None:
             waiting = waiting.copy()
             waiting.loc[len(waiting) - 1, "tail"] = True
             yield waiting
 
-    return materialise(runs.mapInPandas(roll, schema), "runs")
+    merged = materialise(runs.mapInPandas(scan, schema), "merged")
+    # one row per range: the bytes kept before it
+    last = merged.where("tail").select("range_id", (F.col("_upto") + F.when(F.col("repeat"), 0).otherwise(F.col("n_bytes"))).alias("_b"))
+    total = last.agg(F.sum("_b")).first()[0] or 0  # one number
+    n_files = max(1, math.ceil(total / target_bytes))
+    before = last.select("range_id", (F.sum("_b").over(W.orderBy("range_id")) - F.col("_b")).alias("_before"))
+    place = F.least(F.floor((F.col("_before") + F.col("_upto")) * F.lit(n_files) / F.lit(max(total, 1))), F.lit(n_files - 1)).cast("int")
+    return merged.join(before, "range_id").select(*names, "range_id", place.alias("out_file"), "repeat", "head", "tail")
 
 
 def settle_heads(merged: DataFrame) -> DataFrame:
@@ -118,20 +140,50 @@ def settle_heads(merged: DataFrame) -> DataFrame:
 
 
 def consolidate(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
-    """All records of ``files`` merged: the record, its place, its output file and whether it is a repeat."""
-    return settle_heads(merge_runs(parse_result_files(files), target_bytes))
+    """All records of ``files`` merged: the record, its place, its output file and whether it is a repeat.
+
+    ``target_bytes`` is the size of an output file as it is stored; what a record takes there is measured on the sorted runs.
+    Calling this parses and merges; only the choice of columns is left to the result.
+    """
+    runs = sorted_runs(files)
+    said = runs.agg(F.sum("n_bytes")).first()[0] or 0
+    return settle_heads(merge_runs(runs, target_bytes * said / max(stored_bytes(runs), 1) if said else target_bytes))
 
 
 def manifest(merged: DataFrame) -> DataFrame:
-    """Per output file: records kept, repeats left out, bytes, and the first and last group and unit it holds."""
+    """Per output file: records kept, repeats left out, bytes of the records, and the first and last group and unit it holds."""
     kept = ~F.col("repeat")
     key = F.struct(*GROUP, "mouse_id", "neuron_id")
-    return merged.groupBy("range_id", "out_file").agg(
+    return merged.groupBy("out_file").agg(
         F.count_if(kept).alias("n_records"), F.count_if("repeat").alias("n_repeats"), F.sum(F.when(kept, F.col("n_bytes")).otherwise(0)).alias("n_bytes"), F.min(F.when(kept, key)).alias("first_key"), F.max(F.when(kept, key)).alias("last_key"),
     )
 
 
-def write_consolidated(merged: DataFrame, path: str) -> None:
-    """Write the records that are no repeats, one Parquet file per output file of the merge."""
-    n = merged.select("range_id", "out_file").distinct().count()
-    merged.where("not repeat").repartitionByRange(max(1, n), "range_id", "out_file").sortWithinPartitions("range_id", "out_file", *RECORD, *PLACE).select(*RECORD, *PLACE).write.mode("overwrite").parquet(path)
+def write_consolidated(merged: DataFrame, path: str) -> DataFrame:
+    """Write the records that are no repeats, sorted, one Parquet file per output file, with the metadata of every file's range.
+
+    The metadata (file_name, file_bytes, n_records, first_key, last_key) are stored in ``path/_ranges``, which a reader of ``path``
+    skips, and returned. They are taken from the files as written.
+    """
+    spark = merged.sparkSession
+    kept = merged.where("not repeat")
+    n = (kept.agg(F.max("out_file")).first()[0] or 0) + 1
+    # each output file is one task of its own: no sampling, no collisions
+    kept.repartitionById(n, F.col("out_file")).sortWithinPartitions(*ORDER).select(*ORDER).write.option("maxRecordsPerFile", 0).mode("overwrite").parquet(path)
+    key = F.struct(*GROUP, "mouse_id", "neuron_id")
+    back = spark.read.parquet(path)
+    found = back.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.max("_metadata.file_size").alias("file_bytes"), F.count("*").alias("n_records"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+    found.write.mode("overwrite").parquet(f"{path}/_ranges")
+    return read_ranges(spark, path)
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """The range metadata of a consolidated folder."""
+    return spark.read.parquet(f"{path}/_ranges")
+
+
+def rewritten(files: DataFrame, target_bytes: int = 128 << 20) -> tuple[DataFrame, DataFrame]:
+    """Consolidate ``files`` into a folder of the shared scratch space: the records read back from it, and its range metadata."""
+    path = scratch_dir(files.sparkSession, "consolidated")
+    ranges = write_consolidated(consolidate(files, target_bytes), path)
+    return files.sparkSession.read.parquet(path), ranges

@@ -27,6 +27,16 @@ def p3_manifest(spark: SparkSession, d: str) -> DataFrame:
     return m.agg(F.sum("n_records").alias("n_records"), F.sum("n_repeats").alias("n_repeats"), F.sum("n_bytes").alias("n_bytes"))
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record once, read back from the consolidated files."""
+    return con.rewritten(read_table(spark, d, "model_files"))[0]
+
+
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The consolidated files' range metadata."""
+    return con.rewritten(read_table(spark, d, "model_files"))[1].select("file_bytes", "n_records", "first_key", "last_key")
+
+
 def p4_flags(spark: SparkSession, d: str) -> DataFrame:
     f = kalman.flag_readings(read_table(spark, d, "samples"))
     return f.groupBy("session_id", "signal").agg(F.count("*").alias("n"), F.count_if("impossible").alias("n_impossible"), F.count_if("stuck").alias("n_stuck"), F.count_if("spike").alias("n_spike"))
@@ -103,7 +113,7 @@ WITH data AS (
   UNION SELECT session_id, 'imec' || CAST(imec_id AS VARCHAR), CAST(floor(s) AS BIGINT) FROM (SELECT session_id, imec_id, unnest(spike_times) AS s FROM units) WHERE s IS NOT NULL)
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p3_found, p3_manifest, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p6_values, p7_found, p7_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fields, p3_found, p3_manifest, p3_records, p3_ranges, p4_found, p4_flags, p5_found, p5_by_month, p6_found, p6_grid, p6_values, p7_found, p7_profile)}
 
 _RECORDS = r"""
 WITH line AS (
@@ -124,6 +134,7 @@ WITH line AS (
 ORACLE = {
     "p3_found": _RECORDS + "SELECT file_id, CAST(line_no AS INT) AS line_no FROM num WHERE rn > 1",
     "p3_manifest": _RECORDS + "SELECT CAST(count(*) FILTER (rn = 1) AS BIGINT) AS n_records, CAST(count(*) FILTER (rn > 1) AS BIGINT) AS n_repeats, CAST(sum(n_bytes) FILTER (rn = 1) AS BIGINT) AS n_bytes FROM num",
+    "p3_records": _RECORDS + "SELECT git AS git_version, model_type, fold, mouse_id, neuron_id, model_name, lambda_opt, train_score, test_score, test_corr, written_at, file_id, CAST(line_no AS INT) AS line_no FROM num WHERE rn = 1",
     "p5_found": f"SELECT ref_table, result_id FROM ({_ORPHAN}) q",
     "p5_by_month": f"""
 WITH o AS ({_ORPHAN}), k AS (

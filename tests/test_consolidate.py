@@ -67,3 +67,27 @@ def test_written_once(spark, tmp_path):
     con.write_consolidated(merged, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 7 and back.select("neuron_id").distinct().count() == 7
+
+
+def test_few_files_of_the_target_size(spark, tmp_path):
+    """1,500 tiny files become ceil(bytes / target) files at any shuffle setting, each a range of its own with its metadata."""
+    specs = [(i, P.replace("fold2", f"fold{i % 5}"), f"m{i % 3}", i, "\n".join(line(100 * i + k, score=0.1 * k + i) for k in range(4))) for i in range(1500)] + [(2000 + i, P, "m0", 2000 + i, line(0, score=0.0)) for i in range(400)]
+    want = {(r.mouse_id, r.fold, r.neuron_id, r.train_score) for r in con.parse_result_files(files(spark, specs)).collect()}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            merged = con.consolidate(files(spark, specs), 30_000)
+            size = merged.where("not repeat").agg({"out_file": "max"}).first()[0] + 1
+            out = str(tmp_path / parts)
+            ranges = con.write_consolidated(merged, out).collect()
+            assert len(ranges) == size == len(list((tmp_path / parts).glob("*.parquet")))
+            assert sum(r.n_records for r in ranges) == len(want) and size > 1
+            held = sorted(((r.first_key, r.last_key) for r in ranges), key=str)
+            assert all(tuple(a[1]) <= tuple(b[0]) for a, b in zip(held, held[1:]))
+            assert max(r.n_records for r in ranges) < 1.3 * min(r.n_records for r in ranges)
+            back = spark.read.parquet(out)
+            assert {(r.mouse_id, r.fold, r.neuron_id, r.train_score) for r in back.collect()} == want and back.count() == len(want)
+            assert con.write_consolidated(con.consolidate(files(spark, specs)), out + "-one").count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
