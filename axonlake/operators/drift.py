@@ -1,113 +1,63 @@
 """Schemas that drift between the files of a source: one consistent table and a report of each change.
 
-Every file gets a profile per field: JSON types, counts, and value sketches of constant size (a numeric range with
-moments; a 64-bit set of hashed values and one of hashed character shapes for text). Profiles are plain aggregates with
-map-side combine, so a file or source of any size costs one small row per field and task. Each file is compared with
-the file before it of the same source and kind. Fields that left and fields that came are matched as a bipartite
-assignment (Hungarian method on the few fields of one change) by value sketch, type and name similarity.
+Every file gets a profile per field: JSON types, counts, and value sketches of bounded size (a numeric range with moments;
+for text theta sketches, the smallest hashes, of the values and of their character shapes, which give sizes and overlaps of
+sets of any size). Payloads are parsed and profiled in the JVM by plain aggregates with map-side combine, so a file or source
+of any size costs one small row per field and task. Each file is compared with the file before it of the same source and
+kind. Fields that left and fields that came are matched as a bipartite assignment (Hungarian method on the few fields of one
+change) by value sketch, type and name similarity.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from axonlake.session import materialise
 
 TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
 
 
-def _kind(v: object) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "integer"
-    if isinstance(v, float):
-        return "number"
-    if isinstance(v, str):
-        return "string"
-    return "array" if isinstance(v, list) else "object"
+#: log2 of the hashes a theta sketch keeps: sets up to this size are exact, larger ones to about one part in ten.
+SKETCH = 7
 
 
-_PARTIAL = (
-    "source_id string, kind string, file_id long, written_at timestamp_ntz, field string, n_null long, n_boolean long, n_integer long, n_number long, n_string long, n_array long, n_object long, "
-    "v_n long, v_sum double, v_sq double, v_min double, v_max double, words long, shapes long, len_sum long"
-)
-
-
-def _hash6(s: str) -> int:
-    h = 2166136261
-    for b in s.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    h ^= h >> 15
-    return (h * 2246822519 & 0xFFFFFFFF) >> 26
-
-
-_DIGITS, _UPPER, _LOWER = re.compile(r"[0-9]+"), re.compile(r"[A-Z]+"), re.compile(r"[a-z]+")
+def shape(text: Column) -> Column:
+    """The character shape of a text: runs of digits, capitals and small letters become one mark each."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a")
 
 
-def shape(s: str) -> str:
-    """The character shape of a text: runs of digits, capitals and small letters become one mark each."""
-    return _LOWER.sub("a", _UPPER.sub("A", _DIGITS.sub("0", s)))
-
-
-def _profile_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial profiles of the rows of one batch."""
-    cols = [c.split()[0] for c in _PARTIAL.split(", ")]
-    for pdf in it:
-        acc: dict[tuple, list] = {}
-        for src, kind, fid, at, payload in zip(pdf["source_id"], pdf["kind"], pdf["file_id"], pdf["written_at"], pdf["payload"]):
-            try:
-                o = json.loads(payload)
-            except (TypeError, ValueError):
-                continue
-            if not isinstance(o, dict):
-                continue
-            for name, v in o.items():
-                a = acc.get((src, kind, fid, at, name))
-                if a is None:
-                    a = acc[src, kind, fid, at, name] = [0, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0, math.inf, -math.inf, 0, 0, 0]
-                k = _kind(v)
-                a[TYPES.index(k)] += 1
-                if k == "null":
-                    continue
-                if k in ("integer", "number", "boolean"):
-                    x = float(v)
-                    if math.isfinite(x):
-                        a[7] += 1
-                        y = math.asinh(x)  # heavy tails: moments on a log-like scale
-                        a[8] += y
-                        a[9] += y * y
-                        a[10] = min(a[10], x)
-                        a[11] = max(a[11], x)
-                text = v if k == "string" else json.dumps(v, sort_keys=True)
-                if k == "object":
-                    text = ",".join(sorted(v))
-                a[12] |= 1 << _hash6(text)
-                a[13] |= 1 << _hash6(shape(text))
-                a[14] += len(text)
-        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-        rows = [(*k, *a[:10], a[10] if a[7] else None, a[11] if a[7] else None, signed(a[12]), signed(a[13]), a[14]) for k, a in acc.items()]
-        yield pd.DataFrame(rows, columns=cols)
+def _values(exports: DataFrame) -> DataFrame:
+    """Every value of every payload: the file, the field's name, its JSON type (null for null), number and text."""
+    o = exports.select("source_id", "kind", "file_id", "written_at", F.try_parse_json("payload").alias("_o")).where(F.schema_of_variant("_o").startswith("OBJECT"))
+    e = o.lateralJoin(o.sparkSession.tvf.variant_explode(F.col("_o").outer()), how="inner").select("source_id", "kind", "file_id", "written_at", F.col("key").alias("field"), F.col("value").alias("_v"))
+    t = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
+    whole = (t == "BIGINT") | F.schema_of_variant("_v").rlike(r"^DECIMAL\((19|[23]\d),0\)")  # beyond 64 bits a whole number is a decimal
+    kind = F.when(t == "VOID", None).when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "ARRAY", "array").when(t == "OBJECT", "object").when(whole, "integer").otherwise("number")
+    e = e.withColumn("_t", kind)
+    number = F.when(F.col("_t").isin("integer", "number"), F.try_variant_get("_v", "$", "double")).when(F.col("_t") == "boolean", F.try_variant_get("_v", "$", "boolean").cast("double"))
+    plain = F.to_json("_v")
+    text = F.when(F.col("_t") == "string", F.try_variant_get("_v", "$", "string")).when(F.col("_t") == "object", F.concat_ws(",", F.array_sort(F.json_object_keys(plain)))).when(F.col("_t").isin("array", "boolean"), plain)
+    return e.select("source_id", "kind", "file_id", "written_at", "field", "_t", number.alias("_n"), text.alias("_s"))
 
 
 def profile_fields(exports: DataFrame) -> DataFrame:
     """One row per source, kind, file and field (a key of any row of the file), with its type and value sketches.
 
     ``json_type`` is the type of most of the field's values (on a tie the wider one), with integer and number together
-    number; null if all values are null. Rows that are no JSON object hold no field.
+    number; null if all values are null. Rows that are no JSON object (a repeated key or a NaN is none) hold no field.
     """
-    part = exports.select("source_id", "kind", "file_id", "written_at", "payload").mapInPandas(_profile_batches, _PARTIAL)
-    sums = [F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES] + [F.sum(c).alias(c) for c in ("v_n", "v_sum", "v_sq", "len_sum")]
-    p = part.groupBy("source_id", "kind", "file_id", "written_at", "field").agg(*sums, F.min("v_min").alias("v_min"), F.max("v_max").alias("v_max"), F.bit_or("words").alias("words"), F.bit_or("shapes").alias("shapes"))
+    v = _values(exports)
+    y = F.asinh("_n")  # heavy tails: moments on a log-like scale
+    p = v.groupBy("source_id", "kind", "file_id", "written_at", "field").agg(
+        *[(F.count("*") - F.count("_t") if t == "null" else F.count_if(F.col("_t") == t)).alias(f"n_{t}") for t in TYPES],
+        F.count("_n").alias("v_n"), F.coalesce(F.sum(y), F.lit(0.0)).alias("v_sum"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias("v_sq"), F.min("_n").alias("v_min"), F.max("_n").alias("v_max"),
+        F.theta_sketch_agg("_s", SKETCH).alias("words"), F.theta_sketch_agg(shape(F.col("_s")), SKETCH).alias("shapes"),
+    )
     numbers = F.when(F.col("n_number") > 0, F.struct((F.col("n_integer") + F.col("n_number")).alias("n"), F.lit("number").alias("t"))).otherwise(F.struct(F.col("n_integer").alias("n"), F.lit("integer").alias("t")))
     others = [F.struct(F.col(f"n_{t}").alias("n"), F.lit(t).alias("t")) for t in ("string", "boolean", "array", "object")]
     best = F.array_max(F.array(numbers, *others))
@@ -137,38 +87,40 @@ def name_similarity(a: str, b: str) -> float:
     return 2 * len(pairs[0] & pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
 
 
-def _bits(a: int, b: int, whole: bool = False) -> float:
-    """The common part of two 64-bit sets, of their union (``whole``) or of the smaller one."""
-    a, b = int(a) & (1 << 64) - 1, int(b) & (1 << 64) - 1
-    return (a & b).bit_count() / max(1, (a | b).bit_count() if whole else min(a.bit_count(), b.bit_count()))
+def _common(a: Column, b: Column, whole: bool) -> Column:
+    """The common part of two sketched sets, of their union (``whole``) or of the smaller one."""
+    size = F.theta_sketch_estimate
+    of = size(F.theta_union(a, b)) if whole else F.least(size(a), size(b))
+    return F.coalesce(F.least(F.try_divide(size(F.theta_intersection(a, b)), of), F.lit(1.0)), F.lit(0.0))
 
 
-def _moments(x: dict, of: str) -> tuple[float, float]:
-    m = x[of + "sum"] / x[of + "n"]
-    return m, math.sqrt(max(0.0, x[of + "sq"] / x[of + "n"] - m * m))
-
-
-def value_similarity(a: dict, b: dict) -> float:
-    """How alike the values of two fields are, from 0 to 1, by their sketches; 0 for different JSON types.
+def value_similarity(a: Column, b: Column) -> Column:
+    """How alike the values of two fields (structs of ``_SKETCH``) are, from 0 to 1, by their sketches; 0 for different JSON types.
 
     The mean of two views: the values of the two files, which may be few, and those of all files in which the same kind
     of table has a field of that name and type.
     """
-    if a["json_type"] is None or a["json_type"] != b["json_type"]:
-        return 0.0
-    if a["json_type"] in ("integer", "number"):
-        if not a["v_n"] or not b["v_n"]:
-            return 0.0
-        (m, s), (mm, ss) = _moments(a, "v_"), _moments(b, "v_")
-        width = max(a["v_max"], b["v_max"]) - min(a["v_min"], b["v_min"])
-        overlap = 1.0 if width == 0 else max(0.0, min(a["v_max"], b["v_max"]) - max(a["v_min"], b["v_min"])) / width
-        near = (overlap * math.exp(-abs(m - mm) / (1.5 * max(s, ss, 1e-9))) * (min(s, ss) + 1e-9) / (max(s, ss) + 1e-9)) ** (1 / 3)
-        (m, s), (mm, ss) = _moments(a, "p_"), _moments(b, "p_")
-        pooled = math.exp(-2 * abs(m - mm) / max(s, ss, 1e-9)) * ((min(s, ss) + 1e-9) / (max(s, ss) + 1e-9)) ** 0.5
-    else:
-        near = 0.5 * _bits(a["words"], b["words"]) + 0.5 * _bits(a["shapes"], b["shapes"])
-        pooled = 0.5 * _bits(a["p_words"], b["p_words"], True) + 0.5 * _bits(a["p_shapes"], b["p_shapes"], True)
-    return 0.5 * near + 0.5 * pooled
+    tiny = 1e-9
+
+    def moments(x: Column, of: str) -> tuple[Column, Column]:
+        m = F.try_divide(x[of + "sum"], x[of + "n"])
+        return m, F.sqrt(F.greatest(F.try_divide(x[of + "sq"], x[of + "n"]) - m * m, F.lit(0.0)))
+
+    def spread(s: Column, t: Column) -> Column:
+        return (F.least(s, t) + tiny) / (F.greatest(s, t) + tiny)
+
+    lo, hi = F.greatest(a["v_min"], b["v_min"]), F.least(a["v_max"], b["v_max"])
+    width = F.greatest(a["v_max"], b["v_max"]) - F.least(a["v_min"], b["v_min"])
+    overlap = F.when(width == 0, 1.0).otherwise(F.greatest(hi - lo, F.lit(0.0)) / width)
+    (m, s), (mm, ss) = moments(a, "v_"), moments(b, "v_")
+    near = F.pow(overlap * F.exp(-F.abs(m - mm) / (1.5 * F.greatest(s, ss, F.lit(tiny)))) * spread(s, ss), F.lit(1 / 3))
+    (m, s), (mm, ss) = moments(a, "p_"), moments(b, "p_")
+    pooled = F.exp(-2 * F.abs(m - mm) / F.greatest(s, ss, F.lit(tiny))) * F.sqrt(spread(s, ss))
+    numbers = F.coalesce(0.5 * near + 0.5 * pooled, F.lit(0.0))
+    part = lambda of, whole: 0.5 * _common(a[of + "words"], b[of + "words"], whole) + 0.5 * _common(a[of + "shapes"], b[of + "shapes"], whole)
+    texts = 0.5 * part("", False) + 0.5 * part("p_", True)
+    same = a["json_type"].isNotNull() & (a["json_type"] == b["json_type"])
+    return F.when(same & a["json_type"].isin("integer", "number"), numbers).when(same, texts).otherwise(0.0)
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
@@ -207,27 +159,23 @@ _POOL = {"p_n": "v_n", "p_sum": "v_sum", "p_sq": "v_sq", "p_words": "words", "p_
 _SKETCH = ["json_type", "v_n", "v_sum", "v_sq", "v_min", "v_max", "words", "shapes", *_POOL]
 
 
-def match_fields(gone: list[dict], came: list[dict], least: float = 0.5, name_weight: float = 0.3) -> list[tuple[int, int]]:
+def match_fields(gone: list[str], came: list[str], alike: np.ndarray, least: float = 0.5, name_weight: float = 0.3) -> list[tuple[int, int]]:
     """Pairs (gone, came) of the best assignment whose values are of one kind.
 
-    The score is value similarity plus a smaller part of name similarity; a pair counts as one kind if its types agree
-    and value similarity plus the name's part reaches ``least``.
+    ``alike`` holds the value similarities. The score is value similarity plus a smaller part of name similarity; a pair counts
+    as one kind if its types agree and value similarity plus the name's part reaches ``least``.
     """
-    if not gone or not came:
+    if not len(gone) or not len(came):
         return []
-    score = np.zeros((len(gone), len(came)))
-    for i, g in enumerate(gone):
-        for j, c in enumerate(came):
-            v = value_similarity(g, c)
-            if v > 0:
-                score[i, j] = v + name_weight * name_similarity(g["field"], c["field"])
+    names = np.array([[name_similarity(g, c) for c in came] for g in gone])
+    score = np.where(alike > 0, alike + name_weight * names, 0.0)
     return [(i, j) for i, j in assign(score) if score[i, j] >= least]
 
 
 def _with_pool(p: DataFrame, salt: int = 16) -> DataFrame:
     """Profiles with the sketches of all files pooled by kind, name and type; the join is salted, as a name may be in every file."""
     by = ["kind", "field", "json_type"]
-    pool = p.where(F.col("json_type").isNotNull()).groupBy(*by).agg(*[(F.bit_or(c) if c in ("words", "shapes") else F.sum(c)).alias(k) for k, c in _POOL.items()])
+    pool = p.where(F.col("json_type").isNotNull()).groupBy(*by).agg(*[(F.theta_union_agg(c, SKETCH) if c in ("words", "shapes") else F.sum(c)).alias(k) for k, c in _POOL.items()])
     pool = pool.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return p.withColumn("_x", F.pmod(F.xxhash64("file_id"), F.lit(salt)).cast("int")).join(pool, [*by, "_x"], "left").drop("_x")
 
@@ -259,41 +207,48 @@ def schema_changes(exports: DataFrame, least: float = 0.5, profiles: DataFrame |
     pairs = _chunked_previous(files, key, order, "_m", "fields").where(F.col("prev").isNotNull())
     names = lambda c: F.transform(c, lambda x: x["field"])
     changed = ~names("fields").eqNullSafe(names("prev")) | ~F.transform("fields", lambda x: x["_sk"]["json_type"]).eqNullSafe(F.transform("prev", lambda x: x["_sk"]["json_type"]))
-    slim = pairs.where(changed).select("file_id", F.to_json("prev").alias("was"), F.to_json("fields").alias("now"))
+    # what left, what came, and how alike their values are: in the JVM, on the few fields of one change
+    here = lambda old, new: F.filter(old, lambda x: ~F.array_contains(F.transform(new, lambda y: y["field"]), x["field"]))
+    moved = pairs.where(changed).withColumn("_gone", here(F.col("prev"), F.col("fields"))).withColumn("_came", here(F.col("fields"), F.col("prev")))
+    alike = F.flatten(F.transform("_gone", lambda g: F.transform("_came", lambda c: value_similarity(g["_sk"], c["_sk"]))))
+    kind_of = lambda x: x["_sk"]["json_type"]
+    other = F.filter("fields", lambda x: F.exists("prev", lambda y: (y["field"] == x["field"]) & kind_of(x).isNotNull() & kind_of(y).isNotNull() & (kind_of(x) != kind_of(y))))
+    slim = moved.select("file_id", names("_gone").alias("gone"), names("_came").alias("came"), alike.alias("alike"), names(other).alias("retyped"))
 
     def compare(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for fid, was, now in zip(pdf["file_id"], pdf["was"], pdf["now"]):
-                old, new = ({x["field"]: {"field": x["field"], **dict.fromkeys(_SKETCH), **(x.get("_sk") or {})} for x in json.loads(s)} for s in (was, now))
-                gone, came = [old[k] for k in old if k not in new], [new[k] for k in new if k not in old]
-                pairs_ = match_fields(gone, came, least)
+            for fid, gone, came, scores, retyped in zip(pdf["file_id"], pdf["gone"], pdf["came"], pdf["alike"], pdf["retyped"]):
+                pairs_ = match_fields(gone, came, np.asarray(scores, float).reshape(len(gone), len(came)), least)
                 a, b = {i for i, _ in pairs_}, {j for _, j in pairs_}
-                out += [(fid, "renamed", gone[i]["field"], came[j]["field"]) for i, j in pairs_]
-                out += [(fid, "removed", g["field"], "") for i, g in enumerate(gone) if i not in a]
-                out += [(fid, "added", "", c["field"]) for j, c in enumerate(came) if j not in b]
-                out += [(fid, "retyped", k, k) for k in old if k in new and old[k]["json_type"] and new[k]["json_type"] and old[k]["json_type"] != new[k]["json_type"]]
+                out += [(fid, "renamed", gone[i], came[j]) for i, j in pairs_]
+                out += [(fid, "removed", g, "") for i, g in enumerate(gone) if i not in a]
+                out += [(fid, "added", "", c) for j, c in enumerate(came) if j not in b]
+                out += [(fid, "retyped", k, k) for k in retyped]
             yield pd.DataFrame(out, columns=["file_id", "change", "field_from", "field_to"])
 
     return slim.mapInPandas(compare, "file_id long, change string, field_from string, field_to string")
 
 
-def canonical_names(changes: DataFrame, profiles: DataFrame, kind_of: DataFrame, rounds: int = 12) -> DataFrame:
+def canonical_names(changes: DataFrame, profiles: DataFrame, kind_of: DataFrame) -> DataFrame:
     """(kind, field, canonical): one name per chain of renames, the one found in most files (the first by name on a tie).
 
-    Renames are distinct pairs of names, a table of the schema's size; labels spread along them in a few rounds, each
-    written to the shared folder.
+    Renames are distinct pairs of names, a table of the schema's size. Labels spread along them and jump (a name takes the label
+    of its label), so a chain of any length settles in about as many rounds as its length has binary digits; each round is written to the
+    shared folder, and the rounds end when nothing moves.
     """
     pairs = changes.where("change = 'renamed'").join(kind_of, "file_id").select("kind", F.col("field_from").alias("a"), F.col("field_to").alias("b")).distinct()
     both = pairs.unionByName(pairs.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     names = profiles.groupBy("kind", "field").agg(F.count("*").alias("n")).withColumn("best", F.struct((-F.col("n")).alias("n"), F.col("field").alias("name"))).drop("n")
     both, state = materialise(both, "renames"), materialise(names, "names")
-    for _ in range(rounds):
+    while True:
         heard = both.join(state.select("kind", F.col("field").alias("b"), "best"), ["kind", "b"]).groupBy("kind", F.col("a").alias("field")).agg(F.min("best").alias("heard"))
-        new = materialise(state.join(heard, ["kind", "field"], "left").withColumn("new", F.least("best", F.coalesce("heard", "best"))), "names")
-        moved = new.where("new <> best").take(1)
+        new = state.join(heard, ["kind", "field"], "left").withColumn("near", F.least("best", F.coalesce("heard", "best")))
+        labels = state.select("kind", F.col("field").alias("_f"), F.col("best").alias("_far"))
+        new = new.join(labels, (new["kind"] == labels["kind"]) & (F.col("near.name") == F.col("_f")), "left").select(new["kind"], "field", "best", F.least("near", F.coalesce("_far", "near")).alias("new"))
+        new = materialise(new, "names")
         state = new.select("kind", "field", F.col("new").alias("best"))
-        if not moved:
+        if not new.where("new <> best").take(1):
             break
     return state.select("kind", "field", F.col("best.name").alias("canonical"))
 

@@ -72,3 +72,30 @@ def test_unified_table(spark):
     u = drift.unify(exports(spark, [("s", 1, a), ("s", 2, b), ("s", 3, a)]))
     got = {(r.file_id, r.field) for r in u.select("file_id", "field").distinct().collect()}
     assert got == {(f, n) for f in (1, 2, 3) for n in ("rate", "bc")}
+
+
+def test_large_unrelated_columns_are_no_rename(spark):
+    """Sketches do not fill up: text columns of 100,000 values with nothing in common stay apart, a true rename is found."""
+    n = 100_000
+    at = datetime(2024, 1, 1)
+    i = spark.range(n)
+    one = i.selectExpr("'s' AS source_id", "1L AS file_id", "'k' AS kind", f"timestamp_ntz'{at}' AS written_at", "CAST(id AS INT) AS row_no", "to_json(struct(concat('AB', lpad(id, 6, '0')) AS code, concat(id % 977, '/', id) AS path)) AS payload")
+    two = i.selectExpr("'s' AS source_id", "2L AS file_id", "'k' AS kind", f"timestamp_ntz'{at + timedelta(days=1)}' AS written_at", "CAST(id AS INT) AS row_no", "to_json(struct(concat('x', id, '-a') AS tag, concat(id % 977, '/', id + 20) AS place)) AS payload")
+    got = sorted(tuple(r) for r in drift.schema_changes(one.unionByName(two)).collect())
+    assert got == [(2, "added", "", "tag"), (2, "removed", "code", ""), (2, "renamed", "path", "place")]
+
+
+def test_long_chains_of_renames_get_one_name(spark):
+    names = [f"n{i:02d}" for i in range(30)]
+    pairs = spark.createDataFrame([(i + 1, "renamed", a, b) for i, (a, b) in enumerate(zip(names, names[1:]))], "file_id long, change string, field_from string, field_to string")
+    kinds = spark.createDataFrame([(i, "k") for i in range(31)], "file_id long, kind string")
+    profiles = spark.createDataFrame([("k", n, i) for i, n in enumerate(names)] + [("k", names[-1], 99), ("k", "alone", 5)], "kind string, field string, file_id long")
+    got = {r.field: r.canonical for r in drift.canonical_names(pairs, profiles, kinds).collect()}
+    assert got == {**dict.fromkeys(names, names[-1]), "alone": "alone"}
+
+
+def test_types_of_values(spark):
+    rows = ['{"a": 1, "b": 1.0, "c": true, "d": [1, "x"], "e": {"k": 1}, "f": null, "g": "1", "h": 12345678901234567890}', '{"a": 2, "b": 2, "f": null}']
+    p = {r.field: r for r in drift.profile_fields(exports(spark, [("s", 1, rows)])).collect()}
+    assert {k: r.json_type for k, r in p.items()} == {"a": "integer", "b": "number", "c": "boolean", "d": "array", "e": "object", "f": None, "g": "string", "h": "integer"}
+    assert p["f"].n_null == 2 and p["b"].n_integer == 1 and p["a"].v_max == 2.0
