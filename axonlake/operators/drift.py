@@ -88,10 +88,12 @@ def name_similarity(a: str, b: str) -> float:
 
 
 def _common(a: Column, b: Column, whole: bool) -> Column:
-    """The common part of two sketched sets, of their union (``whole``) or of the smaller one."""
+    """The common part of two sketched sets, of the smaller one, or (``whole``) the mean of that and of the part of their union."""
     size = F.theta_sketch_estimate
-    of = size(F.theta_union(a, b)) if whole else F.least(size(a), size(b))
-    return F.coalesce(F.least(F.try_divide(size(F.theta_intersection(a, b)), of), F.lit(1.0)), F.lit(0.0))
+    both = size(F.theta_intersection(a, b))
+    part = lambda of: F.coalesce(F.least(F.try_divide(both, of), F.lit(1.0)), F.lit(0.0))
+    inner = part(F.least(size(a), size(b)))
+    return (inner + part(size(F.theta_union(a, b)))) / 2 if whole else inner
 
 
 def value_similarity(a: Column, b: Column) -> Column:
