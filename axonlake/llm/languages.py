@@ -61,7 +61,8 @@ PLAIN = {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("ø"): "o"}
 
 def symbols(text: str) -> np.ndarray:
     """The bytes of the text in lower case."""
-    return _SYMBOL[np.frombuffer(text.lower().translate(FOLDS).encode("utf-8", "replace"), np.uint8)]
+    low = text.lower()
+    return _SYMBOL[np.frombuffer((low if low.isascii() else low.translate(FOLDS)).encode("utf-8", "replace"), np.uint8)]
 
 
 def unaccented(text: str) -> str:
