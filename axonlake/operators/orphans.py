@@ -1,6 +1,8 @@
 """References to parent records that do not exist, or did not exist at the time of the reference.
 
-Keys are a text scope (a session, a mouse) and a whole number within it. The number is split into a word
+Keys are a text scope (a session, a mouse) and a whole number within it. Scopes are dictionary-encoded: each that has a parent
+gets a whole number, written once, so that no text goes through the later shuffles; a reference to a scope that is not in the
+dictionary is an orphan at once. The number is split into a word
 (``n div 64``) and a bit, so that the set of keys of a scope and a period is a compressed bitmap: one 64-bit
 word per occupied range, absent words being all zero. Per period, the parents that were valid through the
 whole period form one bitmap and the references another; reference AND-NOT parent leaves the keys that may
@@ -81,7 +83,8 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
     ``at``. ``state`` is ``unknown`` (the key is in no parent row), ``early`` (all parents are valid only later) or
     ``deleted``. A null number refers to nothing and is left out. A null scope or a null time matches no parent, so such
     rows are orphans. A parent with a null key or null ``valid_from`` never matches. Repeated rows are one result row.
-    Other columns may have any name. Empty references give an empty result, empty parents make every reference an orphan.
+    A reference without a time is ``deleted`` if its key has a parent. Other columns may have any name. Empty references give an
+    empty result, empty parents make every reference an orphan. Calling this writes the dictionary and the surviving bits.
     """
     r = _collect(refs).withColumn("_p", _month(F.col("_at")))
     spaces = list(dict.fromkeys((x.parent_scope, x.parent_number) for x in refs))
@@ -91,20 +94,31 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
         p = one if p is None else p.unionByName(one)
     p = p.where(F.col("_scope").isNotNull() & F.col("_num").isNotNull() & F.col("_from").isNotNull())
 
-    # reference bitmaps: one word per table key range and period. The table is left out: a key that is valid is so for all.
-    ref_words = bitmap(r.where(F.col("_scope").isNotNull() & F.col("_p").isNotNull()), ["_space", "_scope", "_p"], "_num")
-    # parent bitmaps hold for a period only what was valid from before its first to after its last moment. A parent's
-    # periods are a range, and only ranges that some reference uses can matter: the last used period bounds open ones.
-    first, last = r.agg(F.min("_p")).scalar(), r.agg(F.max("_p")).scalar()
-    whole = (
-        p.withColumn("_a", F.greatest(_month(F.col("_from")) + 1, first))
-        .withColumn("_z", F.least(F.coalesce(_month(F.col("_to")) - 1, last), last))
-        .where("_a <= _z")
-        .withColumn("_p", F.explode(F.sequence("_a", "_z")))
-    )
-    parent_words = bitmap(whole, ["_space", "_scope", "_p"], "_num").withColumnRenamed("_bits", "_have")
+    # the dictionary: one row per scope that has a parent
+    codes = materialise(p.select("_space", "_scope").distinct().withColumn("_sid", F.monotonically_increasing_id()), "scopes")
+    small = codes.count() <= broadcast_rows
+    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+
+    def encode(df: DataFrame, how: str) -> DataFrame:
+        if small:
+            return df.join(F.broadcast(codes), ["_space", "_scope"], how)
+        # a scope may hold a third of all rows
+        salted = df.withColumn("_x", F.pmod(F.xxhash64("_num", "_scope"), F.lit(salt)).cast("int"))
+        return salted.join(codes.withColumn("_x", salts).hint("merge"), ["_space", "_scope", "_x"], how).drop("_x")
+
+    r = encode(r, "left")
+    p = encode(p, "inner").select("_sid", "_num", "_from", "_to")
+
+    # reference bitmaps: one word per key range and period. The table is left out: a key that is valid is so for all.
+    known = F.col("_sid").isNotNull() & F.col("_p").isNotNull()
+    ref_words = bitmap(r.where(known), ["_sid", "_p"], "_num")
+    # parent bitmaps hold for a period only what was valid from before its first to after its last moment. Only periods that
+    # some reference has can matter: their list is as long as there are different months, however far apart they lie.
+    used = r.agg(F.array_sort(F.collect_set("_p"))).scalar()
+    whole = p.withColumn("_used", used).withColumn("_p", F.explode(F.filter("_used", lambda m: (m > _month(F.col("_from"))) & (F.col("_to").isNull() | (m < _month(F.col("_to"))))))).drop("_used")
+    parent_words = bitmap(whole, ["_sid", "_p"], "_num").withColumnRenamed("_bits", "_have")
     left = (
-        ref_words.join(parent_words, ["_space", "_scope", "_p", "_w"], "left")
+        ref_words.join(parent_words, ["_sid", "_p", "_w"], "left")
         .withColumn("_bits", F.col("_bits").bitwiseAND(F.bitwise_not(F.coalesce(F.col("_have"), F.lit(0).cast("long")))))
         .where("_bits <> 0")
         .drop("_have")
@@ -113,10 +127,8 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
     maybe = materialise(decode(left), "orphans")
     # the exact check of what survived: broadcast only if it is small by count, else a salted merge join. The choice is not
     # left to file sizes, as these rows compress to a small part of what they take in memory.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-    key = ["_space", "_scope", "_num"]
-    mine = F.pmod(F.xxhash64("_row", "ref_table"), F.lit(salt)).cast("int")
-    r = r.withColumn("_x", mine)
+    key = ["_sid", "_num"]
+    r = r.withColumn("_x", F.pmod(F.xxhash64("_row", "ref_table"), F.lit(salt)).cast("int"))
     if maybe.count() <= broadcast_rows:
         suspects = r.join(F.broadcast(maybe.select(*key, "_p")), [*key, "_p"], "left_semi")
     else:
@@ -128,12 +140,16 @@ def orphan_references(refs: list[Reference], parents: DataFrame, valid_from: str
     intervals = near.select(*key, "_from", "_to").distinct().withColumn("_x", salts)
     s, i = suspects.alias("s"), intervals.alias("i")
     on = [F.col(f"s.{c}") == F.col(f"i.{c}") for c in [*key, "_x"]] + [F.col("i._from") <= F.col("s._at"), F.col("i._to").isNull() | (F.col("i._to") > F.col("s._at"))]
-    bad = s.join(i, on, "left_anti")
-    lost = r.where(F.col("_scope").isNull() | F.col("_p").isNull())
-    bad = bad.unionByName(lost).join(bounds, [*key, "_x"], "left")
-    state = F.when(F.col("_first").isNull(), "unknown").when(F.col("_first") > F.col("_at"), "early").otherwise("deleted")
+    bad = s.join(i, on, "left_anti").join(bounds, [*key, "_x"], "left")
     names = ["ref_table", "_row", "_scope", "_num", "_at", "_p"]
-    return bad.withColumn("state", state).select(*names, "state").distinct().toDF("ref_table", "result_id", "scope", "number", "at", "period", "state")
+    state = F.when(F.col("_first").isNull(), "unknown").when(F.col("_first") > F.col("_at"), "early").otherwise("deleted")
+    bad = bad.select(*names, state.alias("state"))
+    # a scope without any parent, or a reference without a time
+    lone = r.where(F.col("_sid").isNull()).select(*names, F.lit("unknown").alias("state"))
+    untimed = r.where(F.col("_sid").isNotNull() & F.col("_p").isNull())
+    keys = p.select(*key).distinct().withColumn("_x", salts)
+    untimed = untimed.join(keys.withColumn("_there", F.lit(True)), [*key, "_x"], "left").select(*names, F.when(F.col("_there"), "deleted").otherwise("unknown").alias("state"))
+    return bad.unionByName(lone).unionByName(untimed).distinct().toDF("ref_table", "result_id", "scope", "number", "at", "period", "state")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

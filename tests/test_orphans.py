@@ -50,3 +50,16 @@ def test_bitmap_round_trip(spark):
     ids = [0, 1, 63, 64, 127, 1_000_000, -1, -64]
     b = orphans.bitmap(spark.createDataFrame([(i,) for i in ids * 3], "n long"), [], "n")
     assert sorted(r[0] for r in orphans.decode(b).select("_num").collect()) == sorted(ids)
+
+
+def test_plans_agree_and_far_dates_cost_nothing(spark):
+    """The salted merge joins give what the broadcasts give; one reference in the year 9999 adds one period, not a hundred thousand."""
+    g = random.Random(5)
+    day = lambda: T0 + timedelta(days=g.uniform(0, 300))
+    parents = []
+    for _ in range(200):
+        a = day()
+        parents.append((g.choice("abc"), g.choice(range(90)), a, g.choice([None, a + timedelta(days=g.uniform(0, 90))]), 1))
+    refs = [(i, g.choice("abcd"), g.choice(range(100)), day(), "x", 1) for i in range(500)] + [(900, "a", 5, datetime(9999, 1, 2), "x", 1), (901, "a", 95, datetime(9999, 1, 2), "x", 1)]
+    one, two = (sorted((r.result_id, r.state) for r in run(spark, refs, parents, broadcast_rows=n).collect()) for n in (50_000, 0))
+    assert one == two and (901, "unknown") in one
