@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from axonlake.functions import labels
-from axonlake.operators import fit, hist, quality, relational as rel
+from axonlake.operators import encoding as enc, fit, hist, quality, relational as rel
+from axonlake.operators.interval import micros
 from axonlake.plans.registry import Book, Data
 from axonlake.plans.statistics import response_counts, shifts
 
@@ -36,50 +37,125 @@ def _(d: Data) -> DataFrame:
     return g.select("area", "n", F.round(F.col("n") * F.ln(F.col("s") / F.col("n")) + 4, 4).alias("aic_constant"), F.round(F.col("n") * F.ln(F.col("s") * (1 - F.col("r2")) / F.col("n")) + 6, 4).alias("aic_linear"))
 
 
-# ---- encoding models over trials
+# ---- encoding models over trials and bins
 
-FEATURES = ["whisker_stim", "auditory_stim", "lick_flag", "reward_available"]
+SCALARS = ["trial_index", "reward_available", "lick_before", "whisker_rewarded_before"]
+SIGNALS = ["jaw_distance", "nose_distance", "pupil_area", "whisker_velocity"]
+PREDICTORS = ["offset", *SCALARS, *enc.kernel_columns(enc.KERNELS), *SIGNALS]
+GROUPS = ("whisker_stim", "auditory_stim", "jaw_onset", "lick_before", "whisker_rewarded", "trial_index")
 
 
-def design(d: Data) -> DataFrame:
-    """Trials of each unit with stimulus, outcome and lagged columns and the response."""
-    t = d.trial_rows().where("ctx = 'active' and trial_type <> 'no_stim_trial'")
+def glm_trials(d: Data) -> DataFrame:
+    """Active trials with their events' times and trial-level predictors."""
+    t = d.trial_rows().where("ctx = 'active' and at_us is not null")
     w = W.partitionBy("session_id").orderBy("at_us", "trial_id")
-    t = t.select("session_id", "event_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], F.coalesce(F.lag("lick_flag", 1).over(w), F.lit(0)).cast("double").alias("lick_lag1"), F.coalesce(F.lag("whisker_stim", 1).over(w), F.lit(0)).cast("double").alias("whisker_lag1"), rel.fold_of(F.col("trial_id"), 3).alias("fold"))
-    return response_counts(d).select("session_id", "unit_id", "event_id", "post").join(t, ["session_id", "event_id"])
-
-
-@book("fit_design", """WITH t AS (SELECT *, coalesce(lag(lick_flag) OVER w, 0) AS l1, coalesce(lag(whisker_stim) OVER w, 0) AS w1 FROM tr WHERE ctx = 'active' AND trial_type <> 'no_stim_trial' WINDOW w AS (PARTITION BY session_id ORDER BY at_us, trial_id))
-SELECT session_id, event_id, CAST(lick_flag AS DOUBLE) AS lick_flag, CAST(l1 AS DOUBLE) AS lick_lag1, CAST(w1 AS DOUBLE) AS whisker_lag1, ((trial_id * 7919 + 12345) % 1000003) % 3 AS fold FROM t""", "tr")
-@book("cmp_glm_tensor", """WITH t AS (SELECT *, coalesce(lag(lick_flag) OVER w, 0) AS l1, coalesce(lag(whisker_stim) OVER w, 0) AS w1 FROM tr WHERE ctx = 'active' AND trial_type <> 'no_stim_trial' WINDOW w AS (PARTITION BY session_id ORDER BY at_us, trial_id))
-SELECT session_id, event_id, CAST(lick_flag AS DOUBLE) AS lick_flag, CAST(l1 AS DOUBLE) AS lick_lag1, CAST(w1 AS DOUBLE) AS whisker_lag1, ((trial_id * 7919 + 12345) % 1000003) % 3 AS fold FROM t""", "tr")
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    rewarded = F.when(F.col("whisker_stim") == 1, (F.col("reward_available") * F.col("lick_flag")).cast("double"))
+    size = F.count("*").over(W.partitionBy("session_id")) - 1
+    return t.select(
+        "session_id", "event_id", "at_us", "reward_available", rel.fold_of(F.col("trial_id"), 5).alias("fold"),
+        F.when(F.col("whisker_stim") == 1, F.col("at_us")).alias("t_whisker"), F.when(F.col("auditory_stim") == 1, F.col("at_us")).alias("t_auditory"), micros(F.col("jaw_onset_time")).alias("t_jaw"),
+        F.try_divide((F.row_number().over(w) - 1).cast("double"), F.nullif(size, F.lit(0))).alias("trial_index"),
+        F.lag("lick_flag", 1).over(w).alias("lick_before"), F.last(rewarded, ignorenulls=True).over(past).alias("whisker_rewarded_before"),
+    )
+
+
+def glm_design(d: Data) -> DataFrame:
+    t = glm_trials(d)
+    fine = F.col("value").isNotNull() & ~F.isnan("value") & F.col("t").isNotNull()
+    s = d.samples.where(fine).distinct().select("session_id", "signal", micros(F.col("t")).alias("t_us"), F.when(F.col("signal") == "whisker_velocity", F.abs("value")).otherwise(F.col("value")).alias("value"))
+    x = enc.design_matrix(t, ["session_id"], "event_id", "at_us", {"whisker_stim": "t_whisker", "auditory_stim": "t_auditory", "jaw_onset": "t_jaw"}, SCALARS, samples=s, signals=SIGNALS)
+    return x.join(t.select("session_id", "event_id", "fold"), ["session_id", "event_id"])
+
+
+def glm_fits(d: Data, models: dict[str, list[str]], **kw) -> DataFrame:
+    counts = enc.binned_counts(d.spikes(), glm_trials(d), ["session_id"], "unit_id", "event_id")
+    return enc.fit_binned(glm_design(d), counts, d.unit_rows(), "session_id", "unit_id", "event_id", "fold", models, tuple(SIGNALS), **kw)
+
+
+def _design_sql() -> str:
+    """The design by plain CASE expressions over trials and bins."""
+    own = "(t_{0} - at_us + 1000000) // 100000"
+    times = {"whisker_stim": "whisker", "auditory_stim": "auditory", "jaw_onset": "jaw"}
+    cols = []
+    for name, (before, after) in enc.KERNELS.items():
+        o = own.format(times[name])
+        for s, c in zip(range(-before, after), enc.kernel_columns({name: (before, after)})):
+            cols.append(f"CASE WHEN t_{times[name]} >= at_us - 1000000 AND {o} < 30 AND g.bin = {o} + {s} THEN 1.0 ELSE 0.0 END::DOUBLE AS {c}")
+    value = "CASE WHEN signal = 'whisker_velocity' THEN abs(value) ELSE value END"
+    means = ", ".join(f"round(coalesce(sb.{g}, 0), 6) AS {g}" for g in SIGNALS)
+    per_bin = ", ".join(f"avg(v) FILTER (signal = '{g}') AS {g}" for g in SIGNALS)
+    return (
+        "WITH t AS (SELECT session_id, event_id, trial_id, at_us, reward_available, lick_flag, whisker_stim, CASE WHEN whisker_stim = 1 THEN at_us END AS t_whisker, CASE WHEN auditory_stim = 1 THEN at_us END AS t_auditory, CASE WHEN NOT isnan(jaw_onset_time) THEN CAST(round(jaw_onset_time * 1000000) AS BIGINT) END AS t_jaw FROM tr WHERE ctx = 'active' AND at_us IS NOT NULL), "
+        "k AS (SELECT *, (row_number() OVER w - 1) / nullif(count(*) OVER (PARTITION BY session_id) - 1, 0) AS trial_index, lag(lick_flag) OVER w AS l1, last_value(CASE WHEN whisker_stim = 1 THEN reward_available * lick_flag END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY at_us, trial_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wr FROM t WINDOW w AS (PARTITION BY session_id ORDER BY at_us, trial_id)), "
+        f"sm AS (SELECT s.session_id, event_id, signal, {value} AS v, (CAST(round(s.t * 1000000) AS BIGINT) - at_us + 1000000) // 100000 AS bin FROM (SELECT DISTINCT * FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND t IS NOT NULL) s JOIN t ON t.session_id = s.session_id AND CAST(round(s.t * 1000000) AS BIGINT) >= at_us - 1000000 AND CAST(round(s.t * 1000000) AS BIGINT) < at_us + 2000000), "
+        f"sb AS (SELECT session_id, event_id, bin, {per_bin} FROM sm GROUP BY 1, 2, 3), g AS (SELECT *, CAST(unnest(range(0, 30)) AS INT) AS bin FROM k) "
+        "SELECT g.session_id, g.event_id, g.bin, CAST(1.0 AS DOUBLE) AS \"offset\", round(coalesce(trial_index, 0), 6) AS trial_index, CAST(coalesce(reward_available, 0) AS DOUBLE) AS reward_available, CAST(coalesce(l1, 0) AS DOUBLE) AS lick_before, CAST(coalesce(wr, 0) AS DOUBLE) AS whisker_rewarded_before, "
+        + ", ".join(cols) + f", {means}, ((trial_id * 7919 + 12345) % 1000003) % 5 AS fold FROM g LEFT JOIN sb ON sb.session_id = g.session_id AND sb.event_id = g.event_id AND sb.bin = g.bin"
+    )
+
+
+@book("fit_design", _design_sql(), "tr")
+@book("cmp_glm_tensor", _design_sql(), "tr")
 def _(d: Data) -> DataFrame:
-    return design(d).select("session_id", "event_id", "lick_flag", "lick_lag1", "whisker_lag1", "fold").distinct()
+    """The design of every session: trials x bins of 100 ms from -1 to 2 s, kernels, analog bin means and scalars."""
+    return glm_design(d).withColumns({c: F.round(c, 6) for c in ("trial_index", *SIGNALS)})
 
 
 @book("fit_ridge")
 def _(d: Data) -> DataFrame:
-    cols = [*FEATURES, "lick_lag1", "whisker_lag1"]
-    return fit.fit_units(design(d), UNIT, "post", cols, "fold", models={"full": cols}).withColumn("coef", F.to_json("coef")).withColumn("predictors", F.array_join("predictors", ","))
+    return glm_fits(d, {"full": PREDICTORS}).withColumn("coef", F.to_json("coef")).withColumn("predictors", F.array_join("predictors", ","))
 
 
 @book("fit_nested")
+def _(d: Data) -> DataFrame:
+    """The full model, one without each group of predictors, one with jaw kernels and signals added to the stimuli alone, all at the
+    full model's penalty."""
+    stimuli = [c for c in PREDICTORS if c.startswith(("offset", "whisker_stim", "auditory_stim"))]
+    models = {"full": PREDICTORS, **enc.groups_of(PREDICTORS, GROUPS), "stimuli": stimuli, "stimuli_and_movement": [*stimuli, *[c for c in PREDICTORS if c.startswith("jaw_onset")], *SIGNALS]}
+    return glm_fits(d, models).select(*UNIT, "fold", "model_name", "lambda_opt", "train_score", "test_score")
+
+
 @book("cmp_glm_io")
 def _(d: Data) -> DataFrame:
-    cols = [*FEATURES, "lick_lag1"]
-    return fit.fit_units(design(d), UNIT, "post", cols, "fold").select(*UNIT, "fold", "model_name", "lambda_opt", "train_score", "test_score")
+    """Fits saved under a version and read back."""
+    from axonlake.session import scratch_dir
+
+    path = scratch_dir(d.spark, "fits")
+    version = "v1"
+    glm_fits(d, {"full": PREDICTORS}).withColumn("version", F.lit(version)).write.partitionBy("version").parquet(path)
+    return d.spark.read.parquet(path).where(F.col("version") == version).select(*UNIT, "fold", "model_name", F.size("coef").alias("n_coef"), "test_score", "version")
 
 
-@book("fit_poisson")
 @book("fit_mi")
+def _(d: Data) -> DataFrame:
+    """Bits per spike of the full model against a constant rate."""
+    return glm_fits(d, {"full": PREDICTORS}).select(*UNIT, "fold", "train_mi", "test_mi")
+
+
+FEATURES = ["whisker_stim", "auditory_stim", "lick_flag", "reward_available"]
+
+
+def design(d: Data) -> DataFrame:
+    """Trials of each unit with stimulus, outcome and lagged columns and the response."""
+    t = d.trial_rows().where("ctx = 'active' and trial_type <> 'no_stim_trial'")
+    w = W.partitionBy("session_id").orderBy("at_us", "trial_id")
+    t = t.select("session_id", "event_id", *[F.col(f).cast("double").alias(f) for f in FEATURES], F.coalesce(F.lag("lick_flag", 1).over(w), F.lit(0)).cast("double").alias("lick_lag1"), rel.fold_of(F.col("trial_id"), 3).alias("fold"))
+    return response_counts(d).select("session_id", "unit_id", "event_id", "post").join(t, ["session_id", "event_id"])
+
+
+@book("fit_poisson")
 def _(d: Data) -> DataFrame:
     cols = [*FEATURES, "lick_lag1"]
     return fit.fit_units(design(d), UNIT, "post", cols, "fold", "poisson", {"full": cols}).select(*UNIT, "fold", "train_score", "test_score", "test_corr")
 
 
-@book("cmp_mask_bins", "SELECT session_id, event_id, CASE WHEN event_id % 3 = 0 THEN lick_flag ELSE 0 END AS masked FROM tr", "tr")
+@book("cmp_mask_bins")
 def _(d: Data) -> DataFrame:
-    return d.trial_rows().select("session_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("lick_flag")).otherwise(0).alias("masked"))
+    """What the whisker kernel explains in one bin alone: the full model against models that keep it in that bin only."""
+    models = {"full": PREDICTORS, **{f"bin_{b}": PREDICTORS for b in (10, 11, 12)}}
+    masks = {f"bin_{b}": {c: (b,) for c in PREDICTORS if c.startswith("whisker_stim")} for b in (10, 11, 12)}
+    return glm_fits(d, models, masks=masks).select(*UNIT, "fold", "model_name", "test_score")
 
 
 # ---- densities and clusters
