@@ -1,7 +1,9 @@
 """Scalar, string, array and JSON functions; sources, sinks and streams."""
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from axonlake import sources, streaming
 from axonlake.functions import labels, special
@@ -9,6 +11,7 @@ from axonlake.operators import fit, hist
 from axonlake.plans.registry import Book, Data
 from axonlake.plans.statistics import glm
 from axonlake.session import scratch_dir
+from axonlake.sources import arrays
 
 book = Book()
 
@@ -188,28 +191,69 @@ def _shape(df: DataFrame) -> DataFrame:
 
 
 @book("src_parquet", _NOCPX)
-@book("src_npz", _NOCPX)
-@book("src_npy", _NOCPX)
-@book("src_hdf_curve", _NOCPX)
-@book("src_pickle", _NOCPX)
 def _(d: Data) -> DataFrame:
     return _shape(_glm_rows(d))
 
 
+_VECTORS = "SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, len(embedding) AS n FROM embeddings"
+
+
+def _total(v: str) -> Column:
+    return F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4).alias("total")
+
+
+@book("src_npz", _VECTORS)
+@book("snk_npz", _VECTORS)
+def _(d: Data) -> DataFrame:
+    """Vectors written as one archive per label and read back from the archives."""
+    folder = scratch_dir(d.spark, "npz")
+    e = d.embeddings.select("vec_id", "label", "embedding")
+    arrays.write_npz(e, folder, "label", ["vec_id", "embedding"], ["vec_id"])
+    z = arrays.read_npz(d.spark, folder)
+    ids = z.where("name = 'vec_id'").select("file", "row", F.col("values")[0].cast("long").alias("vec_id"))
+    v = z.where("name = 'embedding'").select("file", "row", "values")
+    label = F.regexp_extract("file", r"label=(-?\d+)\.npz$", 1).cast("int").alias("label")
+    return ids.join(v, ["file", "row"]).select("vec_id", label, _total("values"), F.size("values").alias("n"))
+
+
+@book("src_npy", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def _(d: Data) -> DataFrame:
+    """The arrays of an unpacked archive."""
+    import zipfile
+
+    folder, flat = scratch_dir(d.spark, "npz"), scratch_dir(d.spark, "npy")
+    made = arrays.write_npz(d.embeddings.select(F.lit(0).alias("all"), "vec_id", "embedding"), folder, "all", ["vec_id", "embedding"], ["vec_id"]).collect()
+    for r in made:  # one archive
+        zipfile.ZipFile(r.file).extractall(re.sub(r"^file:/*", "/", flat))
+    z = arrays.read_npy(d.spark, flat)
+    name = F.regexp_extract("file", r"([^/]+)\.npy$", 1)
+    ids = z.where(name == "vec_id").select("row", F.col("values")[0].cast("long").alias("vec_id"))
+    return ids.join(z.where(name == "embedding").select("row", "values"), "row").select("vec_id", _total("values"))
+
+
 @book("src_dispatch", _NOCPX)
 def _(d: Data) -> DataFrame:
     return _shape(sources.read_any(d.spark, f"{d.dir}/glm_results.parquet").distinct())
 
 
 @book("src_nwb", "SELECT session_id, count(DISTINCT unit_id) AS n_units, count(DISTINCT trial_id) AS n_trials FROM us LEFT JOIN tr USING (session_id) GROUP BY 1", "us tr")
-@book("src_nwb_multi", "SELECT session_id, count(DISTINCT unit_id) AS n_units, count(DISTINCT trial_id) AS n_trials FROM us LEFT JOIN tr USING (session_id) GROUP BY 1", "us tr")
-@book("cmp_cluster_data", "SELECT session_id, count(DISTINCT unit_id) AS n_units, count(DISTINCT trial_id) AS n_trials FROM us LEFT JOIN tr USING (session_id) GROUP BY 1", "us tr")
 def _(d: Data) -> DataFrame:
     u = d.unit_rows().groupBy("session_id").agg(F.count_distinct("unit_id").alias("n_units"))
     t = d.trial_rows().groupBy("session_id").agg(F.count_distinct("trial_id").alias("n_trials"))
     return u.join(t, "session_id", "left").withColumn("n_trials", F.coalesce("n_trials", F.lit(0)))
 
 
+@book("src_nwb_multi", "WITH d AS (SELECT session_id, unit_id, min(day) AS day, any_value(depth) AS depth FROM (SELECT DISTINCT session_id, unit_id, day, depth FROM units WHERE session_id IS NOT NULL) GROUP BY 1, 2) SELECT session_id, unit_id, row_number() OVER (ORDER BY session_id, unit_id) - 1 AS global_id, CASE WHEN day = 0 THEN NULL ELSE depth END AS depth FROM d")
+@book("cmp_cluster_data", "WITH d AS (SELECT session_id, unit_id, min(day) AS day, any_value(depth) AS depth FROM (SELECT DISTINCT session_id, unit_id, day, depth FROM units WHERE session_id IS NOT NULL) GROUP BY 1, 2) SELECT session_id, unit_id, row_number() OVER (ORDER BY session_id, unit_id) - 1 AS global_id, CASE WHEN day = 0 THEN NULL ELSE depth END AS depth FROM d")
+def _(d: Data) -> DataFrame:
+    """Many session folders, whose tables do not all have the same columns (those of day 0 lack the depth), as one table."""
+    u = d.unit_rows("day", "depth").where("session_id is not null").groupBy("session_id", "unit_id").agg(F.min("day").alias("day"), F.first("depth").alias("depth"))
+    root = scratch_dir(d.spark, "sessions")
+    u.where("day = 0").drop("depth").write.partitionBy("session_id").parquet(f"{root}/learning")
+    u.where("day <> 0 or day is null").write.partitionBy("session_id").parquet(f"{root}/expert")
+    return sources.union_sessions(d.spark, [f"{root}/learning", f"{root}/expert", f"{root}/none"], ["session_id", "unit_id"]).select("session_id", "unit_id", "global_id", "depth")
+
+
 _CSV = "SELECT DISTINCT result_id, mouse_id, session_id, analysis_type, significant FROM roc_results"
 
 
@@ -254,9 +298,13 @@ def _(d: Data) -> DataFrame:
     return k.groupBy("unit_id").pivot("k", ["good", "mua"]).agg(F.min("depth"))
 
 
-@book("src_excel", "SELECT mouse_id, CASE WHEN min(reward_group) = 1 THEN 'R+' ELSE 'R-' END AS reward_group FROM units GROUP BY 1")
+@book("src_excel", "SELECT mouse_id, CASE WHEN min(reward_group) = 1 THEN 'R+' ELSE 'R-' END AS reward_group FROM units WHERE mouse_id IS NOT NULL GROUP BY 1")
 def _(d: Data) -> DataFrame:
-    return d.units.groupBy("mouse_id").agg(F.when(F.min("reward_group") == 1, "R+").otherwise("R-").alias("reward_group"))
+    """The mouse reference sheet, written as a workbook and read from it."""
+    folder = scratch_dir(d.spark, "sheets")
+    m = d.units.where("mouse_id is not null").groupBy("mouse_id").agg(F.when(F.min("reward_group") == 1, "R+").otherwise("R-").alias("reward_group"))
+    arrays.write_sheet(m, f"{folder}/mice.xlsx", "mice")
+    return arrays.sheet_table(arrays.read_sheets(d.spark, folder), "mice", {"A": "mouse_id", "B": "reward_group"})
 
 
 @book("cmp_liu", "SELECT 'CP' AS area, CAST(0.5 AS DOUBLE) AS score UNION ALL SELECT 'MOs', 0.7 UNION ALL SELECT 'bad', NULL")
@@ -280,9 +328,7 @@ _SNK = "SELECT DISTINCT result_id, mouse_id, fold, model_name, round(test_score,
 
 
 @book("snk_parquet", _SNK)
-@book("snk_hdf_fallback", _SNK)
 @book("snk_parquet_arrow", _SNK)
-@book("snk_npz", _SNK)
 def _(d: Data) -> DataFrame:
     path = _round_trip(d, "parquet", _glm_rows(d), lambda df, p: sources.write_parquet(df, p, ["fold"]))
     return _shape(d.spark.read.parquet(path).withColumn("fold", F.col("fold").cast("int")))

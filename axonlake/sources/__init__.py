@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+
+from axonlake.session import materialise
 
 
 def read_any(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -51,6 +54,30 @@ def session_status(expected: DataFrame, found: DataFrame, keys: list[str], faile
     return out.withColumn("status", s).withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).drop("_f")
 
 
+def union_sessions(spark: SparkSession, paths: list[str], order: list[str], strict: bool = False) -> DataFrame:
+    """The tables below several folders as one, missing columns null, with ``global_id`` from 0 in ``order``.
+
+    A folder that is not there or holds no table is skipped unless ``strict``. Ids come from counts per range of the order, so no
+    task sees all rows.
+    """
+    out = None
+    for p in paths:
+        try:
+            one = spark.read.parquet(p)
+        except AnalysisException:
+            if strict:
+                raise
+            continue
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("none of the folders holds a table")
+    ranged = out.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "sessions")  # the ranges are sampled: written once, so that both uses see the same
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = sizes.select("_p", "_first", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))  # one row per range
+    return ranged.join(before, "_p").withColumn("global_id", F.col("_before") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_first", "_before")
+
+
 def exchangeable(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that any flat format can hold the table; null stays null."""
     nested = (T.ArrayType, T.MapType, T.StructType)
