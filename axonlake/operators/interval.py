@@ -7,6 +7,10 @@ work follows the matches, not the product of points and windows of a key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -48,25 +52,40 @@ def raster(points: DataFrame, events: DataFrame, keys: list[str], start: int, st
     return range_join(points, events, keys, start, stop, closed).withColumn("t_rel_us", F.col("t_us") - F.col("at_us"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, value: str, direction: str = "nearest") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, value: str, direction: str = "nearest", bucket: int = 600_000_000) -> DataFrame:
     """As-of join: each left row with the ``value`` and time (``match_t``) of the nearest right row of its key.
 
-    One shuffle and one sort over the union of both sides. Of two equally near rows the earlier one wins; of right rows at
-    one time the one with the smallest value. ``direction``: nearest, backward (at or before) or forward. No match: nulls.
+    Both sides are sorted together per key and ``bucket`` of time; what lies beyond a bucket comes from the buckets' own first and
+    last right rows, one small row per bucket, so no task sorts a whole key. Of two equally near rows the earlier one wins; of
+    right rows at one time the one with the smallest value. ``direction``: nearest, backward (at or before) or forward. No match,
+    or a null time on the left: nulls. Null keys match null keys.
     """
     cols = left.columns
     a = left.select(*keys, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*cols).alias("_row"))
     r = right.where(F.col(right_t).isNotNull()).groupBy(*keys, F.col(right_t).alias("_t")).agg(F.min(value).alias("_v"))
     b = r.select(*keys, "_t", F.lit(0).alias("_side"), "_v", F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
     hit = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    w = W.partitionBy(*keys)
-    u = a.unionByName(b)
+    u = a.unionByName(b).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket)))
+    w = W.partitionBy(*keys, "_b")
     u = u.withColumn("_back", F.last(hit, ignorenulls=True).over(w.orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)))
-    u = u.withColumn("_fore", F.last(hit, ignorenulls=True).over(w.orderBy(F.desc("_t"), "_side").rowsBetween(W.unboundedPreceding, 0)))
+    u = u.withColumn("_fore", F.last(hit, ignorenulls=True).over(w.orderBy(F.desc("_t"), "_side").rowsBetween(W.unboundedPreceding, 0))).where("_side = 1")
+    # the buckets of both sides with their first and last right row, and what the buckets before and behind hold
+    inner = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(n) for k, n in zip(keys, inner)]
+    ends = a.select(*named, F.floor(F.col("_t") / F.lit(bucket)).alias("_c"), F.lit(None).cast(b.schema["_t"].dataType).alias("_t"), "_v")
+    ends = ends.unionByName(b.select(*named, F.floor(F.col("_t") / F.lit(bucket)).alias("_c"), "_t", "_v")).where("_c is not null")
+    own = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
+    ends = ends.groupBy(*inner, "_c").agg(F.min(own).alias("_first"), F.max(own).alias("_last"))
+    g = W.partitionBy(*inner)
+    ends = ends.withColumn("_before", F.last("_last", ignorenulls=True).over(g.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.withColumn("_after", F.last("_first", ignorenulls=True).over(g.orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)))
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, inner)] + [F.col("_b") == F.col("_c")]
+    u = u.join(ends.select(*inner, "_c", "_before", "_after"), on, "left")
+    u = u.withColumn("_back", F.coalesce("_back", "_before")).withColumn("_fore", F.coalesce("_fore", "_after"))
     back, fore = F.col("_back"), F.col("_fore")
     near = F.when(fore.isNull() | (F.col("_t") - back["t"] <= fore["t"] - F.col("_t")), back).otherwise(fore)
     pick = {"nearest": F.coalesce(near, fore), "backward": back, "forward": fore}[direction]
-    return u.where("_side = 1").withColumn("_m", pick).select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.col("_m.t").alias("match_t"), F.col("_m.v").alias(value))
+    return u.withColumn("_m", pick).select(*[F.col(f"_row.{c}").alias(c) for c in cols], F.col("_m.t").alias("match_t"), F.col("_m.v").alias(value))
 
 
 def drop_near(points: DataFrame, reference: DataFrame, keys: list[str], within: int, t: str = "t_us", ref_t: str = "ref_us") -> DataFrame:
@@ -77,19 +96,84 @@ def drop_near(points: DataFrame, reference: DataFrame, keys: list[str], within:
     return points.join(near, [*keys, t], "left_anti")
 
 
-def refractory(points: DataFrame, keys: list[str], interval: int, t: str = "t_us", gap_cut: bool = True) -> DataFrame:
+def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each run of equal ``keys`` in a sorted stream of batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in it:
+        if not len(pdf):
+            continue
+        if held:
+            pdf = pd.concat([held.pop(), pdf], ignore_index=True)
+        k = [pdf[c].to_numpy() for c in keys]
+        differs = np.zeros(len(pdf) - 1, bool)
+        for v in k:
+            null = pd.isna(v)
+            differs |= (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (v[1:] != v[:-1]))
+        cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield pdf.iloc[a:b]
+        held = [pdf.iloc[cuts[-2] :]]
+    yield from held
+
+
+def refractory(points: DataFrame, keys: list[str], interval: int, t: str = "t_us", bucket: int | None = None) -> DataFrame:
     """Greedy filter: a point is kept if it is more than ``interval`` after the last kept one (the first is always kept).
 
-    The rule depends on what was kept, so it is a fold; but a gap longer than ``interval`` restarts it, so the fold runs over
-    the stretches between such gaps, not over a whole key.
+    The rule depends on what was kept, but between two stretches of time only by the last kept time. So every ``bucket`` of a key
+    (4,096 intervals by default) first says by itself where it would end for each point it could start with (those within one
+    interval); these few numbers are chained per key; then every bucket is filtered from its true start. No task holds more than a
+    bucket of points. Repeated times count once, null times are left out.
     """
-    w = W.partitionBy(*keys).orderBy(t)
-    d = points.select(*keys, t).where(F.col(t).isNotNull()).distinct()
-    d = d.withColumn("_new", F.when(F.col(t) - F.lag(t).over(w) <= F.lit(interval), 0).otherwise(1)).withColumn("_s", F.sum("_new").over(w))
-    s = d.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(t)).alias("_l"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x - a["last"] > F.lit(interval)), F.struct(x.alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
-    return s.select(*keys, F.explode(F.aggregate("_l", zero, step, lambda a: a["kept"])).alias(t))
+    width = bucket or 4096 * interval
+    inner = [f"_k{i}" for i in range(len(keys))]
+    types = [points.schema[k].dataType.simpleString() for k in keys]
+    head = ", ".join(f"{n} {v}" for n, v in zip(inner, types))
+    d = points.where(F.col(t).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, inner)], F.col(t).cast("long").alias("_t")).withColumn("_b", F.floor(F.col("_t") / F.lit(width)))
+    d = d.repartition(*inner, "_b").dropDuplicates([*inner, "_b", "_t"])
+
+    def ends(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for g in _groups(it, [*inner, "_b"]):
+            v = g["_t"].to_numpy(np.int64)
+            step = np.append(np.searchsorted(v, v + interval, "right"), len(v))  # the next kept one; len(v): none
+            last = np.arange(len(v) + 1)
+            while True:  # double jumps until every chain has ended
+                there = step < len(v)
+                if not there.any():
+                    break
+                last = np.where(there, last[np.minimum(step, len(v))], last)
+                step = step[np.minimum(step, len(v))]
+            can = int(np.searchsorted(v, int(g["_b"].iloc[0]) * width + interval, "right")) + 1
+            out.append([*(g[k].iloc[0] for k in inner), g["_b"].iloc[0], v[:can].tolist(), v[last[:-1]][:can].tolist()])
+        yield pd.DataFrame(out, columns=[*inner, "_b", "_starts", "_ends"])
+
+    def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(it, inner):
+            enter, last = [], None
+            for starts, stops in zip(g["_starts"], g["_ends"]):
+                enter.append(last)
+                i = 0 if last is None else int(np.searchsorted(starts, last + interval, "right"))
+                if i < len(starts):
+                    last = int(stops[i])
+            yield g[[*inner, "_b"]].assign(_enter=pd.array(enter, "Int64"))
+
+    def keep(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(it, [*inner, "_b"]):
+            v = g["_t"].to_numpy(np.int64)
+            first = g["_enter"].iloc[0]
+            i = 0 if pd.isna(first) else int(np.searchsorted(v, int(first) + interval, "right"))
+            kept = []
+            while i < len(v):
+                kept.append(i)
+                i = int(np.searchsorted(v, v[i] + interval, "right"))
+            yield g.iloc[kept][[*inner, "_t"]]
+
+    small = d.sortWithinPartitions(*inner, "_b", "_t").mapInPandas(ends, f"{head}, _b long, _starts array<long>, _ends array<long>")
+    entry = small.repartition(*inner).sortWithinPartitions(*inner, "_b").mapInPandas(chain, f"{head}, _b long, _enter long")
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in inner] + [F.col("d._b") == F.col("e._b")]
+    j = d.alias("d").join(entry.alias("e"), on).select("d.*", "e._enter").repartition(*inner, "_b").sortWithinPartitions(*inner, "_b", "_t")
+    out = j.mapInPandas(keep, f"{head}, _t long")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(inner, keys)], F.col("_t").alias(t))
 
 
 def nearest_grid(points: DataFrame, grid: DataFrame, keys: list[str], t: str, depth: str, t_bin: str = "t_bin", depth_bin: str = "depth_bin", value: str = "displacement") -> DataFrame:

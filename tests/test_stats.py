@@ -196,3 +196,27 @@ def test_bootstrap_of_cells_matches_drawing_neurons(spark):
         assert got.n_rep == 10_000 and abs(got.focality - focal(np.arange(600))) < 1e-12
         assert abs(got.low - np.quantile(want, 0.025)) < 0.004 and abs(got.high - np.quantile(want, 0.975)) < 0.004
     assert series.focality_bootstrap(df.limit(0), "reward_group", None).count() == 0
+
+
+def test_refractory_and_nearest_do_not_depend_on_buckets(spark):
+    r = np.random.default_rng(21)
+    rows = [(k, int(x)) for k in ("a", "b", None) for x in np.cumsum(r.integers(0, 30, 300)) - 2000]
+    df = spark.createDataFrame(rows, "k string, t_us long")
+    want = []
+    for k in ("a", "b", None):
+        last = None
+        for x in sorted({x for kk, x in rows if kk == k}):
+            if last is None or x - last > 60:
+                want.append((k, x))
+                last = x
+    for bucket in (None, 61, 150, 1000):
+        assert sorted((tuple(x) for x in interval.refractory(df, ["k"], 60, bucket=bucket).collect()), key=str) == sorted(want, key=str)
+    left = spark.createDataFrame([("a", i, int(x)) for i, x in enumerate(r.integers(-4000, 9000, 200))] + [("a", 900, None), ("zz", 901, 5), (None, 902, 5)], "k string, i long, t long")
+    right = spark.createDataFrame([("a", int(x), i) for i, x in enumerate(r.integers(-2000, 5000, 40))] + [(None, 7, 77)], "k string, r long, v int")
+    hits = [(x.r, x.v) for x in right.collect() if x.k == "a"]
+    for bucket in (50, 1000, 600_000_000):
+        got = {x.i: (x.match_t, x.v) for x in interval.nearest(left, right, ["k"], "t", "r", "v", bucket=bucket).collect()}
+        assert got[900] == (None, None) and got[901] == (None, None) and got[902] == (7, 77)
+        for x in left.where("i < 900").collect():
+            best = min(hits, key=lambda h: (abs(h[0] - x.t), h[0], h[1]))  # noqa: B023
+            assert got[x.i] == best
