@@ -166,19 +166,28 @@ def fit_units(df: DataFrame, by: list[str], target: str, features: list[str], fo
     return need.groupBy(*by).applyInPandas(one, schema)
 
 
-def two_gaussians(x: np.ndarray, steps: int = 200) -> dict:
-    """EM for two 1-D Gaussians: weights, means, deviations (ordered by mean), where the densities cross, Ashman's D, valid."""
-    x = np.sort(x)
-    m = np.quantile(x, [0.25, 0.75])
-    s = np.full(2, x.std() or 1.0) / 2 + 1e-9
+def two_gaussians(x: np.ndarray, times: np.ndarray | None = None, steps: int = 200) -> dict:
+    """EM for two 1-D Gaussians: weights, means, deviations (ordered by mean), where the densities cross, Ashman's D, valid.
+
+    ``times``: how often each value occurs.
+    """
+    o = np.argsort(x, kind="stable")
+    x = x[o]
+    c = np.ones(len(x)) if times is None else np.asarray(times, float)[o]
+    n_all = c.sum()
+    at = np.cumsum(c) / n_all
+    m = x[np.searchsorted(at, [0.25, 0.75])]
+    mean = (c * x).sum() / n_all
+    sd = np.sqrt((c * (x - mean) ** 2).sum() / n_all)
+    s = np.full(2, sd or 1.0) / 2 + 1e-9
     w = np.full(2, 0.5)
     for _ in range(steps):
         d = w * np.exp(-0.5 * ((x[:, None] - m) / s) ** 2) / s
-        r = d / np.maximum(d.sum(axis=1, keepdims=True), 1e-300)
+        r = d / np.maximum(d.sum(axis=1, keepdims=True), 1e-300) * c[:, None]
         n = r.sum(axis=0) + 1e-9
         new = (r * x[:, None]).sum(axis=0) / n
         s = np.sqrt((r * (x[:, None] - new) ** 2).sum(axis=0) / n) + 1e-6 * (x[-1] - x[0] or 1)
-        w = n / len(x)
+        w = n / n_all
         if np.abs(new - m).max() < 1e-9 * (abs(m).max() + 1):
             m = new
             break
@@ -194,13 +203,21 @@ def two_gaussians(x: np.ndarray, steps: int = 200) -> dict:
     return {"w0": float(w[0]), "m0": float(m[0]), "s0": float(s[0]), "m1": float(m[1]), "s1": float(s[1]), "threshold": between[0] if between else None, "ashman_d": dist, "valid": bool(dist > 2 and between and w.min() > 0.05)}
 
 
-def mixture_threshold(df: DataFrame, by: list[str], value: str, ranges: int = 400) -> DataFrame:
-    """The two-Gaussian threshold per ``by`` from a histogram of ``ranges`` equal ranges: a group of any size costs its occupied ranges."""
-    lo_hi = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = df.join(lo_hi, by).where(F.col(value).isNotNull() & ~F.isnan(value))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    g = F.least(F.coalesce(F.floor((F.col(value) - F.col("_lo")) / width * ranges), F.lit(0)), F.lit(ranges - 1))
-    h = x.groupBy(*by, g.alias("_g")).agg(F.avg(value).alias("_x"), F.count("*").alias("_n"))
+def mixture_threshold(df: DataFrame, by: list[str], value: str, ranges: int = 64) -> DataFrame:
+    """The two-Gaussian threshold per ``by`` from counts per range of values: a group of any size costs its occupied ranges.
+
+    ``ranges`` per unit of asinh of the distance from the group's mean in its mean deviations: fine where the values are, coarse
+    far out, so an extreme value squeezes nothing. A range stands for its rows with their mean value and their number. Groups of
+    fewer than 10 values or 3 ranges give no row.
+    """
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    mean = x.groupBy(*by).agg(F.avg("_v").alias("_m"))
+    x = x.alias("x").join(mean.alias("m"), same("x", "m")).select("x.*", "m._m")
+    scale = x.groupBy(*by).agg(F.avg(F.abs(F.col("_v") - F.col("_m"))).alias("_s"))
+    x = x.alias("x").join(scale.alias("s"), same("x", "s")).select("x.*", "s._s")
+    g = F.coalesce(F.floor(F.asinh(F.try_divide(F.col("_v") - F.col("_m"), F.col("_s"))) * ranges), F.lit(0))
+    h = x.groupBy(*by, g.alias("_g")).agg(F.avg("_v").alias("_x"), F.count("*").alias("_n"))
     types = dict(df.dtypes)
     names = ["n", "w0", "m0", "s0", "m1", "s1", "threshold", "ashman_d", "valid"]
     schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, w0 double, m0 double, s0 double, m1 double, s1 double, threshold double, ashman_d double, valid boolean"
@@ -209,9 +226,7 @@ def mixture_threshold(df: DataFrame, by: list[str], value: str, ranges: int = 40
         n = int(pdf["_n"].sum())
         if n < 10 or len(pdf) < 3:
             return pd.DataFrame(columns=[*by, *names])
-        # ranges stand for their rows; very large groups in proportion
-        times = np.maximum(1, np.round(pdf["_n"].to_numpy() * min(1.0, 20000 / n)).astype(int))
-        return pd.DataFrame([[*pdf[by].iloc[0], n, *two_gaussians(np.repeat(pdf["_x"].to_numpy(), times)).values()]], columns=[*by, *names])
+        return pd.DataFrame([[*pdf[by].iloc[0], n, *two_gaussians(pdf["_x"].to_numpy(), pdf["_n"].to_numpy()).values()]], columns=[*by, *names])
 
     return h.groupBy(*by).applyInPandas(one, schema)
 

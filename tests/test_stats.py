@@ -220,3 +220,15 @@ def test_refractory_and_nearest_do_not_depend_on_buckets(spark):
         for x in left.where("i < 900").collect():
             best = min(hits, key=lambda h: (abs(h[0] - x.t), h[0], h[1]))  # noqa: B023
             assert got[x.i] == best
+
+
+def test_mixture_of_any_size(spark):
+    """The threshold from counted ranges is that of the values themselves, with an extreme value and above any size."""
+    r = np.random.default_rng(31)
+    x = np.concatenate([r.normal(0, 1, 20_000), r.normal(6, 1, 10_000), [1e6]])
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0)] * 20 + [(None, float(v)) for v in x[:50]] + [("a", None), ("a", float("nan"))], "g string, v double")
+    got = {q.g: q for q in fit.mixture_threshold(df.where("v < 1e5 or v is null"), ["g"], "v").collect()}
+    want = fit.two_gaussians(x[:-1])
+    assert set(got) == {"a", None} and got["a"].n == 30_000 and got["a"].valid
+    assert abs(got["a"].threshold - want["threshold"]) < 0.02 and abs(got["a"].m1 - want["m1"]) < 0.02
+    assert fit.mixture_threshold(df, ["g"], "v").where("g = 'a'").first().n == 30_001
