@@ -261,18 +261,18 @@ NUMERIC = ["n_spikes", "isi_violation", "isi_cv", "isi_long", "burst_index", "wf
 @book("fit_rf")
 @book("fit_predict")
 def _(d: Data) -> DataFrame:
-    """Noise or not, trained on the mice of even number and applied to all: unit, probability, verdict."""
+    """Noise or not, trained on one half of the mice (by a hash) and applied to all: unit, probability, verdict."""
     from pyspark.ml.functions import vector_to_array
 
     x = unit_table(d).withColumns({c: F.col(c).cast("double") for c in NUMERIC}).where("bc_label is not null")
-    x = x.withColumn("y", (F.lower(F.trim("bc_label")) == "noise").cast("double")).withColumn("even", F.regexp_extract("mouse_id", r"(\d+)$", 1).cast("int") % 2 == 0)
+    x = x.withColumn("y", (F.lower(F.trim("bc_label")) == "noise").cast("double")).withColumn("even", F.pmod(F.xxhash64("mouse_id"), F.lit(2)) == 0)
     share = x.where("even").agg(F.avg("y")).first()[0] or 0.5  # one number
     train = x.where("even").withColumn("wt", F.when(F.col("y") == 1, F.lit(0.5 / max(share, 1e-3))).otherwise(F.lit(0.5 / max(1 - share, 1e-3))))
     m = fit.forest(train, NUMERIC, "y", "wt", 20)
     return m.transform(x).select(*UNIT, vector_to_array("probability")[1].alias("p_noise"), (F.col("prediction") == 1).alias("is_noise"))
 
 
-@book("cmp_features")
+@book("cmp_features", "SELECT column_name AS feature FROM (DESCRIBE SELECT * FROM units) WHERE column_type IN ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT') AND column_name NOT IN ('unit_id', 'neuron_id', 'original_unit_id', 'cluster_id', 'day', 'reward_group', 'imec_id')")
 def _(d: Data) -> DataFrame:
     """The numeric columns of the unit table that are no keys."""
     keys = {"unit_id", "neuron_id", "original_unit_id", "cluster_id", "day", "reward_group", "imec_id"}

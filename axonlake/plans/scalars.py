@@ -9,6 +9,7 @@ from axonlake import sources, streaming
 from axonlake.functions import labels, special
 from axonlake.operators import fit, hist
 from axonlake.plans.registry import Book, Data
+from axonlake.plans.spikes import _fold_sql
 from axonlake.plans.statistics import glm
 from axonlake.session import scratch_dir
 from axonlake.sources import arrays
@@ -263,8 +264,8 @@ def _csv_source(d: Data) -> DataFrame:
     return sources.read_results(d.spark, path, "result_id long, mouse_id string, session_id string, analysis_type string, significant boolean")
 
 
-@book("src_csv")
-@book("src_csv_glob")
+@book("src_csv", "SELECT DISTINCT result_id, session_id, analysis_type, significant FROM roc_results")
+@book("src_csv_glob", "SELECT DISTINCT result_id, session_id, analysis_type, significant FROM roc_results")
 def _(d: Data) -> DataFrame:
     return _csv_source(d).select("result_id", "session_id", "analysis_type", "significant")
 
@@ -420,14 +421,15 @@ def _(d: Data) -> DataFrame:
     return t.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@book("str_bouts")
+@book("str_bouts", """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL), b AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM e),
+k AS (SELECT user_id, i, count(*) AS n, max(ts) + INTERVAL 30 MINUTE AS stop FROM b GROUP BY 1, 2) SELECT CASE WHEN n = 1 THEN 'single' WHEN n <= 3 THEN 'short_cluster' ELSE 'bout' END AS kind, count(*) AS n FROM k WHERE stop <= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE GROUP BY 1""")
 def _(d: Data) -> DataFrame:
     b = streaming.bouts(_stream(d), "ts", ["user_id"], "30 minutes", "1 hour")
     t = streaming.run_available(b, f"b_{abs(hash(d.dir)) % 10**9}_{id(d)}", "append")
     return t.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@book("str_refractory")
+@book("str_refractory", "WITH RECURSIVE ev AS (SELECT user_id, epoch_us(ts) AS t_us FROM events WHERE ts IS NOT NULL), " + _fold_sql("ev", "user_id", 3_600_000_000) + " SELECT user_id, count(*) AS n FROM r GROUP BY 1")
 def _(d: Data) -> DataFrame:
     r = streaming.refractory_stream(_stream(d).select("user_id", "ts"), "ts", "user_id", 3600.0)
     t = streaming.run_available(r, f"r_{abs(hash(d.dir)) % 10**9}_{id(d)}", "append")
