@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from axonlake.functions import labels
 from axonlake.operators import encoding as enc, fit, hist, quality, relational as rel
 from axonlake.operators.interval import micros
+from axonlake.plans.correlation import mice
 from axonlake.plans.registry import Book, Data
 from axonlake.plans.statistics import response_counts, shifts
 
@@ -261,11 +262,11 @@ NUMERIC = ["n_spikes", "isi_violation", "isi_cv", "isi_long", "burst_index", "wf
 @book("fit_rf")
 @book("fit_predict")
 def _(d: Data) -> DataFrame:
-    """Noise or not, trained on one half of the mice (by a hash) and applied to all: unit, probability, verdict."""
+    """Noise or not, trained on every second mouse, the first among them, and applied to all: unit, probability, verdict."""
     from pyspark.ml.functions import vector_to_array
 
     x = unit_table(d).withColumns({c: F.col(c).cast("double") for c in NUMERIC}).where("bc_label is not null")
-    x = x.withColumn("y", (F.lower(F.trim("bc_label")) == "noise").cast("double")).withColumn("even", F.pmod(F.xxhash64("mouse_id"), F.lit(2)) == 0)
+    x = x.withColumn("y", (F.lower(F.trim("bc_label")) == "noise").cast("double")).join(mice(d).select("mouse_id", (F.col("mouse") % 2 == 1).alias("even")), "mouse_id")
     share = x.where("even").agg(F.avg("y")).first()[0] or 0.5  # one number
     train = x.where("even").withColumn("wt", F.when(F.col("y") == 1, F.lit(0.5 / max(share, 1e-3))).otherwise(F.lit(0.5 / max(1 - share, 1e-3))))
     m = fit.forest(train, NUMERIC, "y", "wt", 20)
