@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from axonlake.plans import composites, correlation, models, problems, relational, scalars, spikes, statistics, windows
+from axonlake.plans import composites, compositions, correlation, models, problems, relational, scalars, spikes, statistics, windows
 
-_MODULES = (problems, spikes, relational, statistics, windows, correlation, models, scalars, composites)
+_MODULES = (problems, spikes, relational, statistics, windows, correlation, models, scalars, composites, compositions)
 FLAGSHIP = "agg_auc"
 
 

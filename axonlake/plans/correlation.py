@@ -133,7 +133,6 @@ _MNC = _RES + _NC.format(v="res") + ", ar AS (SELECT DISTINCT session_id, unit_i
 
 
 @book("agg_mouse_nc", _MNC, "us sp tr")
-@book("cmp_nc_bar", _MNC, "us sp tr")
 @book("cmp_noise_corr_session", _MNC, "us sp tr")
 def _(d: Data) -> DataFrame:
     u = d.unit_rows("mouse_id", "ccf_parent_acronym")

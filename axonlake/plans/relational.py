@@ -50,7 +50,6 @@ def event_rows(d: Data) -> DataFrame:
 
 
 @book("flt_event_times", _EVENTS, "tr")
-@book("cmp_lick_events", _EVENTS, "tr")
 def _(d: Data) -> DataFrame:
     return event_rows(d)
 
@@ -245,7 +244,6 @@ _SCORE = [("SSp-bfd", 0.2), ("MOs", 0.7), ("CP", 0.5), ("MOp", 0.4), ("AUD1", 0.
 
 
 @book("join_fallback_map", f"WITH s AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _SCORE)}) t(name, score)) SELECT session_id, unit_id, CAST(coalesce(a.score, b.score) AS DOUBLE) AS score FROM u LEFT JOIN s a ON a.name = ccf_acronym LEFT JOIN s b ON b.name = ccf_parent_acronym", "u")
-@book("cmp_scores", f"WITH s AS (SELECT * FROM (VALUES {', '.join(str(x) for x in _SCORE)}) t(name, score)) SELECT session_id, unit_id, CAST(coalesce(a.score, b.score) AS DOUBLE) AS score FROM u LEFT JOIN s a ON a.name = ccf_acronym LEFT JOIN s b ON b.name = ccf_parent_acronym", "u")
 def _(d: Data) -> DataFrame:
     s = d.spark.createDataFrame(_SCORE, "name string, score double")
     return rel.lookup(d.unit_rows("ccf_acronym", "ccf_parent_acronym"), "ccf_acronym", "ccf_parent_acronym", s, "name", "score").select("session_id", "unit_id", "score")
@@ -284,7 +282,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("topk_abs", "SELECT result_id, round(selectivity, 6) AS selectivity FROM roc WHERE selectivity IS NOT NULL ORDER BY abs(selectivity) DESC, result_id LIMIT 100", "roc")
-@book("topk_suspicious", "SELECT result_id, round(selectivity, 6) AS selectivity FROM roc WHERE selectivity IS NOT NULL ORDER BY abs(selectivity) DESC, result_id LIMIT 100", "roc")
 def _(d: Data) -> DataFrame:
     return rel.top(d.roc().where("selectivity is not null"), 100, F.desc(F.abs("selectivity")), F.asc("result_id")).select("result_id", F.round("selectivity", 6).alias("selectivity"))
 

@@ -112,7 +112,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("scl_size_map", "SELECT result_id, round(least(-log10(greatest(p_value, 1e-6)) / 6, 1), 6) + 0.0 AS size FROM roc WHERE p_value IS NOT NULL", "roc")
-@book("cmp_metric_value", "SELECT result_id, round(least(-log10(greatest(p_value, 1e-6)) / 6, 1), 6) + 0.0 AS size FROM roc WHERE p_value IS NOT NULL", "roc")
 def _(d: Data) -> DataFrame:
     return d.roc().where("p_value is not null").select("result_id", (F.round(F.least(-F.log10(F.greatest("p_value", F.lit(1e-6))) / 6, F.lit(1.0)), 6) + 0.0).alias("size"))
 
@@ -153,17 +152,6 @@ def _(d: Data) -> DataFrame:
     return s.groupBy("session_id", "unit_id").agg(F.max("t_us").alias("last_us")).withColumn("t_stop", s.agg(F.max("t_us")).scalar())
 
 
-@book("cmp_conditions", "SELECT period || '_' || modality AS condition, lo, hi FROM (SELECT unnest(['active', 'passive_pre', 'passive_post']) AS period), (SELECT unnest(['whisker', 'auditory']) AS modality), (SELECT -1.0 AS lo, 3.0 AS hi)")
-def _(d: Data) -> DataFrame:
-    rows = [(f"{p}_{m}", -1.0, 3.0) for p in ("active", "passive_pre", "passive_post") for m in ("whisker", "auditory")]
-    return d.spark.createDataFrame(rows, "condition string, lo double, hi double")
-
-
-@book("cmp_smooth_kernels", "SELECT i, w FROM (SELECT unnest([0, 1, 2, 3]) AS i, unnest([" + ", ".join(repr(round(w, 9)) for w in hist.weights_gauss(1.0, 3, True)) + "]::DOUBLE[]) AS w)")
-def _(d: Data) -> DataFrame:
-    return d.spark.createDataFrame([(i, round(w, 9)) for i, w in enumerate(hist.weights_gauss(1.0, 3, True))], "i int, w double")
-
-
 @book("scl_cosine", "WITH r AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], ref::DOUBLE[]), 4) AS c FROM embeddings JOIN r USING (label)")
 def _(d: Data) -> DataFrame:
     e = d.embeddings
@@ -287,13 +275,11 @@ def _(d: Data) -> DataFrame:
 
 
 @book("src_taskmod", "SELECT DISTINCT result_id, mouse_id, p_value, z_score FROM neuron_results")
-@book("cmp_inflection_io", "SELECT DISTINCT result_id, mouse_id, p_value, z_score FROM neuron_results")
 def _(d: Data) -> DataFrame:
     return d.neuron_results.select("result_id", "mouse_id", "p_value", "z_score").distinct()
 
 
 @book("src_waveform", "WITH k AS (SELECT DISTINCT unit_id, lower(trim(bc_label)) AS k, depth FROM units) SELECT unit_id, min(depth) FILTER (k = 'good') AS good, min(depth) FILTER (k = 'mua') AS mua FROM k GROUP BY 1")
-@book("cmp_waveform_join", "WITH k AS (SELECT DISTINCT unit_id, lower(trim(bc_label)) AS k, depth FROM units) SELECT unit_id, min(depth) FILTER (k = 'good') AS good, min(depth) FILTER (k = 'mua') AS mua FROM k GROUP BY 1")
 def _(d: Data) -> DataFrame:
     k = d.units.select("unit_id", F.lower(F.trim("bc_label")).alias("k"), "depth").distinct()
     return k.groupBy("unit_id").pivot("k", ["good", "mua"]).agg(F.min("depth"))
@@ -308,14 +294,7 @@ def _(d: Data) -> DataFrame:
     return arrays.sheet_table(arrays.read_sheets(d.spark, folder), "mice", {"A": "mouse_id", "B": "reward_group"})
 
 
-@book("cmp_liu", "SELECT 'CP' AS area, CAST(0.5 AS DOUBLE) AS score UNION ALL SELECT 'MOs', 0.7 UNION ALL SELECT 'bad', NULL")
-def _(d: Data) -> DataFrame:
-    raw = d.spark.createDataFrame([("CP", "0.5"), ("MOs", "0.7"), ("bad", "n/a")], "area string, text string")
-    return raw.select("area", F.col("text").try_cast("double").alias("score"))
-
-
 @book("src_synthetic")
-@book("src_synth_grid")
 def _(d: Data) -> DataFrame:
     """A session by rule: 10 units, 150 trials every two seconds, evoked rates that step at trial 75; draws by hashes."""
     u = d.spark.range(10).select(F.col("id").alias("unit_id"), F.element_at(F.array(*[F.lit(x) for x in (0.8, 0.6, 0.4, 0.2, 0.0)]), (F.col("id") % 5 + 1).cast("int")).alias("effect"))

@@ -39,7 +39,6 @@ def _(d: Data) -> DataFrame:
 
 
 @book("cmp_rate_one", _COUNT.format(a=-S, b=0, op="<").replace("coalesce(hit.n, 0) AS n", "coalesce(hit.n, 0) / 1.0 AS rate"), "us sp tr")
-@book("cmp_count_matrix", _COUNT.format(a=-S, b=0, op="<").replace("coalesce(hit.n, 0) AS n", "coalesce(hit.n, 0) / 1.0 AS rate"), "us sp tr")
 def _(d: Data) -> DataFrame:
     c = interval.count_in_window(d.spikes(), d.unit_rows(), d.trial_rows(), KEYS, UNIT, EVENT, -S, 0)
     return c.select("session_id", "unit_id", "event_id", (F.col("n") / 1.0).alias("rate"))

@@ -150,13 +150,11 @@ def proportions(r: DataFrame, entity: str) -> DataFrame:
 
 
 @book("agg_prop_sig", _PROP.format(k="mouse_id"), "roc")
-@book("win_cond_sum", _PROP.format(k="mouse_id"), "roc")
 def _(d: Data) -> DataFrame:
     return proportions(d.roc(), "mouse_id")
 
 
 @book("agg_prop_sig_session", _PROP.format(k="session_id"), "roc")
-@book("cmp_class_prop", _PROP.format(k="session_id"), "roc")
 def _(d: Data) -> DataFrame:
     return proportions(d.roc(), "session_id")
 
@@ -315,7 +313,6 @@ def shifts(d: Data) -> DataFrame:
 
 
 @book("agg_latency_cluster", _NR + "SELECT area, round(avg(x), 5) AS mean, round(stddev_samp(x) / sqrt(count(x)), 5) AS sem, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.75), 6) AS q75, count(x) AS n_valid, count(*) AS n FROM n GROUP BY 1")
-@book("agg_quantile", _NR + "SELECT area, round(avg(x), 5) AS mean, round(stddev_samp(x) / sqrt(count(x)), 5) AS sem, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.75), 6) AS q75, count(x) AS n_valid, count(*) AS n FROM n GROUP BY 1")
 def _(d: Data) -> DataFrame:
     q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
     return shifts(d).groupBy("area").agg(F.round(F.avg("x"), 5).alias("mean"), F.round(F.stddev_samp("x") / F.sqrt(F.count("x")), 5).alias("sem"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.count("x").alias("n_valid"), F.count("*").alias("n"))

@@ -27,7 +27,6 @@ def typ():
 
 
 @book("win_cumcount", f"SELECT session_id, trial_id, row_number() OVER {TYP} - 1 AS k FROM tr", "tr")
-@book("cmp_index", f"SELECT session_id, trial_id, row_number() OVER {TYP} - 1 AS k FROM tr", "tr")
 def _(d: Data) -> DataFrame:
     return d.trial_rows().select("session_id", "trial_id", (F.row_number().over(typ()) - 1).alias("k"))
 
@@ -50,7 +49,6 @@ def half_split(t: DataFrame) -> DataFrame:
 
 @book("win_half_split", _HALF, "tr")
 @book("cmp_passive_ctx", _HALF, "tr")
-@book("cmp_active_ctx", _HALF, "tr")
 def _(d: Data) -> DataFrame:
     return half_split(d.trial_rows()).select("session_id", "trial_id", "period")
 
