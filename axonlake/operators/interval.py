@@ -7,6 +7,7 @@ work follows the matches, not the product of points and windows of a key.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,24 +97,36 @@ def drop_near(points: DataFrame, reference: DataFrame, keys: list[str], within:
     return points.join(near, [*keys, t], "left_anti")
 
 
-def _groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each run of equal ``keys`` in a sorted stream of batches."""
-    held: list[pd.DataFrame] = []
+def _whole_groups(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Batches of a stream sorted by ``keys`` that hold whole groups only, with the places where groups begin and the end."""
+    held = None
     for pdf in it:
         if not len(pdf):
             continue
-        if held:
-            pdf = pd.concat([held.pop(), pdf], ignore_index=True)
-        k = [pdf[c].to_numpy() for c in keys]
+        pdf = pdf.reset_index(drop=True) if held is None else pd.concat([held, pdf], ignore_index=True)
         differs = np.zeros(len(pdf) - 1, bool)
-        for v in k:
+        for c in keys:
+            v = pdf[c].to_numpy()
             null = pd.isna(v)
             differs |= (null[1:] != null[:-1]) | (~null[1:] & ~null[:-1] & (v[1:] != v[:-1]))
-        cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(pdf)]
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield pdf.iloc[a:b]
-        held = [pdf.iloc[cuts[-2] :]]
-    yield from held
+        cuts = [0, *(np.flatnonzero(differs) + 1).tolist()]
+        if len(cuts) > 1:
+            yield pdf.iloc[: cuts[-1]], cuts
+        held = pdf.iloc[cuts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield held, [0, len(held)]
+
+
+def _chain_ends(v: list[int], interval: int) -> list[int]:
+    """For every point of a sorted list the last point kept if it is kept."""
+    n = len(v)
+    out, nxt = v[:], n
+    for i in range(n - 1, -1, -1):
+        while nxt - 1 > i and v[nxt - 1] - v[i] > interval:
+            nxt -= 1
+        if nxt < n:
+            out[i] = out[nxt]
+    return out
 
 
 def refractory(points: DataFrame, keys: list[str], interval: int, t: str = "t_us", bucket: int | None = None) -> DataFrame:
@@ -132,46 +145,42 @@ def refractory(points: DataFrame, keys: list[str], interval: int, t: str = "t_us
     d = d.repartition(*inner, "_b").dropDuplicates([*inner, "_b", "_t"])
 
     def ends(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for g in _groups(it, [*inner, "_b"]):
-            v = g["_t"].to_numpy(np.int64)
-            step = np.append(np.searchsorted(v, v + interval, "right"), len(v))  # the next kept one; len(v): none
-            last = np.arange(len(v) + 1)
-            while True:  # double jumps until every chain has ended
-                there = step < len(v)
-                if not there.any():
-                    break
-                last = np.where(there, last[np.minimum(step, len(v))], last)
-                step = step[np.minimum(step, len(v))]
-            can = int(np.searchsorted(v, int(g["_b"].iloc[0]) * width + interval, "right")) + 1
-            out.append([*(g[k].iloc[0] for k in inner), g["_b"].iloc[0], v[:can].tolist(), v[last[:-1]][:can].tolist()])
-        yield pd.DataFrame(out, columns=[*inner, "_b", "_starts", "_ends"])
+        for pdf, cuts in _whole_groups(it, [*inner, "_b"]):
+            t_, starts, stops = pdf["_t"].tolist(), [], []
+            for a, z, b in zip(cuts, cuts[1:], pdf["_b"].to_numpy()[cuts[:-1]].tolist()):
+                v = t_[a:z]
+                can = bisect_right(v, b * width + interval) + 1
+                starts.append(v[:can])
+                stops.append(_chain_ends(v, interval)[:can])
+            yield pdf.iloc[cuts[:-1]][[*inner, "_b"]].assign(_starts=starts, _ends=stops)
 
     def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(it, inner):
-            enter, last = [], None
-            for starts, stops in zip(g["_starts"], g["_ends"]):
-                enter.append(last)
-                i = 0 if last is None else int(np.searchsorted(starts, last + interval, "right"))
-                if i < len(starts):
-                    last = int(stops[i])
-            yield g[[*inner, "_b"]].assign(_enter=pd.array(enter, "Int64"))
+        for pdf, cuts in _whole_groups(it, inner):
+            enter, starts, stops = [], pdf["_starts"].tolist(), pdf["_ends"].tolist()
+            for a, z in zip(cuts, cuts[1:]):
+                last = None
+                for s, e in zip(starts[a:z], stops[a:z]):
+                    enter.append(last)
+                    i = 0 if last is None else bisect_right(s, last + interval)
+                    if i < len(s):
+                        last = int(e[i])
+            yield pdf[[*inner, "_b"]].assign(_known=[x is not None for x in enter], _enter=[x or 0 for x in enter])
 
     def keep(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(it, [*inner, "_b"]):
-            v = g["_t"].to_numpy(np.int64)
-            first = g["_enter"].iloc[0]
-            i = 0 if pd.isna(first) else int(np.searchsorted(v, int(first) + interval, "right"))
-            kept = []
-            while i < len(v):
-                kept.append(i)
-                i = int(np.searchsorted(v, v[i] + interval, "right"))
-            yield g.iloc[kept][[*inner, "_t"]]
+        for pdf, cuts in _whole_groups(it, [*inner, "_b"]):
+            t_, kept = pdf["_t"].tolist(), []
+            known, enter = pdf["_known"].to_numpy()[cuts[:-1]].tolist(), pdf["_enter"].to_numpy()[cuts[:-1]].tolist()
+            for a, z, there, last in zip(cuts, cuts[1:], known, enter):
+                i = a if not there else bisect_right(t_, last + interval, a, z)
+                while i < z:
+                    kept.append(i)
+                    i = bisect_right(t_, t_[i] + interval, i + 1, z)
+            yield pdf.iloc[kept][[*inner, "_t"]]
 
     small = d.sortWithinPartitions(*inner, "_b", "_t").mapInPandas(ends, f"{head}, _b long, _starts array<long>, _ends array<long>")
-    entry = small.repartition(*inner).sortWithinPartitions(*inner, "_b").mapInPandas(chain, f"{head}, _b long, _enter long")
+    entry = small.repartition(*inner).sortWithinPartitions(*inner, "_b").mapInPandas(chain, f"{head}, _b long, _known boolean, _enter long")
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}")) for k in inner] + [F.col("d._b") == F.col("e._b")]
-    j = d.alias("d").join(entry.alias("e"), on).select("d.*", "e._enter").repartition(*inner, "_b").sortWithinPartitions(*inner, "_b", "_t")
+    j = d.alias("d").join(entry.alias("e"), on).select("d.*", "e._known", "e._enter").repartition(*inner, "_b").sortWithinPartitions(*inner, "_b", "_t")
     out = j.mapInPandas(keep, f"{head}, _t long")
     return out.select(*[F.col(n).alias(k) for n, k in zip(inner, keys)], F.col("_t").alias(t))
 
