@@ -158,7 +158,8 @@ def _(d: Data) -> DataFrame:
     learning = d.neuron_results.groupBy("mouse_id").agg(F.min("inflection_trial").alias("_k"))
     k = F.row_number().over(W.partitionBy("session_id", "trial_type").orderBy("at_us", "trial_id")) - 1
     t = d.trial_rows().join(learning, "mouse_id", "left").withColumn("phase", F.when(k < F.coalesce("_k", F.lit(0)), "pre").otherwise("post")).select("session_id", "event_id", "at_us", "trial_type", "phase")
-    p = hist.mean_peth(d.spikes(), d.unit_rows(), t, KEYS, UNIT, ["trial_type", "phase"], -S, 3 * S, S // 2)
+    # planned from the size of files, which says nothing of spikes per unit: without the hint these may be broadcast
+    p = hist.mean_peth(d.spikes().hint("merge"), d.unit_rows(), t, KEYS, UNIT, ["trial_type", "phase"], -S, 3 * S, S // 2)
     return p.select("session_id", "unit_id", "trial_type", "phase", "bin", "n_events", F.round("rate", 6).alias("rate"))
 
 
