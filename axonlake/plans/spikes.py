@@ -63,7 +63,8 @@ def _(d: Data) -> DataFrame:
     bins = u.select("session_id", "imec_id", (F.floor(F.col("depth") / 500) * 500.0).alias("depth_bin")).distinct()
     g = bins.withColumn("t_bin", F.explode(F.array(*[F.lit(x).cast("long") for x in (15 * S, 35 * S, 55 * S)])))
     g = g.withColumn("displacement", (F.col("t_bin") / 1000000 * 7 + F.col("depth_bin")) % 13)
-    p = d.spikes().join(u, ["session_id", "unit_id"]).distinct()
+    # the hint keeps spikes, few bytes by the size of their file, from being broadcast
+    p = d.spikes().hint("merge").join(u, ["session_id", "unit_id"]).distinct()
     return interval.nearest_grid(p, g, ["session_id", "imec_id"], "t_us", "depth").select("session_id", "unit_id", "t_us", "t_bin", "displacement")
 
 

@@ -13,7 +13,7 @@ def joins(df):
     return [(m[1], re.sub(r"#\d+L?", "", m[2])) for m in re.finditer(r"(\w+Join) \[(.*?)\]", plan)]
 
 
-@pytest.mark.parametrize("name, keys", [("agg_peth_inflection", "session_id, _b")])
+@pytest.mark.parametrize("name, keys", [("agg_peth_inflection", "session_id, _b"), ("join_nearest_grid", "session_id, unit_id")])
 def test_not_broadcast(spark, data_dir, name, keys):
     kinds = {kind for kind, on in joins(__spark_entry__.queries()[name](spark, data_dir)) if on == keys}
     assert kinds == {"SortMergeJoin"}
