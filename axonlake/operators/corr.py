@@ -22,15 +22,158 @@ def lag_pairs(spikes: DataFrame, keys: list[str], unit: str, window: int) -> Dat
     return a.join(b, [*keys, "_b"]).where((dt >= 0) & (dt <= F.lit(window)) & ~itself).select(*keys, "unit_a", "unit_b", dt.alias("dt"))
 
 
+def lag_counts(spikes: DataFrame, keys: list[str], unit: str, edges: list[int], last: int, out: str, block: int = 128, most: int = 1_000_000, lo: int = 2, hi: int = 10, sds: float = 7.0, flank: int = 51) -> DataFrame:
+    """Counts of the pairs of spikes of one key at most ``last`` apart, by lag bins that begin at ``edges`` (from 0 on). A spike is not paired with itself.
+
+    out "half": keys, unit_a, unit_b, lag_bin, n: pairs with 0 <= t_b - t_a; spikes of two units at one time are a pair of each order,
+    two of one unit a single pair. Bins without a pair have no row.
+    out "both": the same with each pair also mirrored, (b, a) at -lag_bin; the zero bin holds both orders. Also n_a, n_b (spikes of each
+    unit) and span_us (first to last spike of the key).
+    out "list": keys, unit_a, unit_b, counts: the mirrored counts of all bins in order, for different units with any count.
+    out "found": keys, unit_a, unit_b, lag_bin, peak, kind: what ``sparse_interactions`` says of each such pair, nulls where it says nothing.
+
+    Pairs of spikes are never rows: units are cut into blocks of ``block`` units or ``most`` spikes (or one longer unit), a task holds
+    two blocks and counts in chunks of half a million pairs. Null keys are left out; a null unit is a unit of its own.
+    """
+    u = spikes.where(F.col("t_us").isNotNull()).dropna(subset=keys).groupBy(*keys, unit).agg(F.collect_list("t_us").alias("_t"))
+    g = W.partitionBy(*keys)
+    weight = F.sum(F.greatest(F.lit(1.0 / block), F.size("_t") / most)).over(g.orderBy(unit).rowsBetween(W.unboundedPreceding, 0))
+    u = u.withColumns({"_b": F.floor(weight - 1e-9).cast("int"), "_span": F.max(F.array_max("_t")).over(g) - F.min(F.array_min("_t")).over(g)})
+    u = u.withColumn("_m", F.max("_b").over(g)).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m"))))
+    u = u.select(*keys, F.col(unit).alias("_u"), "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_span", "_t")
+    bins, width = len(edges), len(keys)
+
+    def kernel(key, x):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        i, j = key[-2].as_py(), key[-1].as_py()
+        side = [x.filter(pc.equal(x["_b"], k)) for k in ((i,) if i == j else (i, j))]
+        ta, wa, na = _flat(side[0])
+        tb, wb, nb = (ta, wa, na) if i == j else _flat(side[1])
+        a, b = len(na), len(nb)
+        ab = np.zeros(a * b * bins, np.int64)
+        ba = ab if i == j else np.zeros(a * b * bins, np.int64)
+        # within a block every pair is met once, from the earlier spike; between two blocks from the first
+        first = np.arange(1, len(ta) + 1) if i == j else np.searchsorted(tb, ta - last, "left")
+        for ia, ib in _pair_chunks(first, np.searchsorted(tb, ta + last, "right")):
+            d, p, q = tb[ib] - ta[ia], wa[ia], wb[ib]
+            at = np.searchsorted(edges, np.abs(d), "right") - 1
+            f, r = (d >= 0), (d <= 0) & (p != q) if i == j else (d <= 0)
+            ab += np.bincount(((p * b + q) * bins + at)[f], minlength=len(ab))
+            ba += np.bincount(((q * a + p) * bins + at)[r], minlength=len(ba))
+        ab, ba = ab.reshape(a, b, bins), ba.reshape(b, a, bins)
+        ua, ub = side[0]["_u"].combine_chunks(), side[-1]["_u"].combine_chunks()
+        if out == "half":
+            found = [(ua, ub, na, nb, ab)] + ([] if i == j else [(ub, ua, nb, na, ba)])
+        else:
+            back = ba.transpose(1, 0, 2)
+            c = np.concatenate([back[:, :, :0:-1], back[:, :, :1] + ab[:, :, :1], ab[:, :, 1:]], axis=2)
+            found = [(ua, ub, na, nb, c)] + ([] if i == j else [(ub, ua, nb, na, c.transpose(1, 0, 2)[:, :, ::-1])])
+        parts = []
+        for n, (one, two, n1, n2, c) in enumerate(found):
+            if out in ("half", "both"):
+                p, q, k = np.nonzero(c)
+                cols = [k - (0 if out == "half" else bins - 1), c[p, q, k]]
+                if out == "both":
+                    cols += [n1[p], n2[q], np.full(len(p), x["_span"][0].as_py(), np.int64)]
+            else:
+                some = c.any(axis=2)
+                if i == j:
+                    np.fill_diagonal(some, False)
+                p, q = np.nonzero(some)
+                c = c[p, q]
+                cols = [pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * c.shape[1], c.ravel())] if out == "list" else _beyond(c, bins - 1, lo, hi, sds, flank)
+            parts.append([*[pa.repeat(k, len(p)) for k in key[:width]], one.take(pa.array(p)), two.take(pa.array(q)), *[pa.array(v) if isinstance(v, np.ndarray) else v for v in cols]])
+        return pa.concat_tables([pa.table(dict(zip(names, v))) for v in parts])
+
+    types = {f.name: f.dataType.simpleString() for f in spikes.schema}
+    value = {"half": "lag_bin long, n long", "both": "lag_bin long, n long, n_a long, n_b long, span_us long", "list": "counts array<long>", "found": "lag_bin long, peak long, kind string"}[out]
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"unit_a {types[unit]}, unit_b {types[unit]}", value])
+    names = [*keys, "unit_a", "unit_b", *[v.split()[0] for v in value.split(", ")]]
+    return u.groupBy(*keys, "_i", "_j").applyInArrow(kernel, schema)
+
+
+def _flat(x):
+    """Times of all trains of an Arrow table in order, the row of each, and the number of spikes of each row."""
+    import numpy as np
+
+    t = x["_t"].combine_chunks()
+    n = np.diff(t.offsets.to_numpy())
+    v, w = t.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+    o = np.argsort(v, kind="stable")
+    return v[o], w[o], n.astype(np.int64)
+
+
+def _pair_chunks(first, last, size: int = 500_000):
+    """Index pairs (i, first[i]..last[i] - 1), at most ``size`` at a time or those of one i."""
+    import numpy as np
+
+    total = np.concatenate([[0], np.cumsum(last - first)])
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
+        k = (last - first)[at:to]
+        yield np.repeat(np.arange(at, to), k), np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at], k) + np.repeat(first[at:to], k)
+        at = to
+
+
+def _beyond(c, lags: int, lo: int, hi: int, sds: float, flank: int) -> list:
+    """lag_bin, peak and kind of ``sparse_interactions`` for each row of bins -lags..lags; nulls where there is none."""
+    import numpy as np
+    import pyarrow as pa
+
+    far = np.concatenate([c[:, : lags - flank + 1], c[:, lags + flank :]], axis=1).astype(float)
+    m = far.sum(axis=1) / far.shape[1]
+    s = np.sqrt(np.maximum((far * far).sum(axis=1) / far.shape[1] - m * m, 0.0))
+    hit = np.abs(c[:, lags + lo : lags + hi + 1] - m[:, None]) > sds * s[:, None] + 1e-9
+    k = hit.argmax(axis=1) + lo
+    none = ~(hit.any(axis=1) & (s > 1e-9))
+    peak = c[np.arange(len(c)), lags + k]
+    return [pa.array(k, mask=none), pa.array(peak, mask=none), pa.array(np.where(peak > m, "excitatory", "inhibitory").astype(object), type=pa.string(), mask=none)]
+
+
+def _bins(window: int, bin_: int) -> tuple[list[int], int]:
+    """Edges of the bins that begin within ``window``, and the longest lag in them."""
+    return list(range(0, window, bin_)), window - 1 if window % bin_ == 0 else window
+
+
 def correlogram(spikes: DataFrame, keys: list[str], unit: str, window: int, bin_: int) -> DataFrame:
     """keys, unit_a, unit_b, lag_bin, n for all pairs of units with any count; lag bins floor(dt / bin), mirrored to negative lags.
 
     The pair (a, b) at lag bin k equals (b, a) at -k; the zero bin holds both orders, without a spike's pair with itself.
     """
-    p = lag_pairs(spikes, keys, unit, window)
-    half = p.withColumn("lag_bin", F.floor(F.col("dt") / F.lit(bin_))).where(F.col("lag_bin") * F.lit(bin_) < F.lit(window)).groupBy(*keys, "unit_a", "unit_b", "lag_bin").agg(F.count("*").alias("n"))
-    back = half.select(*keys, F.col("unit_b").alias("unit_a"), F.col("unit_a").alias("unit_b"), (-F.col("lag_bin")).alias("lag_bin"), "n")
-    return half.unionByName(back).groupBy(*keys, "unit_a", "unit_b", "lag_bin").agg(F.sum("n").alias("n"))
+    return lag_counts(spikes, keys, unit, *_bins(window, bin_), "both").select(*keys, "unit_a", "unit_b", "lag_bin", "n")
+
+
+def autocorrelogram(spikes: DataFrame, by: list[str], window: int, bin_: int) -> DataFrame:
+    """by, lag_bin, n: the ``correlogram`` of every ``by`` with itself. One row of spikes per ``by``, counted where it lies."""
+    edges, last = _bins(window, bin_)
+    u = spikes.where(F.col("t_us").isNotNull()).groupBy(*by).agg(F.collect_list("t_us").alias("_t"))
+
+    def kernel(it):
+        import numpy as np
+        import pyarrow as pa
+
+        for x in it:
+            rows, lag, n = [], [], []
+            for row, t in enumerate(x.column("_t")):
+                v = np.sort(t.values.to_numpy())
+                h = np.zeros(len(edges), np.int64)
+                for i, j in _pair_chunks(np.arange(1, len(v) + 1), np.searchsorted(v, v + last, "right")):
+                    h += np.bincount(np.searchsorted(edges, v[j] - v[i], "right") - 1, minlength=len(h))
+                c = np.concatenate([h[:0:-1], 2 * h[:1], h[1:]])
+                k = np.flatnonzero(c)
+                rows.append(np.full(len(k), row))
+                lag.append(k - len(edges) + 1)
+                n.append(c[k])
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*[x.column(c).take(at) for c in by], pa.array(np.concatenate(lag)), pa.array(np.concatenate(n))], names=[*by, "lag_bin", "n"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spikes.select(*by).schema)
+    return u.mapInArrow(kernel, f"{types}, lag_bin long, n long")
 
 
 def normalise_ccg(ccg: DataFrame, spikes: DataFrame, keys: list[str], unit: str, bin_: int) -> DataFrame:
