@@ -176,16 +176,12 @@ def autocorrelogram(spikes: DataFrame, by: list[str], window: int, bin_: int) ->
     return u.mapInArrow(kernel, f"{types}, lag_bin long, n long")
 
 
-def normalise_ccg(ccg: DataFrame, spikes: DataFrame, keys: list[str], unit: str, bin_: int) -> DataFrame:
-    """Counts with ``hertz`` (per spike of a and second) and ``pearson`` ((observed - expected) / root of expected)."""
-    n = spikes.groupBy(*keys, unit).agg(F.count("*").alias("_n"))
-    span = spikes.groupBy(*keys).agg(((F.max("t_us") - F.min("t_us")) / 1e6).alias("_span"))
-    a = n.select(*keys, F.col(unit).alias("unit_a"), F.col("_n").alias("n_a"))
-    b = n.select(*keys, F.col(unit).alias("unit_b"), F.col("_n").alias("n_b"))
+def normalise_ccg(ccg: DataFrame, bin_: int) -> DataFrame:
+    """Counts of ``lag_counts`` ("both") with ``hertz`` (per spike of a and second) and ``pearson`` ((observed - expected) / root of expected)."""
     sec = bin_ / 1e6
-    x = ccg.join(a, [*keys, "unit_a"]).join(b, [*keys, "unit_b"]).join(span, keys)
-    expected = F.col("n_a") * F.col("n_b") * sec / F.col("_span")
-    return x.select(*ccg.columns, (F.col("n") / (F.col("n_a") * sec)).alias("hertz"), F.try_divide(F.col("n") - expected, F.nullif(F.sqrt(expected), F.lit(0.0))).alias("pearson"))
+    expected = F.col("n_a") * F.col("n_b") * sec / F.nullif(F.col("span_us") / 1e6, F.lit(0.0))
+    hertz, pearson = F.col("n") / (F.col("n_a") * sec), F.try_divide(F.col("n") - expected, F.nullif(F.sqrt(expected), F.lit(0.0)))
+    return ccg.withColumns({"hertz": hertz, "pearson": pearson}).drop("n_a", "n_b", "span_us")
 
 
 def interactions(cch: DataFrame, by: list[str], lo: int = 2, hi: int = 10, sds: float = 7.0, flank: int = 50) -> DataFrame:
