@@ -7,21 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from axonlake.functions import special
 
 
-def lag_pairs(spikes: DataFrame, keys: list[str], unit: str, window: int) -> DataFrame:
-    """All ordered pairs of spikes of one key with ``0 <= t_b - t_a <= window``: keys, unit_a, unit_b, dt. A spike is not paired with itself.
-
-    A bucketed self join: each spike looks only at its own and the next bucket of width ``window``; the result is the
-    correlogram's own count of pairs, never all pairs of a key. Spikes at one time are one pair of each order, for
-    different units only once per order.
-    """
-    base = spikes.select(*keys, F.col(unit).alias("_u"), "t_us").withColumn("_s", F.row_number().over(W.partitionBy(*keys, "_u", "t_us").orderBy(F.lit(1))))
-    a = base.select(*keys, F.col("_u").alias("unit_a"), F.col("t_us").alias("_ta"), F.col("_s").alias("_sa"), F.explode(F.array(F.floor(F.col("t_us") / F.lit(window)), F.floor(F.col("t_us") / F.lit(window)) + 1)).alias("_b"))
-    b = base.select(*keys, F.col("_u").alias("unit_b"), F.col("t_us").alias("_tb"), F.col("_s").alias("_sb"), F.floor(F.col("t_us") / F.lit(window)).alias("_b"))
-    dt = F.col("_tb") - F.col("_ta")
-    itself = (F.col("unit_a") == F.col("unit_b")) & (dt == 0) & (F.col("_sa") >= F.col("_sb"))
-    return a.join(b, [*keys, "_b"]).where((dt >= 0) & (dt <= F.lit(window)) & ~itself).select(*keys, "unit_a", "unit_b", dt.alias("dt"))
-
-
 def lag_counts(spikes: DataFrame, keys: list[str], unit: str, edges: list[int], last: int, out: str, block: int = 128, most: int = 1_000_000, lo: int = 2, hi: int = 10, sds: float = 7.0, flank: int = 51) -> DataFrame:
     """Counts of the pairs of spikes of one key at most ``last`` apart, by lag bins that begin at ``edges`` (from 0 on). A spike is not paired with itself.
 
