@@ -1,7 +1,13 @@
 """Work per row or repetition that must not grow with the length of a series or be shuffled."""
 
 import numpy as np
-from axonlake.operators import series
+from axonlake.operators import resample as rs, series
+from tests.test_join_plans import joins
+
+
+def test_draws_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "k string, e long, v double")
+    assert {kind for kind, on in joins(rs.bootstrap_mean(df, ["k"], "e", "v", 50)) if on in ("k, _i", "k, e")} == {"SortMergeJoin"}
 
 
 def test_subset_means(spark):
