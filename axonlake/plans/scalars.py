@@ -125,10 +125,11 @@ SELECT sample_id, round(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL OR v1 IS
 def _(d: Data) -> DataFrame:
     """Missing values between neighbours filled on a straight line, beyond the ends by the nearest."""
     s = d.samples.distinct().withColumn("v", F.when(~F.isnan("value"), F.col("value")))
-    w = W.partitionBy("session_id", "signal").orderBy("t", "sample_id")
-    back, fore = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    # both windows run from an unbounded start: one to an unbounded end reads the rest of its rows anew for every row
+    g = W.partitionBy("session_id", "signal")
+    back, fore = (g.orderBy(*o).rowsBetween(W.unboundedPreceding, 0) for o in (("t", "sample_id"), (F.desc("t"), F.desc("sample_id"))))
     known = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    x = s.withColumn("a", F.last(known, ignorenulls=True).over(back)).withColumn("b", F.first(known, ignorenulls=True).over(fore)).where("v is null")
+    x = s.withColumn("a", F.last(known, ignorenulls=True).over(back)).withColumn("b", F.last(known, ignorenulls=True).over(fore)).where("v is null")
     line = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0))
     return x.select("sample_id", (F.round(F.when(F.col("a").isNull() | F.col("b").isNull(), F.coalesce("a.v", "b.v")).otherwise(line), 5) + 0.0).alias("v"))
 

@@ -1,10 +1,25 @@
 """Work per row or repetition that must not grow with the length of a series or be shuffled."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
+
+import __spark_entry__
 from axonlake.operators import resample as rs, series
 from tests.test_join_plans import joins
 
 
+def test_interpolation_of_a_long_gap(spark, tmp_path):
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("sample_id"), F.lit("s").alias("session_id"), F.lit("x").alias("signal"), (F.col("id") / 10).alias("t"), F.when((F.col("id") == 0) | (F.col("id") == n - 1), F.col("id").cast("double")).alias("value"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/samples.parquet")
+    began = time.time()
+    got = {r.sample_id: r.v for r in __spark_entry__.queries()["scl_interpolate"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 30  # quadratic: minutes
+    assert got == {i: float(i) for i in range(1, n - 1)}
+
+
 def test_draws_are_not_broadcast(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "k string, e long, v double")
     assert {kind for kind, on in joins(rs.bootstrap_mean(df, ["k"], "e", "v", 50)) if on in ("k, _i", "k, e")} == {"SortMergeJoin"}
