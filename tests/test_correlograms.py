@@ -65,6 +65,6 @@ def test_found_as_from_rows(spark, block):
     assert want and sorted(tuple(x) for x in found.where(F.col("lag_bin").isNotNull()).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["ccg_all", "ccg_log", "ccg_props", "ccg_norm", "ccg_centered", "cch_interactions", "flip_edges", "cmp_interaction_counts", "cmp_xcorr_area", "cmp_acg"])
+@pytest.mark.parametrize("name", ["ccg_all", "ccg_log", "ccg_props", "ccg_norm", "ccg_centered", "cch_interactions", "flip_edges", "cmp_interaction_counts", "cmp_xcorr_area", "cmp_acg", "cch_pair"])
 def test_spikes_are_not_joined(spark, data_dir, name):
     assert not [on for _, on in joins(__spark_entry__.queries()[name](spark, data_dir)) if "_b" in on]
